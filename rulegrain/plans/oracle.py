@@ -5,7 +5,6 @@ from __future__ import annotations
 from ..functions import paths
 from ..functions.text import SPACES
 from ..operators.lines import LANG_EXT
-from ..operators.pyfacts import rule_conditions
 from ..operators.responses import RESPONSE_RULES
 from ..operators.rules import GENERIC_SECRET, LINE_RULES, PLACEHOLDER, PYTHON_RULES, SECRET_NAMES, SECRET_RULES
 from ..schema import SEVERITY_RANKS
@@ -137,7 +136,6 @@ def secret_findings(name: str, lines: str, only_secret_files: bool = False) -> s
 def python_findings(name: str, files: str = "code_texts") -> str:
     """CTE of the expected findings of the Python templates; the template number says which."""
     rules = {r.rule_id: r for r in PYTHON_RULES}
-    order = list(rule_conditions())
     rows = []
     for i, (text, found, *_rest) in enumerate(derive.PY):
         for rule, line, column in found:
@@ -146,13 +144,13 @@ def python_findings(name: str, files: str = "code_texts") -> str:
             cwe = q(r.cwe) if r.cwe else "CAST(NULL AS VARCHAR)"
             rows.append(
                 f"({i}, {q(rule)}, {q(r.severity)}, {SEVERITY_RANKS[r.severity]}, {line}, {column}, {cwe}, "
-                f"{derive.text_sql(snippet)}, {str(r.fixable).lower()}, {order.index(rule)})"
+                f"{derive.text_sql(snippet)}, {str(r.fixable).lower()})"
             )
     return f"""{name} AS (
       SELECT repo, rule_id, severity, severity_rank, path AS file_path, line, "column", cwe, snippet,
         'sast' AS category, fixable
       FROM {files} JOIN (VALUES {', '.join(rows)})
-        AS t(no, rule_id, severity, severity_rank, line, "column", cwe, snippet, fixable, rule_order)
+        AS t(no, rule_id, severity, severity_rank, line, "column", cwe, snippet, fixable)
         ON ext = '.py' AND step % {len(derive.PY)} = no)"""
 
 
