@@ -196,15 +196,13 @@ def path_dirs(path: Column) -> Column:
 def path_grams(path: Column) -> Column:
     """Distinct pieces of the indexed lengths, and the empty piece."""
     length = F.length(path)
-    pieces = [F.array(F.lit(""))]
-    for size in GRAMS:
-        pieces.append(
-            F.when(
-                length >= size,
-                F.transform(F.sequence(F.lit(1), length - (size - 1)), lambda i, s=size: F.substr(path, i, F.lit(s))),
-            ).otherwise(F.array().cast("array<string>"))
-        )
-    return F.array_distinct(F.concat(*pieces))
+
+    def pieces(size: int) -> Column:
+        starts = F.sequence(F.lit(1), length - (size - 1))
+        cut = F.transform(starts, lambda i: F.substr(path, i, F.lit(size)))
+        return F.when(length >= size, cut).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(F.array(F.lit("")), *[pieces(size) for size in GRAMS]))
 
 
 def glob_anchor(glob: Column) -> Column:

@@ -90,15 +90,14 @@ def package_json_sections(corpus: DataFrame) -> DataFrame:
     """Raw entries of both dependency sections, in file order."""
     schema = ", ".join(f"{s} map<string,string>" for s in SECTIONS)
     parsed = _manifests(corpus, "package.json").withColumn("doc", F.from_json("text", schema))
-    entries = F.concat(
-        *[
-            F.transform(
-                F.coalesce(F.map_entries(F.col(f"doc.{s}")), F.array().cast("array<struct<key:string,value:string>>")),
-                lambda e, s=s: F.struct(F.lit(s).alias("section"), e["key"].alias("name"), e["value"].alias("raw")),
-            )
-            for s in SECTIONS
-        ]
-    )
+
+    def entries_of(section: str) -> Column:
+        listed = F.coalesce(F.map_entries(F.col(f"doc.{section}")), F.array().cast("array<struct<key:string,value:string>>"))
+        return F.transform(
+            listed, lambda e: F.struct(F.lit(section).alias("section"), e["key"].alias("name"), e["value"].alias("raw"))
+        )
+
+    entries = F.concat(*[entries_of(s) for s in SECTIONS])
     rows = parsed.select("repo", "path", F.posexplode(entries).alias("position", "e"))
     return rows.select("repo", "path", F.col("position").cast("bigint").alias("position"), "e.section", "e.name", "e.raw")
 

@@ -229,7 +229,7 @@ def secret_documents(spark, sf_dir):
     return scan_secrets(derive.with_content(derive.document_texts(spark, sf_dir)))
 
 
-@query("severity_levels_join", o.with_(*BASE, LEVELS, "only AS (SELECT * FROM f WHERE severity <> 'LOW' AND category = 'sast')", COUNTS.format("only")))
+@query("severity_levels_join", o.with_(*BASE, LEVELS, "chosen AS (SELECT * FROM f WHERE severity <> 'LOW' AND category = 'sast')", COUNTS.format("chosen")))
 def severity_levels_join(spark, sf_dir):
     return fs.severity_counts(base_findings(spark, sf_dir).where("severity != 'LOW' and category = 'sast'"))
 

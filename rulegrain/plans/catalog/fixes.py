@@ -199,16 +199,16 @@ def fix_candidate_files(spark, sf_dir):
                string_split(rtrim(original, chr(10)), chr(10)) AS o, string_split(rtrim(fixed, chr(10)), chr(10)) AS f
              FROM patched),
            changed AS (
-             SELECT *, list_filter(all_no, lambda i: o[i] <> f[i + CASE WHEN import_at IS NOT NULL AND i > import_at THEN 1 ELSE 0 END]) AS at
+             SELECT *, list_filter(all_no, lambda i: o[i] <> f[i + CASE WHEN import_at IS NOT NULL AND i > import_at THEN 1 ELSE 0 END]) AS hits
              FROM counted),
            ranged AS (
-             SELECT *, least(coalesce(list_min(at), 999) - 1, coalesce(import_at, 999)) AS first,
-               greatest(coalesce(list_max(at), 0), coalesce(import_at, 0)) AS last FROM changed)""",
+             SELECT *, least(coalesce(list_min(hits), 999) - 1, coalesce(import_at, 999)) AS first,
+               greatest(coalesce(list_max(hits), 0), coalesce(import_at, 0)) AS last FROM changed)""",
         """SELECT repo, path, 1 AS hunk, CAST(greatest(first - 3, 0) + 1 AS INTEGER) AS old_start,
              CAST(least(last + 3, n) - greatest(first - 3, 0) AS INTEGER) AS old_lines,
              CAST(greatest(first - 3, 0) + 1 AS INTEGER) AS new_start,
              CAST(least(last + 3, n) - greatest(first - 3, 0) + CASE WHEN import_at IS NULL THEN 0 ELSE 1 END AS INTEGER) AS new_lines,
-             CAST(len(at) + CASE WHEN import_at IS NULL THEN 0 ELSE 1 END AS INTEGER) AS changes FROM ranged""",
+             CAST(len(hits) + CASE WHEN import_at IS NULL THEN 0 ELSE 1 END AS INTEGER) AS changes FROM ranged""",
     ),
 )
 def diff_hunks(spark, sf_dir):
@@ -264,11 +264,11 @@ def env_example(spark, sf_dir):
         lined AS (
           SELECT *, CASE WHEN p[-1] = '' THEN p[1:len(p) - 1] ELSE p END AS l FROM cut),
         placed AS (
-          SELECT *, list_position(list_transform(l, lambda x: trim(x) <> '' AND NOT starts_with(trim(x), '#')), true) AS at FROM lined),
+          SELECT *, list_position(list_transform(l, lambda x: trim(x) <> '' AND NOT starts_with(trim(x), '#')), true) AS pos FROM lined),
         wanted AS (
           SELECT *, contains(text, 'os.environ') AND NOT regexp_matches(text, '(?m)^\s*import os\b') AS need FROM placed)""",
-        """SELECT repo, path, CASE WHEN need THEN CAST(at - 1 AS INTEGER) END AS import_at,
-             CASE WHEN need THEN array_to_string(list_concat(list_concat(l[1:at - 1], ['import os']), l[at:]), chr(10)) || chr(10) ELSE text END AS text
+        """SELECT repo, path, CASE WHEN need THEN CAST(pos - 1 AS INTEGER) END AS import_at,
+             CASE WHEN need THEN array_to_string(list_concat(list_concat(l[1:pos - 1], ['import os']), l[pos:]), chr(10)) || chr(10) ELSE text END AS text
            FROM wanted""",
     ),
 )

@@ -141,9 +141,10 @@ def stream_dedupe(spark, sf_dir):
 
 @query("stream_severity", o.with_(derive.timed_sql(), "SELECT date_trunc('hour', ts) AS window_start, severity, count(*) AS n FROM timed GROUP BY ALL"))
 def stream_severity(spark, sf_dir):
-    return streams.run_severity(derive.timed(stream_table(spark, sf_dir, "events")))
+    counts = streams.run_severity(derive.timed(stream_table(spark, sf_dir, "events")))
+    return counts.select(derive.wall_clock("window_start"), "severity", "n")
 
 
 @query("stream_gate", o.with_(derive.timed_sql(), "SELECT count(*) AS findings, CAST(4 AS INTEGER) AS worst, 2 AS exit_code FROM timed"))
 def stream_gate(spark, sf_dir):
-    return streams.stream_gate(derive.timed(stream_table(spark, sf_dir, "events")), "CRITICAL")
+    return streams.stream_gate(derive.timed(stream_table(spark, sf_dir, "events")), "CRITICAL").drop("batch")

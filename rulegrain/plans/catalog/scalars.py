@@ -155,14 +155,14 @@ def _glob_sql(path: str, glob: str) -> str:
 
 @query(
     "path_glob",
-    o.with_(CODE, f"SELECT path, glob, {_glob_sql('path', 'glob')} AS covered FROM (SELECT path, {derive.pick_sql(GLOBS, 'k + c')} AS glob FROM code_texts)"),
+    o.with_(CODE, f"SELECT path, pattern, {_glob_sql('path', 'pattern')} AS covered FROM (SELECT path, {derive.pick_sql(GLOBS, 'k + c')} AS pattern FROM code_texts)"),
 )
 def path_glob(spark, sf_dir):
     key = F.regexp_extract("path", r"f(\d+)\.", 1).cast("bigint")
     orders = derive.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
     files = derive.code_texts(spark, sf_dir).select("path", key.alias("k")).join(orders, "k")
-    rows = files.select("path", derive.pick(GLOBS, F.col("k") + F.col("c")).alias("glob"))
-    return rows.withColumn("covered", paths.path_glob(F.col("path"), F.col("glob")))
+    rows = files.select("path", derive.pick(GLOBS, F.col("k") + F.col("c")).alias("pattern"))
+    return rows.withColumn("covered", paths.path_glob(F.col("path"), F.col("pattern")))
 
 
 IGNORE = [".env", "*.env", "/svc*", "a", "build", ".e", "*", "svc1?/.env", "*.e[!x]v*", "", "b*/x"]
@@ -253,7 +253,7 @@ def url_scheme(spark, sf_dir):
 )
 def severity_rank_query(spark, sf_dir):
     rows = derive.timed(derive.table(spark, sf_dir, "events"))
-    return rows.select("ts", "file_path", "severity", severity_rank(F.col("severity")).alias("severity_rank"))
+    return rows.select(derive.wall_clock("ts"), "file_path", "severity", severity_rank(F.col("severity")).alias("severity_rank"))
 
 
 @query(
@@ -262,7 +262,7 @@ def severity_rank_query(spark, sf_dir):
 )
 def sarif_level_query(spark, sf_dir):
     rows = derive.timed(derive.table(spark, sf_dir, "events"))
-    return rows.select("ts", "file_path", "severity", sarif_level(F.col("severity")).alias("level"))
+    return rows.select(derive.wall_clock("ts"), "file_path", "severity", sarif_level(F.col("severity")).alias("level"))
 
 
 @query("py_strip", o.with_(LINES, f"SELECT path, line, {o.strip('text')} AS stripped FROM unique_lines"))
@@ -283,7 +283,7 @@ def finding_location_query(spark, sf_dir):
     return scan_lines(derive.unique_lines(spark, sf_dir)).select("rule_id", "file_path", "line", finding_location().alias("location"))
 
 
-@query("shannon_entropy", o.with_(LINES, f"SELECT path, line, round(coalesce({o.entropy('text')}, 0.0), 6) AS bits FROM unique_lines"))
+@query("shannon_entropy", o.with_(LINES, f"SELECT path, line, CASE WHEN text = '' THEN 0.0::DOUBLE ELSE round({o.entropy('text')}, 6) END AS bits FROM unique_lines"))
 def shannon_entropy(spark, sf_dir):
     bits = F.round(t.shannon_entropy(F.col("text")), 6)
     return derive.unique_lines(spark, sf_dir).select("path", "line", bits.alias("bits"))

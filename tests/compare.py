@@ -29,7 +29,7 @@ def rows_of(names, rows):
 
 
 def kind(name):
-    return {"integer": "int", "varchar": "string", "bigint": "bigint", "hugeint": "hugeint"}.get(name, name)
+    return {"integer": "int", "varchar": "string", "bigint": "bigint", "hugeint": "hugeint", "timestamp": "timestamp_ntz"}.get(name, name)
 
 
 def difference(spark, con, fn, sql, sf_dir):
