@@ -190,7 +190,7 @@ def dedupe_findings(spark, sf_dir):
 def _roots(spark, sf_dir):
     """Overlapping roots: the whole tree, a folder of it, and every file by itself."""
     files = derive.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k")).distinct()
-    ext = derive.pick(derive.LINE_EXTS, F.col("k"))
+    ext = derive.pick(derive.LINE_EXTS, "k")
     single = files.select(F.concat(F.lit("src/f"), F.col("k").cast("string"), ext).alias("root"), (F.col("k") + 3).alias("root_ordinal"))
     return single.unionByName(spark.createDataFrame([(".", 0), ("src/", 1), ("gone", 2)], "root string, root_ordinal bigint"))
 

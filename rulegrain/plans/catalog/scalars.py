@@ -34,7 +34,7 @@ BOUNDS = ["2.5", "3.10.0", "2", "4.20.20", "1.0.0.0"]
 
 @query("compare_version", o.with_(DEPS, f"SELECT k, version, bound, {o.compare('version', 'bound')} AS cmp FROM (SELECT *, {derive.pick_sql(BOUNDS, 'k')} AS bound FROM dependency_rows)"))
 def compare_version(spark, sf_dir):
-    rows = _versions(spark, sf_dir).withColumn("bound", derive.pick(BOUNDS, F.col("k")))
+    rows = _versions(spark, sf_dir).withColumn("bound", derive.pick(BOUNDS, "k"))
     return rows.select("k", "version", "bound", v.compare_version(F.col("version"), F.col("bound")).alias("cmp"))
 
 
@@ -54,7 +54,7 @@ SPECS = ["<5.4", " <= 2.31", ">3, <4", ">=1.0.0", "==2.5.0", "~=2.0", "any"]
     ),
 )
 def is_vulnerable(spark, sf_dir):
-    rows = _versions(spark, sf_dir).withColumn("spec", derive.pick(SPECS, F.col("k")))
+    rows = _versions(spark, sf_dir).withColumn("spec", derive.pick(SPECS, "k"))
     return rows.select("k", "version", "spec", v.is_vulnerable(F.col("version"), F.col("spec")).alias("vulnerable"))
 
 
@@ -70,7 +70,7 @@ PREFIXES = ["^", "~", "=", "", "^~=", " ", ">=", "v"]
     ),
 )
 def clean_version(spark, sf_dir):
-    raw = F.concat(derive.pick(PREFIXES, F.col("k")), F.col("version"))
+    raw = F.concat(derive.pick(PREFIXES, "k"), F.col("version"))
     rows = _versions(spark, sf_dir).select("k", raw.alias("raw"))
     return rows.select("k", "raw", v.clean_version(F.col("raw")).alias("version"))
 
@@ -161,7 +161,7 @@ def path_glob(spark, sf_dir):
     key = F.regexp_extract("path", r"f(\d+)\.", 1).cast("bigint")
     orders = derive.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
     files = derive.code_texts(spark, sf_dir).select("path", key.alias("k")).join(orders, "k")
-    rows = files.select("path", derive.pick(GLOBS, F.col("k") + F.col("c")).alias("pattern"))
+    rows = files.select("path", derive.pick(GLOBS, "k + c").alias("pattern"))
     return rows.withColumn("covered", paths.path_glob(F.col("path"), F.col("pattern")))
 
 
@@ -180,7 +180,7 @@ IGNORE = [".env", "*.env", "/svc*", "a", "build", ".e", "*", "svc1?/.env", "*.e[
 )
 def gitignore_match(spark, sf_dir):
     files = derive.tree_files(spark, sf_dir).where(~F.endswith("path", F.lit(".gitignore"))).select("path")
-    rows = files.withColumn("pattern", derive.pick(IGNORE, F.length("path")))
+    rows = files.withColumn("pattern", derive.pick(IGNORE, "length(path)"))
     return rows.withColumn("covered", paths.gitignore_match(F.col("path"), F.col("pattern")))
 
 
@@ -210,7 +210,7 @@ VARIABLES = ["apiKey", "api_key", "dbPassword2", "__token", "HTTPSecret", "my-ap
     ),
 )
 def env_name(spark, sf_dir):
-    variable = F.concat(derive.pick(VARIABLES, F.col("k")), F.col("name"))
+    variable = F.concat(derive.pick(VARIABLES, "k"), F.col("name"))
     rows = _versions(spark, sf_dir).select("k", variable.alias("variable"))
     return rows.withColumn("env", t.env_name(F.col("variable")))
 
