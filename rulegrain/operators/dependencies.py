@@ -17,7 +17,7 @@ from ..functions.versions import (
 )
 from ..schema import SEVERITY_RANKS, as_findings, ordinal
 from ..sources.corpus import of_kinds
-from .joins import salted_join
+from .joins import lookup_join
 from .lines import code_lines
 
 # The offline advisories (ecosystem, package, id, vulnerable range, severity); the fix
@@ -129,15 +129,15 @@ def extract_dependencies(corpus: DataFrame) -> DataFrame:
 def join_advisory(deps: DataFrame, advisories: DataFrame | None = None) -> DataFrame:
     """Dependencies with every advisory whose range covers their version.
 
-    The built-in table is nine rows and is broadcast. A table handed in may be any size, and one
-    package may hold much of all dependencies: that join is salted.
+    The built-in table is nine rows and is broadcast. A table handed in is broadcast if its counted
+    size allows; else the join is salted, as one package may hold much of all dependencies.
     """
     keyed = deps.withColumn("package", F.lower("name")).withColumn("version_key", parse_version(F.col("version")))
     if advisories is None:
         joined = keyed.join(F.broadcast(advisory_table(deps.sparkSession)), ["ecosystem", "package"])
     else:
         spread = [F.col("repo"), F.col("path"), F.col("position")]
-        joined = salted_join(keyed, advisories, ["ecosystem", "package"], "inner", spread)
+        joined = lookup_join(keyed, advisories, ["ecosystem", "package"], "inner", spread)
     return joined.where(satisfies(F.col("version_key"), F.col("op"), F.col("bound_key"))).drop("version_key", "bound_key")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import paths
 from ..schema import SEVERITY_RANKS, severity_rank
 from .globs import suppressed_files
-from .joins import salted_join
+from .joins import lookup_join, salted_join
 
 DEDUPE_KEYS = ["rule_id", "file_path", "line", "column"]
 
@@ -32,7 +32,7 @@ def suppress_by_rule(findings: DataFrame, rules: DataFrame) -> DataFrame:
     """Drop findings whose (repo, rule_id) is listed; one rule may hold most findings of a repository."""
     listed = rules.select("repo", "rule_id").distinct()
     spread = [F.col("file_path"), F.col("line")]
-    return salted_join(findings, listed, ["repo", "rule_id"], "left_anti", spread).select(*findings.columns)
+    return lookup_join(findings, listed, ["repo", "rule_id"], "left_anti", spread).select(*findings.columns)
 
 
 def suppress_by_path(findings: DataFrame, globs: DataFrame) -> DataFrame:
@@ -78,7 +78,7 @@ def under_roots(files: DataFrame, roots: DataFrame) -> DataFrame:
     """
     listed = files.withColumn("root", F.explode(paths.path_lineage(F.col("path"))))
     named = roots.select(F.rtrim(F.regexp_replace("root", r"^\./|^\.$", ""), F.lit("/")).alias("root"), "root_ordinal")
-    return salted_join(listed, named, ["root"], "inner", [F.col("path")])
+    return lookup_join(listed, named, ["root"], "inner", [F.col("path")])
 
 
 def files_under(inventory: DataFrame, roots: DataFrame) -> DataFrame:
@@ -120,7 +120,12 @@ def sort_columns() -> list[Column]:
 
 
 def sorted_findings(findings: DataFrame) -> DataFrame:
-    return findings.orderBy(*sort_columns())
+    """All findings in report order.
+
+    A range sort samples its input before it sorts. The exchange in front keeps the sampling from
+    running the scan a second time; findings are far fewer than lines.
+    """
+    return findings.repartition("file_path", "line", "rule_id").orderBy(*sort_columns())
 
 
 def severity_levels(spark: SparkSession) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import paths
-from .joins import salted_join
+from .joins import lookup_join
 
 
 def _entry(kind: str, key: Column) -> Column:
@@ -52,7 +52,8 @@ def _covered(files: DataFrame, patterns: DataFrame, path_keys: list[Column], ent
         .distinct()
     )
     listed = files.select("repo", "path", F.explode(F.concat(*path_keys)).alias("e")).select("repo", "path", "e.kind", "e.key")
-    hit = salted_join(
+    # Counted on the patterns; a pattern files at most two rows.
+    hit = lookup_join(
         listed,
         filed,
         ["repo", "kind", "key"],

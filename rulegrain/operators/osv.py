@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.advisories import REPLY_SCHEMA, advisory_severity, advisory_summary, first_fixed
 from ..schema import as_findings, ordinal
-from .joins import salted_join
+from .joins import lookup_join
 
 KEY = ["ecosystem", "name", "version"]
 
@@ -37,7 +37,7 @@ def first_dependencies(deps: DataFrame, scope: list[str]) -> DataFrame:
 def match_feed(deps: DataFrame, feed: DataFrame) -> DataFrame:
     """Each dependency row with every advisory its reply lists."""
     spread = [F.col("repo"), F.col("path"), F.col("position")]
-    return salted_join(deps.select("repo", "path", "position", "line", *KEY), feed, KEY, "inner", spread)
+    return lookup_join(deps.select("repo", "path", "position", "line", *KEY), feed, KEY, "inner", spread)
 
 
 def osv_findings(matches: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ...operators import dependencies as deps, findings as fs, lines, osv, project
 from ...operators.secrets import scan_secret_lines
 from ...schema import SEVERITY_RANKS
+from ...sources.tables import stored
 from .. import derive, oracle as o
 from .registry import FINDING_COLUMNS, query, shown
 from .rules import ADVISORIES, ALL, DEP_FINDINGS, DEPS, MANIFESTS, SCAN, all_findings
@@ -71,7 +72,7 @@ PATHS_SQL = """globs AS (SELECT repo, unnest(ignore_paths) AS g FROM configs),
 )
 def suppress_by_path(spark, sf_dir):
     _, globs, _ = fs.suppression_tables(derive.configs(spark, sf_dir))
-    return shown(fs.suppress_by_path(base_findings(spark, sf_dir), globs))
+    return shown(fs.suppress_by_path(stored(base_findings(spark, sf_dir)), globs))
 
 
 # ---- dependency joins ----------------------------------------------------------------------------------

@@ -8,6 +8,7 @@ from ...operators import dependencies as deps, lines, pyfacts, remediate as fix
 from ...operators.findings import union_scanners
 from ...operators.secrets import scan_secret_lines, scan_text
 from ...sources.corpus import scannable
+from ...sources.tables import stored
 from .. import derive, oracle as o
 from .algebra import BASE, base_findings
 from .registry import query, shown
@@ -114,7 +115,7 @@ def join_dep_targets(spark, sf_dir):
 )
 def fix_requirements(spark, sf_dir):
     """Bumped requirements files; the final newline shows as an empty last line on both sides."""
-    patched = fix.patched_files(derive.manifest_corpus(spark, sf_dir), dependency_findings(spark, sf_dir))
+    patched = fix.patched_files(derive.manifest_corpus(spark, sf_dir), stored(dependency_findings(spark, sf_dir)))
     return patched.select("repo", "path", "fixed", "change_count")
 
 
@@ -146,7 +147,7 @@ CODE = [derive.code_texts_sql(), PRUNED, PATCHED]
 
 def code_findings(spark, sf_dir):
     files = scannable(derive.code_corpus(spark, sf_dir))
-    return files, union_scanners(scan_text(files), pyfacts.scan_python(files))
+    return files, stored(union_scanners(scan_text(files), pyfacts.scan_python(files)))
 
 
 def patched(spark, sf_dir):

@@ -9,6 +9,7 @@ from ...operators import dependencies as deps
 from ...operators.lines import scan_code
 from ...sinks import reports
 from ...sources.corpus import scannable, scanned_files
+from ...sources.tables import stored
 from ...streaming import streams
 from .. import derive, oracle as o
 from .registry import query
@@ -36,7 +37,7 @@ REPORT = [
 
 def report_inputs(spark, sf_dir):
     files = derive.code_corpus(spark, sf_dir).unionByName(derive.manifest_corpus(spark, sf_dir))
-    return scan_code(scannable(files)), scanned_files(files), deps.manifest_errors(files)
+    return stored(scan_code(scannable(files))), scanned_files(files), deps.manifest_errors(files)
 
 
 REPORT_COLUMNS = ["repo", "section", "file_path", "line", "rule_id", "text"]

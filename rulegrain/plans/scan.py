@@ -15,6 +15,7 @@ from ..operators.pyfacts import py_facts, python_errors, python_findings, python
 from ..operators.remediate import patched_files
 from ..operators.secrets import scan_text
 from ..sources.corpus import scannable, scanned_files
+from ..sources.tables import stored
 
 
 @dataclass(frozen=True)
@@ -25,6 +26,10 @@ class Scan:
     stats: DataFrame
     errors: DataFrame
 
+    def kept(self) -> Scan:
+        """The same tables written once, for use by several reports or by the fixes."""
+        return Scan(stored(self.findings), stored(self.stats), stored(self.errors))
+
 
 def scan(
     corpus: DataFrame,
@@ -57,6 +62,9 @@ def scan(
 
 
 def fix(corpus: DataFrame, tracked: DataFrame, ignore_rules: list[str] = (), ignore_paths: list[str] = ()) -> DataFrame:
-    """Patched files of a scan; the corpus itself is left alone."""
+    """Patched files of a scan; the corpus itself is left alone.
+
+    The fixable findings are stored first: the plan of fixes reads them more than once.
+    """
     found = scan(corpus, tracked, ignore_rules=ignore_rules, ignore_paths=ignore_paths).findings
-    return patched_files(scannable(corpus), found.where(F.col("fixable")))
+    return patched_files(scannable(corpus), stored(found.where(F.col("fixable"))))

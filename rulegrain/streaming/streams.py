@@ -3,27 +3,14 @@
 from __future__ import annotations
 
 import os
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..operators.findings import DEDUPE_KEYS, exit_code
 from ..operators.joins import SALTS
 from ..operators.lines import code_lines, scan_lines
 from ..operators.secrets import scan_secret_lines
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one the session names for checkpoints.
-
-    Only a local session without that setting gets a local folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can see")
-        base = "/tmp/rulegrain"
-    return os.path.join(base, f"rulegrain-{uuid.uuid4().hex}")
+from ..sources.tables import shared_folder
 
 
 def stream_scan(texts: DataFrame) -> DataFrame:
