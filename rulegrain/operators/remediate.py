@@ -213,7 +213,7 @@ def reassemble_file(lines: DataFrame) -> DataFrame:
 
 
 def _may_change(text: Column) -> Column:
-    return contains_any(text, FIX_NEEDLES) | contains_any(F.lower(text), SECRET_NEEDLES)
+    return contains_any(text, FIX_NEEDLES) | let(F.lower(text), lambda low: contains_any(low, SECRET_NEEDLES))
 
 
 def _is_requirements() -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import paths
+from ..functions.once import let
 from ..functions.text import contains_any, jvm_pattern, lenient_text, line_snippet, shannon_entropy, strip_line_comment
 from ..schema import SCANNER_ORDER
 from ..sources.corpus import of_kinds
@@ -47,7 +48,7 @@ def _assigned_column(line: Column) -> Column:
 
 def _may_assign(text: Column) -> Column:
     quoted = F.contains(text, F.lit("'")) | F.contains(text, F.lit('"'))
-    return quoted & contains_any(F.lower(text), SECRET_NEEDLES)
+    return quoted & let(F.lower(text), lambda low: contains_any(low, SECRET_NEEDLES))
 
 
 def _secret_hits(text: Column) -> Column:
@@ -103,30 +104,18 @@ def scan_text(corpus: DataFrame) -> DataFrame:
     texts = flagged.where(F.size("looks") > 0).select(
         "repo", "path", "looks", lenient_text(F.col("content")).alias("text")
     )
-    text = F.col("text")
-    bare = strip_line_comment(text)
-    arrays = []
-    for lang in LANG_EXT:
-        hits = F.when(
-            F.array_contains("looks", lang) & contains_any(text, needles_of(lang)),
-            F.transform(rule_hits(bare, [r for r in LINE_RULES if r.lang == lang]), _with_snippet(bare)),
-        )
-        arrays.append(F.coalesce(hits, _no_hits()))
-    secrets = F.when(
-        F.array_contains("looks", "secret") & (contains_any(text, shapes) | _may_assign(text)),
-        F.transform(_secret_hits(text), _with_snippet(text)),
-    )
-    arrays.append(F.coalesce(secrets, _no_hits()))
-    lines = code_lines(texts).withColumn("hits", F.concat(*arrays)).where(F.size("hits") > 0)
-    found = lines.select("repo", F.col("path").alias("file_path"), "line", F.inline("hits"))
-    scanner = F.when(F.startswith("rule_id", F.lit("SEC")), F.lit(SCANNER_ORDER["secret"])).otherwise(SCANNER_ORDER["code"])
-    return with_rule_columns(found, scanner)
-
-
-def _no_hits() -> Column:
-    return F.array().cast("array<struct<rule_id:string,column:int,snippet:string>>")
-
-
-def _with_snippet(text: Column):
-    snippet = line_snippet(text)
-    return lambda h: F.struct(h["rule_id"].alias("rule_id"), h["column"].alias("column"), snippet.alias("snippet"))
+    text, bare, looks = F.col("text"), F.col("bare"), F.col("looks")
+    every = [n for lang in LANG_EXT for n in needles_of(lang)] + shapes
+    lines = code_lines(texts).where(contains_any(text, every) | _may_assign(text))
+    lines = lines.withColumn("bare", strip_line_comment(text))
+    none = F.array().cast("array<struct<rule_id:string,column:int>>")
+    arrays = [
+        F.when(F.array_contains(looks, lang), rule_hits(bare, [r for r in LINE_RULES if r.lang == lang])).otherwise(none)
+        for lang in LANG_EXT
+    ]
+    arrays.append(F.when(F.array_contains(looks, "secret"), _secret_hits(text)).otherwise(none))
+    found = lines.select("repo", F.col("path").alias("file_path"), "line", "text", "bare", F.inline(F.concat(*arrays)))
+    secret_rule = F.startswith("rule_id", F.lit("SEC"))
+    named = found.withColumn("snippet", line_snippet(F.when(secret_rule, text).otherwise(bare)))
+    order = F.when(secret_rule, SCANNER_ORDER["secret"]).otherwise(SCANNER_ORDER["code"])
+    return with_rule_columns(named, order)
