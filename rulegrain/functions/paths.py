@@ -193,16 +193,10 @@ def path_dirs(path: Column) -> Column:
     return F.array_distinct(F.concat(F.array(path), runs))
 
 
-def path_grams(path: Column) -> Column:
-    """Distinct pieces of the indexed lengths, and the empty piece."""
-    length = F.length(path)
-
-    def pieces(size: int) -> Column:
-        starts = F.sequence(F.lit(1), length - (size - 1))
-        cut = F.transform(starts, lambda i: F.substr(path, i, F.lit(size)))
-        return F.when(length >= size, cut).otherwise(F.array().cast("array<string>"))
-
-    return F.array_distinct(F.concat(F.array(F.lit("")), *[pieces(size) for size in GRAMS]))
+def path_grams(path: Column, sizes: list[int] = GRAMS) -> Column:
+    """Distinct pieces of the given lengths, and the empty piece."""
+    pieces = [F.regexp_extract_all(path, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)) for size in sizes]
+    return F.array_distinct(F.concat(F.array(F.lit("")), *pieces))
 
 
 def glob_anchor(glob: Column) -> Column:

@@ -18,10 +18,6 @@ def _entry(kind: str, key: Column) -> Column:
     return F.struct(F.lit(kind).alias("kind"), key.alias("key"))
 
 
-def _keys(kind: str, values: Column) -> Column:
-    return F.transform(values, lambda v: _entry(kind, v))
-
-
 def _ignore_entries(pattern: Column) -> tuple[Column, Column]:
     """Keys and regex of an ignore line: a literal covers equal tails and everything it prefixes."""
     pat = F.ltrim(pattern, F.lit("/"))
@@ -43,7 +39,7 @@ def _suppress_entries(pattern: Column) -> tuple[Column, Column]:
     return keys, F.when(wild & ~directory, paths.suppression_regex(pattern))
 
 
-def _covered(files: DataFrame, patterns: DataFrame, path_keys: list[Column], entries) -> DataFrame:
+def _covered(files: DataFrame, patterns: DataFrame, entries) -> DataFrame:
     keys, regex = entries(F.col("pattern"))
     filed = (
         patterns.select("repo", "pattern").distinct()
@@ -51,36 +47,38 @@ def _covered(files: DataFrame, patterns: DataFrame, path_keys: list[Column], ent
         .select("repo", "e.kind", "e.key", "regex")
         .distinct()
     )
-    listed = files.select("repo", "path", F.explode(F.concat(*path_keys)).alias("e")).select("repo", "path", "e.kind", "e.key")
-    # Counted on the patterns; a pattern files at most two rows.
+    # One small row: how many keys there are, and of which kinds and lengths paths must list theirs.
+    size = F.when(F.col("kind") == "piece", F.length("key"))
+    shape = filed.agg(F.count("*").alias("n"), F.collect_set("kind").alias("kinds"), F.collect_set(size).alias("sizes")).first()
+    path = F.col("path")
+    makers = {
+        "tail": lambda: paths.path_tails(path),
+        "prefix": lambda: paths.path_prefixes(path),
+        "dir": lambda: paths.path_dirs(path),
+        "piece": lambda: paths.path_grams(path, sorted(s for s in shape["sizes"] if s)),
+    }
+    wanted = [F.struct(F.lit(kind).alias("kind"), makers[kind]().alias("keys")) for kind in sorted(shape["kinds"])]
+    if not wanted:
+        return files.select("repo", "path").limit(0)
+    by_kind = files.select("repo", "path", F.explode(F.array(*wanted)).alias("e"))
+    listed = by_kind.select("repo", "path", "e.kind", F.explode("e.keys").alias("key"))
     hit = lookup_join(
         listed,
         filed,
         ["repo", "kind", "key"],
         "left_semi",
-        [F.col("path")],
+        [path],
         lambda f, p: F.col(f"{p}.regex").isNull() | F.rlike(F.col(f"{f}.path"), F.col(f"{p}.regex")),
+        rows=shape["n"],
     )
     return hit.select("repo", "path").distinct()
 
 
 def ignored_files(files: DataFrame, patterns: DataFrame) -> DataFrame:
     """Distinct (repo, path) covered by an ignore line of their repository."""
-    path = F.col("path")
-    keys = [
-        _keys("tail", paths.path_tails(path)),
-        _keys("prefix", paths.path_prefixes(path)),
-        _keys("piece", paths.path_grams(path)),
-    ]
-    return _covered(files, patterns, keys, _ignore_entries)
+    return _covered(files, patterns, _ignore_entries)
 
 
 def suppressed_files(files: DataFrame, patterns: DataFrame) -> DataFrame:
     """Distinct (repo, path) covered by a path suppression of their repository."""
-    path = F.col("path")
-    keys = [
-        _keys("tail", paths.path_tails(path)),
-        _keys("dir", paths.path_dirs(path)),
-        _keys("piece", paths.path_grams(path)),
-    ]
-    return _covered(files, patterns, keys, _suppress_entries)
+    return _covered(files, patterns, _suppress_entries)

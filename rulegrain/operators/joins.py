@@ -16,14 +16,15 @@ def rows_at_most(df: DataFrame, limit: int) -> bool:
 
 
 def lookup_join(
-    facts: DataFrame, lookup: DataFrame, keys: list[str], how: str, spread: list[Column], condition=None
+    facts: DataFrame, lookup: DataFrame, keys: list[str], how: str, spread: list[Column], condition=None, rows: int | None = None
 ) -> DataFrame:
     """Join a large table to an input table that is usually small.
 
-    The lookup's rows are counted first: up to the limit it is broadcast and the facts stay where
-    they are; beyond it the join is salted. Both ways give the same rows.
+    The lookup's rows are counted first, unless ``rows`` says how many there are: up to the limit it
+    is broadcast and the facts stay where they are; beyond it the join is salted. Both ways give the
+    same rows.
     """
-    if not rows_at_most(lookup, BROADCAST_ROWS):
+    if not (rows_at_most(lookup, BROADCAST_ROWS) if rows is None else rows <= BROADCAST_ROWS):
         return salted_join(facts, lookup, keys, how, spread, condition)
     left, right = facts.alias("f"), F.broadcast(lookup).alias("l")
     joined = left.join(right, _on(keys, condition), how)
