@@ -123,3 +123,14 @@ def env_name(name: Column) -> Column:
     """apiKey -> API_KEY."""
     spaced = F.regexp_replace(name, "(?<=[a-z0-9])(?=[A-Z])", "_")
     return F.btrim(F.upper(F.regexp_replace(spaced, "[^A-Za-z0-9]+", "_")), F.lit("_"))
+
+
+def is_json(text: Column) -> Column:
+    """Is the text one JSON value and nothing else?
+
+    The parser stops after the first value, so the text is parsed inside an array and inside an
+    object: what follows a value breaks at least one of them.
+    """
+    inside_array = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    inside_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return inside_array.isNotNull() & inside_object.isNotNull()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import paths
-from ..functions.text import NEWLINES, py_strip, strict_text
+from ..functions.text import NEWLINES, is_json, py_strip, strict_text
 from ..functions.versions import (
     clean_version,
     parse_version,
@@ -89,7 +89,8 @@ def requirements_deps(lines: DataFrame, ecosystem: str = "pypi") -> DataFrame:
 def package_json_sections(corpus: DataFrame) -> DataFrame:
     """Raw entries of both dependency sections, in file order."""
     schema = ", ".join(f"{s} map<string,string>" for s in SECTIONS)
-    parsed = _manifests(corpus, "package.json").withColumn("doc", F.from_json("text", schema))
+    documents = _manifests(corpus, "package.json").where(is_json(F.col("text")))
+    parsed = documents.withColumn("doc", F.from_json("text", schema))
 
     def entries_of(section: str) -> Column:
         listed = F.coalesce(F.map_entries(F.col(f"doc.{section}")), F.array().cast("array<struct<key:string,value:string>>"))
@@ -183,7 +184,7 @@ def manifest_errors(corpus: DataFrame) -> DataFrame:
 
     shape = F.coalesce(kind(doc) != "OBJECT", F.lit(False)) | no_object(SECTIONS[0]) | no_object(SECTIONS[1])
     error = F.when(F.col("content").isNotNull() & text.isNull(), "dependency scan failed: not valid UTF-8").when(
-        (name == "package.json") & shape, "dependency scan failed: not a table of packages"
+        (name == "package.json") & is_json(text) & shape, "dependency scan failed: not a table of packages"
     )
     rows = of_kinds(corpus, "manifest").where(name.isin(paths.MANIFEST_NAMES)).select(
         "repo", F.col("path").alias("file_path"), error.alias("error")
