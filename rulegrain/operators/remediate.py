@@ -132,9 +132,12 @@ def fold_line(line: Column, rules: Column) -> Column:
 
 
 def line_fixes(findings: DataFrame) -> DataFrame:
-    """Rules to apply per line, in finding order. A line's list is bounded by the line's own length."""
+    """Rules to apply per line, in finding order; copies of a finding are folded on the map side.
+
+    A line's list is bounded by the line's own length.
+    """
     grouped = fixable_filter(findings).groupBy("repo", F.col("file_path").alias("path"), "line")
-    rules = F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "rule_id"))), lambda s: s["rule_id"])
+    rules = F.transform(F.sort_array(F.collect_set(F.struct("ordinal", "rule_id"))), lambda s: s["rule_id"])
     return grouped.agg(rules.alias("rules"))
 
 
@@ -205,11 +208,14 @@ def joined_lines(lines: Column, original: Column) -> Column:
 
 
 def reassemble_file(lines: DataFrame) -> DataFrame:
-    """Files from their lines. Files are at most the size cap, so a file's lines fit in one task."""
-    ordered = F.sort_array(F.collect_list(F.struct("line", "text")))
-    return lines.groupBy("repo", "path").agg(
-        F.array_join(F.transform(ordered, lambda s: s["text"]), "\n").alias("text"), F.count("*").alias("n_lines")
-    )
+    """Files from their lines.
+
+    Files are at most the size cap, and copies of a line are folded on the map side, so a file's
+    lines fit in one task.
+    """
+    grouped = lines.groupBy("repo", "path").agg(F.sort_array(F.collect_set(F.struct("line", "text"))).alias("lines"))
+    text = F.array_join(F.transform("lines", lambda s: s["text"]), "\n")
+    return grouped.select("repo", "path", text.alias("text"), F.size("lines").cast("bigint").alias("n_lines"))
 
 
 def _may_change(text: Column) -> Column:
