@@ -17,6 +17,7 @@ from ..functions.versions import (
 )
 from ..schema import SEVERITY_RANKS, as_findings, ordinal
 from ..sources.corpus import of_kinds
+from ..sources.tables import constant_table
 from .joins import lookup_join
 from .lines import code_lines
 
@@ -39,9 +40,8 @@ SECTIONS = ["dependencies", "devDependencies"]
 
 def advisory_table(spark: SparkSession) -> DataFrame:
     """The offline advisories: nine rows with their range already taken apart."""
-    raw = spark.createDataFrame(
-        ADVISORIES, "ecosystem string, package string, id string, vulnerable string, severity string, summary string"
-    )
+    columns = dict.fromkeys(["ecosystem", "package", "id", "vulnerable", "severity", "summary"], "string")
+    raw = constant_table(spark, columns, ADVISORIES)
     return with_ranges(raw.withColumn("fixed", specifier_bound(F.col("vulnerable"))))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import paths
 from ..schema import SEVERITY_RANKS, severity_rank
+from ..sources.tables import constant_table
 from .globs import suppressed_files
 from .joins import lookup_join, salted_join
 
@@ -131,7 +132,7 @@ def sorted_findings(findings: DataFrame) -> DataFrame:
 
 
 def severity_levels(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(SEVERITY_RANKS.items()), "severity string, severity_rank int")
+    return constant_table(spark, {"severity": "string", "severity_rank": "int"}, list(SEVERITY_RANKS.items()))
 
 
 def severity_counts(findings: DataFrame) -> DataFrame:

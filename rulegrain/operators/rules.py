@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import constant_table
+
 
 @dataclass(frozen=True)
 class LineRule:
@@ -160,8 +162,5 @@ def rule_table(spark: SparkSession) -> DataFrame:
         (r.rule_id, "secret" if r.rule_id.startswith("SEC") else "sast", r.severity, r.cwe, r.message, r.remediation, r.fixable, i)
         for i, r in enumerate([*LINE_RULES, *SECRET_RULES, GENERIC_SECRET, *PYTHON_RULES])
     ]
-    return spark.createDataFrame(
-        rows,
-        "rule_id string, category string, severity string, cwe string, message string, "
-        "remediation string, fixable boolean, rule_order int",
-    )
+    columns = dict.fromkeys(["rule_id", "category", "severity", "cwe", "message", "remediation"], "string")
+    return constant_table(spark, columns | {"fixable": "boolean", "rule_order": "int"}, rows)

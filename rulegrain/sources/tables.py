@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -30,3 +31,10 @@ def stored(df: DataFrame) -> DataFrame:
     folder = shared_folder(df.sparkSession)
     df.write.mode("errorifexists").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def constant_table(spark: SparkSession, columns: dict[str, str], rows: list[tuple]) -> DataFrame:
+    """A table of constants that is part of the plan itself: reading it takes no job."""
+    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}
+    arrays = [pa.array(values, kinds[kind]) for values, kind in zip(zip(*rows), columns.values())]
+    return spark.createDataFrame(pa.table(arrays, names=list(columns)))
