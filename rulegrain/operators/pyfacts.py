@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import paths
 from ..functions.text import strict_text, universal_newlines
 from ..sources.corpus import of_kinds
+from ..sources.ship import ship_package
 from .lines import with_rule_columns
 
 FACT_SCHEMA = """repo string, path string, kind string, seq bigint, line int, `column` int, snippet string,
@@ -174,6 +175,7 @@ def py_facts(sources: DataFrame, watched: bool = True) -> DataFrame:
                     rows = []
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
+    ship_package(sources.sparkSession)
     return sources.select("repo", "path", "text").mapInArrow(read, FACT_SCHEMA)
 
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import paths
+from .ship import ship_package
 
 CORPUS_SCHEMA = "repo string, path string, length bigint, content binary"
 
@@ -110,4 +111,5 @@ def read_tree(spark: SparkSession, roots: dict[str, str], partitions: int | None
                         held, size = [], 0
                 yield pa.RecordBatch.from_pylist(held, schema=schema)
 
+    ship_package(spark)
     return listed.mapInArrow(read, CORPUS_SCHEMA)
