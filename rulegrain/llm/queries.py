@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import decontaminate, exact_dedup, language_id
 
-QUERIES = {"op8_exact_dedup": exact_dedup.query}
-ORACLES = {"op8_exact_dedup": exact_dedup.ORACLE}
+QUERIES = {
+    "op1_language_id": language_id.query,
+    "op8_exact_dedup": exact_dedup.query,
+    "op9_decontaminate": decontaminate.query,
+}
+ORACLES = {"op8_exact_dedup": exact_dedup.ORACLE, "op9_decontaminate": decontaminate.ORACLE}
