@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id
+from . import decontaminate, exact_dedup, language_id, secrets
 
 QUERIES = {
     "op1_language_id": language_id.query,
+    "op2_secrets": secrets.query,
     "op8_exact_dedup": exact_dedup.query,
     "op9_decontaminate": decontaminate.query,
 }
-ORACLES = {"op8_exact_dedup": exact_dedup.ORACLE, "op9_decontaminate": decontaminate.ORACLE}
+ORACLES = {
+    "op2_secrets": secrets.ORACLE,
+    "op8_exact_dedup": exact_dedup.ORACLE,
+    "op9_decontaminate": decontaminate.ORACLE,
+}
