@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, secrets
+from . import decontaminate, exact_dedup, language_id, packing, secrets
 
 QUERIES = {
     "op1_language_id": language_id.query,
     "op2_secrets": secrets.query,
+    "op3_packing": packing.query,
     "op8_exact_dedup": exact_dedup.query,
     "op9_decontaminate": decontaminate.query,
 }
