@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, language_id, packing, secrets
+from . import chat_format, decontaminate, exact_dedup, language_id, packing, quality, secrets
 
 QUERIES = {
     "op1_language_id": language_id.query,
     "op2_secrets": secrets.query,
     "op3_packing": packing.query,
+    "op5_quality": quality.query,
     "op7_chat_format": chat_format.query,
     "op8_exact_dedup": exact_dedup.query,
     "op9_decontaminate": decontaminate.query,
