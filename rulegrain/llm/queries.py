@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, language_id, packing, quality, secrets
+from . import chat_format, decontaminate, exact_dedup, jaccard_join, language_id, packing, quality, secrets
 
 QUERIES = {
     "op1_language_id": language_id.query,
@@ -12,10 +12,12 @@ QUERIES = {
     "op7_chat_format": chat_format.query,
     "op8_exact_dedup": exact_dedup.query,
     "op9_decontaminate": decontaminate.query,
+    "op10_jaccard_join": jaccard_join.query,
 }
 ORACLES = {
     "op2_secrets": secrets.ORACLE,
     "op7_chat_format": chat_format.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
+    "op10_jaccard_join": jaccard_join.ORACLE,
 }
