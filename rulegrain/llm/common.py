@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -56,3 +57,31 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
 
 def crc32(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
+
+
+class Bitmap:
+    """Which of evenly spread 64-bit keys may be in a table: all that are, and few others.
+
+    Its size follows the number of keys between 16 KB and 16 MB; beyond that it lets more others
+    through, which costs time only. The map is built by an aggregate and broadcast.
+    """
+
+    def __init__(self, keys: DataFrame) -> None:
+        """``keys`` has one bigint column."""
+        keys = keys.toDF("key").where("key IS NOT NULL")
+        self.bits = 1 << min(27, max(17, (max(1, keys.count()) * 16).bit_length()))
+        place = F.col("key").bitwiseAND(F.lit(self.bits - 1))
+        bit = F.expr("shiftleft(1L, cast(key & 31 AS int))")
+        found = keys.select(F.shiftright(place, 5).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+        rows = found.toArrow()
+        words = np.zeros(self.bits // 32, np.uint32)
+        words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().astype(np.uint32)
+        self.held = keys.sparkSession.sparkContext.broadcast(words)
+
+    def __getstate__(self) -> dict:
+        return {"bits": self.bits, "held": self.held}
+
+    def may_hold(self, keys: np.ndarray) -> np.ndarray:
+        """For signed 64-bit keys, in a task."""
+        place = keys & (self.bits - 1)
+        return (self.held.value[place >> 5] >> (keys & 31).astype(np.uint32) & 1).astype(bool)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, jaccard_join, language_id, packing, quality, secrets
+from . import chat_format, decontaminate, exact_dedup, jaccard_join, language_id, packing, quality, secrets, suffix_dedup
 
 QUERIES = {
     "op1_language_id": language_id.query,
     "op2_secrets": secrets.query,
     "op3_packing": packing.query,
+    "op4_suffix_dedup": suffix_dedup.query,
     "op5_quality": quality.query,
     "op7_chat_format": chat_format.query,
     "op8_exact_dedup": exact_dedup.query,
