@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, jaccard_join, language_id, packing, quality, secrets, suffix_dedup
+from . import chat_format, decontaminate, exact_dedup, jaccard_join, language_id, packing, pseudonyms, quality, secrets, suffix_dedup
 
 QUERIES = {
     "op1_language_id": language_id.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_packing": packing.query,
     "op4_suffix_dedup": suffix_dedup.query,
     "op5_quality": quality.query,
+    "op6_pseudonyms": pseudonyms.query,
     "op7_chat_format": chat_format.query,
     "op8_exact_dedup": exact_dedup.query,
     "op9_decontaminate": decontaminate.query,
