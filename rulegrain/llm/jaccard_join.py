@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..sources.ship import ship_package
 from ..sources.tables import stored
-from .common import quoted, slices
+from .common import Bitmap, quoted, slices
 from .components import components
 
 WORDS = 5
@@ -279,41 +279,23 @@ def _uncovered(met: DataFrame) -> DataFrame:
     return rows.agg(spare.alias("spare"), lost.alias("lost")).where("spare < lost").select("node", "level")
 
 
-class _Filter:
-    """A bitmap of hashed ids: lets all wanted ids through, and few others.
+def _only(docs: DataFrame, ids: DataFrame, then, schema: str) -> DataFrame:
+    """``then`` over the batches (text) of documents with these ids, and of a few others."""
+    wanted = Bitmap(ids.select(F.xxhash64("doc_id")))
 
-    Its size follows the number of ids between 16 KB and 16 MB; beyond that it lets more others through,
-    which costs time only.
-    """
-
-    def __init__(self, ids: DataFrame) -> None:
-        """``ids`` has one column, doc_id."""
-        wanted = max(1, ids.count())
-        self.bits = 1 << min(27, max(17, (wanted * 16).bit_length()))
-        place = F.pmod(F.xxhash64("doc_id"), F.lit(self.bits))
-        words = ids.select(F.shiftright(place, 5).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {self.bits}) & 31 AS int))").alias("bit"))
-        found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-        table = np.zeros(self.bits // 32, np.uint32)
-        table[found.column("word").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
-        self.held = ids.sparkSession.sparkContext.broadcast(table)
-
-    def rows(self, docs: DataFrame, then, schema: str) -> DataFrame:
-        """``then`` over the batches (text) of the documents let through."""
-        held = self.held
-
-        def chosen(batches):
-            for batch in batches:
-                place = batch.column("place").to_numpy()
-                some = held.value[place >> 5] >> (place & 31).astype(np.uint32) & 1
-                if some.any():
-                    yield batch.select(["text"]).filter(pa.array(some.astype(bool)))
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = wanted.may_hold(batch.column("place").to_numpy())
+            if some.any():
+                yield batch.select(["text"]).filter(pa.array(some))
 
-        place = F.pmod(F.xxhash64("doc_id"), F.lit(self.bits)).alias("place")
-        return docs.select(place, "text").mapInArrow(lambda batches: then(chosen(batches)), schema)
+    return docs.select(F.xxhash64("doc_id").alias("place"), "text").mapInArrow(lambda batches: then(chosen(batches)), schema)
 
 
-def _restricted(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> _Filter:
-    return _Filter(classes.join(nodes.select("node").distinct(), "node", "left_semi").select(F.col("rep").alias("doc_id")))
+def _restricted(docs: DataFrame, classes: DataFrame, nodes: DataFrame, then, schema: str) -> DataFrame:
+    """``then`` over the batches of the documents that stand for some classes, and of a few others."""
+    ids = classes.join(nodes.select("node").distinct(), "node", "left_semi").select(F.col("rep").alias("doc_id"))
+    return _only(docs, ids, then, schema)
 
 
 def _emit_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,7 +365,7 @@ def _filtered(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Links (a, b between class numbers) of those pairs whose whole sets are similar enough."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
-    sets = _restricted(docs, classes, nodes).rows(docs, _emit_sets, "node bigint, twin bigint, shingles array<bigint>")
+    sets = _restricted(docs, classes, nodes, _emit_sets, "node bigint, twin bigint, shingles array<bigint>")
     sides = [sets.select(*(F.col(c).alias(f"{side}_{c}") for c in sets.columns)) for side in ("x", "y")]
     both = pairs.join(sides[0], F.col("a") == F.col("x_node")).join(sides[1], F.col("b") == F.col("y_node"))
     shared = F.size(F.array_intersect("x_shingles", "y_shingles"))
@@ -471,13 +453,13 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs, left = first.where(F.col("kind") == SIGNATURE).select("a", "b"), stored(_uncovered(first))
     dense = None
     if not left.isEmpty():
-        again = _restricted(texts, classes, left).rows(texts, lambda b: b, "text string")
+        again = _restricted(texts, classes, left, lambda b: b, "text string")
         second = _signed_pairs(again, SECOND, 1)
         pairs = pairs.unionByName(second.where(F.col("kind") == SIGNATURE).select("a", "b"))
         left = stored(left.join(_uncovered(second), ["node", "level"], "left_semi"))
         if not left.isEmpty():
             kind = "sig bigint, node bigint, level bigint, n bigint, bits binary"
-            rows = _restricted(texts, classes, left).rows(texts, _emit_dense, kind)
+            rows = _restricted(texts, classes, left, _emit_dense, kind)
             dense = stored(rows.join(left, ["node", "level"], "left_semi").distinct().select("sig", "node", "n", "bits"))
             hubs = dense.groupBy("sig").agg(F.min("node").alias("a"))
             stars = dense.join(hubs, "sig").where("node > a").select("a", F.col("node").alias("b"))
@@ -496,6 +478,15 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return members.select("doc_id", "n", "node", "twin"), classes, links
 
 
+def _component_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, n, node, twin and component_id of every row; component_id is null where there are no shingles."""
+    members, classes, links = jaccard_classes(docs, id_col, text_col)
+    named = classes.join(_roots(classes, links).select("number", "root"), "number")
+    smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    found = named.join(smallest, "root").select("node", "twin", "component_id")
+    return members.join(found, ["node", "twin"], "left").select("doc_id", "n", "node", "twin", "component_id")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links) of every row.
 
@@ -504,14 +495,35 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     null id has a row too, and is a component's id only where no other id is in it. An empty table has
     no rows; other columns are not read.
     """
-    members, classes, links = jaccard_classes(docs, id_col, text_col)
-    roots = _roots(classes, links).select("number", "root")
-    named = classes.join(roots, "number")
-    smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    found = named.join(smallest, "root").select("node", "twin", "component_id")
-    joined = members.join(found, ["node", "twin"], "left")
     alone: Column = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"))
+    return _component_of(docs, id_col, text_col).select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose id is their component's, and those without shingles.
+
+    Rows that share an id are one document. Of rows without id those stay whose component has no id.
+    Only rows whose id may be one that goes are shuffled.
+    """
+    found = stored(_component_of(docs, id_col, text_col))
+    gone = found.where((F.col("n") > 0) & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = gone.select(F.col("doc_id").alias("gone_id"), "node", "twin").distinct()
+    listed = Bitmap(gone.select(F.xxhash64("gone_id")))
+    doubtful = F.arrow_udf(lambda place: pa.array(listed.may_hold(place.to_numpy())), "boolean")
+
+    def keys(text: pa.Array) -> pa.Array:
+        sets = [shingle_set(t) for t in text.to_pylist()]
+        found = [_keys(s) if len(s) else (None, None) for s in sets]
+        fields = [pa.array([k[i] for k in found], pa.int64()) for i in (0, 1)]
+        return pa.StructArray.from_arrays(fields, ["node", "twin"])
+
+    row = F.struct(*[quoted(c) for c in docs.columns]).alias("document")
+    bigint = quoted(id_col).cast("bigint")
+    marked = docs.select(row, bigint.alias("id"), quoted(text_col).alias("text"), doubtful(F.xxhash64(bigint)).alias("doubtful"))
+    sure = marked.where("NOT doubtful").select("document.*")
+    named = marked.where("doubtful").select("document", "id", F.arrow_udf(keys, "node bigint, twin bigint")("text").alias("k"))
+    goes = F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("k.node") == F.col("node")) & (F.col("k.twin") == F.col("twin"))
+    return sure.unionByName(named.join(gone, goes, "left_anti").select("document.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
