@@ -126,11 +126,11 @@ def env_name(name: Column) -> Column:
 
 
 def is_json(text: Column) -> Column:
-    """Is the text one JSON value and nothing else?
+    """Is the text one JSON value and nothing else? Repeated keys and NaN are allowed, as Python's reader has it.
 
     The parser stops after the first value, so the text is parsed inside an array and inside an
     object: what follows a value breaks at least one of them.
     """
-    inside_array = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    inside_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    return inside_array.isNotNull() & inside_object.isNotNull()
+    inside_array = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>")
+    inside_object = F.from_json(F.concat(F.lit('{"v":'), text, F.lit(',"w":1}')), "w int")
+    return F.coalesce((F.size(inside_array) == 1) & (inside_object["w"] == 1), F.lit(False))

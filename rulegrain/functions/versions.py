@@ -21,18 +21,25 @@ def _group(value: Column, pattern: str, group: int) -> Column:
 
 
 def parse_version(version: Column) -> Column:
-    """Leading digits of every dot chunk as numbers (up to 38 digits), 0 where there are none."""
+    """Leading digits of every dot chunk as (size, digits), ``0`` where there are none.
+
+    Without leading zeros, numbers of any length compare by how many digits they have, then by these.
+    """
 
     def number(chunk):
-        digits = F.regexp_extract(chunk, r"^\d+", 0)
-        return F.coalesce(F.nullif(digits, F.lit("")).try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
+        digits = F.ltrim(F.regexp_extract(chunk, r"^[0-9]+", 0), F.lit("0"))
+        return _number(F.when(digits == "", "0").otherwise(digits))
 
     return F.transform(F.split(py_strip(version), r"\."), number)
 
 
+def _number(digits: Column) -> Column:
+    return F.struct(F.length(digits).alias("size"), digits.alias("digits"))
+
+
 def compare_keys(a: Column, b: Column) -> Column:
     """-1, 0 or 1 for two parsed versions; the shorter one is padded with zeros."""
-    zero = F.lit(0).cast("decimal(38,0)")
+    zero = _number(F.lit("0"))
 
     def padded(one: Column, other: Column) -> Column:
         return F.concat(one, F.array_repeat(zero, F.greatest(F.size(other) - F.size(one), F.lit(0))))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import paths
+from ..functions.once import let
 from ..functions.text import NEWLINES, is_json, py_strip, strict_text
 from ..functions.versions import (
     clean_version,
@@ -86,6 +87,17 @@ def requirements_deps(lines: DataFrame, ecosystem: str = "pypi") -> DataFrame:
     return pinned.where(F.col("name").isNotNull())
 
 
+def _last_of_each(entries: Column) -> Column:
+    """Of entries with one key the last, at the place of the first."""
+
+    def folded(all_: Column) -> Column:
+        keys = F.array_distinct(F.transform(all_, lambda e: e["key"]))
+        last = lambda k: F.element_at(F.filter(all_, lambda e: e["key"] == k), -1)
+        return F.when(F.size(keys) == F.size(all_), all_).otherwise(F.transform(keys, last))
+
+    return let(entries, folded)
+
+
 def package_json_sections(corpus: DataFrame) -> DataFrame:
     """Raw entries of both dependency sections, in file order."""
     schema = ", ".join(f"{s} map<string,string>" for s in SECTIONS)
@@ -95,7 +107,7 @@ def package_json_sections(corpus: DataFrame) -> DataFrame:
     def entries_of(section: str) -> Column:
         listed = F.coalesce(F.map_entries(F.col(f"doc.{section}")), F.array().cast("array<struct<key:string,value:string>>"))
         return F.transform(
-            listed, lambda e: F.struct(F.lit(section).alias("section"), e["key"].alias("name"), e["value"].alias("raw"))
+            _last_of_each(listed), lambda e: F.struct(F.lit(section).alias("section"), e["key"].alias("name"), e["value"].alias("raw"))
         )
 
     entries = F.concat(*[entries_of(s) for s in SECTIONS])
@@ -149,7 +161,7 @@ def dependency_findings(matches: DataFrame) -> DataFrame:
             "repo",
             F.col("id").alias("rule_id"),
             F.when(F.col("severity").isin(list(SEVERITY_RANKS)), F.col("severity")).otherwise("MEDIUM").alias("severity"),
-            F.concat(name, F.lit(" "), version, F.lit(" is vulnerable: "), F.col("summary")).alias("message"),
+            F.concat(name, F.lit(" "), version, F.lit(" falls under a published advisory. "), F.col("summary")).alias("message"),
             F.col("path").alias("file_path"),
             "line",
             F.concat(name, F.lit("=="), version).alias("snippet"),

@@ -49,14 +49,14 @@ def osv_findings(matches: DataFrame) -> DataFrame:
             "repo",
             F.col("id").alias("rule_id"),
             "severity",
-            F.concat(name, F.lit(" "), version, F.lit(" is vulnerable: "), F.col("summary")).alias("message"),
+            F.concat(name, F.lit(" "), version, F.lit(" falls under a published advisory. "), F.col("summary")).alias("message"),
             F.col("path").alias("file_path"),
             "line",
             F.concat(name, F.lit("=="), version).alias("snippet"),
             F.lit("dependency").alias("category"),
             fixed.isNotNull().alias("fixable"),
             F.coalesce(remedy, see).alias("remediation"),
-            ordinal("osv", F.col("position"), F.least(F.col("vuln_no"), F.lit(99))).alias("ordinal"),
+            ordinal("osv", F.col("position") * 1_000_000 + F.col("vuln_no")).alias("ordinal"),
             "vuln_no",
         )
     )

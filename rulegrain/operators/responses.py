@@ -30,7 +30,7 @@ def response_log(responses: DataFrame) -> DataFrame:
     return responses.select(
         "url",
         "status",
-        (url_scheme(F.col("url")) == "https").alias("is_https"),
+        url_scheme(F.col("url")).eqNullSafe(F.lit("https")).alias("is_https"),
         header(h, "strict-transport-security").alias("hsts"),
         header(h, "content-security-policy").alias("csp"),
         header(h, "x-content-type-options").alias("sniffing"),

