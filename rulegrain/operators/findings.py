@@ -10,7 +10,7 @@ from ..functions import paths
 from ..schema import SEVERITY_RANKS, severity_rank
 from ..sources.tables import constant_table
 from .globs import suppressed_files
-from .joins import lookup_join, salted_join
+from .joins import lookup_join
 
 DEDUPE_KEYS = ["rule_id", "file_path", "line", "column"]
 
@@ -39,12 +39,12 @@ def suppress_by_rule(findings: DataFrame, rules: DataFrame) -> DataFrame:
 def suppress_by_path(findings: DataFrame, globs: DataFrame) -> DataFrame:
     """Drop findings under a suppressed path of their repository; globs is (repo, pattern).
 
-    Patterns meet distinct paths, not findings, and only those of a shared key.
+    Patterns meet distinct paths, not findings, and only those of a shared key. One file holds few
+    findings beside the table, so the join on files needs no salt.
     """
     files = findings.select("repo", F.col("file_path").alias("path")).distinct()
     covered = suppressed_files(files, globs).withColumnRenamed("path", "file_path")
-    spread = [F.col("line"), F.col("rule_id")]
-    return salted_join(findings, covered, ["repo", "file_path"], "left_anti", spread).select(*findings.columns)
+    return findings.join(covered, ["repo", "file_path"], "left_anti").select(*findings.columns)
 
 
 def suppress_with_tables(findings: DataFrame, rules: DataFrame, globs: DataFrame) -> DataFrame:
@@ -96,10 +96,10 @@ def scan_totals(inventory: DataFrame, roots: DataFrame) -> DataFrame:
     return files_under(inventory, roots).agg(F.count("*").alias("scanned_files"))
 
 
-def merge_roots(findings: DataFrame, roots: DataFrame) -> DataFrame:
+def merge_roots(findings: DataFrame, roots: DataFrame, keys: list[str] = DEDUPE_KEYS) -> DataFrame:
     """Findings of every root in order, those seen before left out."""
     files = findings.withColumn("path", F.col("file_path"))
-    return dedupe_findings(under_roots(files, roots).drop("path", "root")).drop("root_ordinal")
+    return dedupe_findings(under_roots(files, roots).drop("path", "root"), keys).drop("root_ordinal")
 
 
 def missing_roots(corpus: DataFrame, roots: DataFrame) -> DataFrame:
@@ -123,12 +123,9 @@ def sort_columns() -> list[Column]:
 def sorted_findings(findings: DataFrame) -> DataFrame:
     """All findings in report order.
 
-    A range sort samples its input before it sorts. The exchange in front keeps the sampling from
-    running the scan a second time; findings are far fewer than lines. It deals rows out evenly, so
-    no file or rule can weigh it down.
+    A range sort samples its input before it sorts, which reads it twice: store the findings of a scan first.
     """
-    partitions = int(findings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return findings.repartition(partitions).orderBy(*sort_columns())
+    return findings.orderBy(*sort_columns())
 
 
 def severity_levels(spark: SparkSession) -> DataFrame:

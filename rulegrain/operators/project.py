@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import paths
 from ..functions.text import NEWLINES, lenient_text, py_strip
@@ -40,28 +40,40 @@ def not_ignored(env: DataFrame, patterns: DataFrame) -> DataFrame:
     return env.join(ignored_files(env, patterns), ["repo", "path"], "left_anti")
 
 
-def project_findings(committed: DataFrame, exposed: DataFrame) -> DataFrame:
+def project_findings(marked: DataFrame) -> DataFrame:
+    """Findings of environment files (repo, path) marked as ``committed`` and ``covered`` by an ignore line."""
     path = F.col("path")
+    rule = F.when(F.col("committed"), "PRJ002").when(~F.col("covered"), "PRJ001")
+    found = marked.withColumn("rule_id", rule).where(F.col("rule_id").isNotNull())
 
-    def rows(files, rule, severity, message, remediation):
-        return files.select(
+    def either(committed: Column, exposed: Column) -> Column:
+        return F.when(F.col("rule_id") == "PRJ002", committed).otherwise(exposed)
+
+    return as_findings(
+        found.select(
             "repo",
-            F.lit(rule).alias("rule_id"),
-            F.lit(severity).alias("severity"),
-            F.concat(F.lit("Secret file "), path, F.lit(message)).alias("message"),
+            "rule_id",
+            either(F.lit("CRITICAL"), F.lit("HIGH")).alias("severity"),
+            F.concat(F.lit("Secret file "), path, either(F.lit(" is committed."), F.lit(" is not ignored."))).alias("message"),
             path.alias("file_path"),
             F.lit("CWE-538").alias("cwe"),
             F.lit("project").alias("category"),
-            remediation.alias("remediation"),
+            either(
+                F.lit("Remove the file from the index and rotate its secrets."),
+                F.concat(F.lit("Add "), paths.basename(path), F.lit(" to .gitignore.")),
+            ).alias("remediation"),
             ordinal("project", F.lit(0)).alias("ordinal"),
         )
+    )
+
 
-    name = paths.basename(path)
-    first = rows(committed, "PRJ002", "CRITICAL", " is committed.", F.lit("Remove the file from the index and rotate its secrets."))
-    second = rows(exposed, "PRJ001", "HIGH", " is not ignored.", F.concat(F.lit("Add "), name, F.lit(" to .gitignore.")))
-    return as_findings(first.unionByName(second))
+def mark_env_files(env: DataFrame, tracked: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Each environment file with whether the index holds it and whether an ignore line covers it: two joins."""
+    index = tracked.select("repo", "path").distinct().withColumn("committed", F.lit(True))
+    ignored = ignored_files(env, patterns).withColumn("covered", F.lit(True))
+    joined = env.join(index, ["repo", "path"], "left").join(ignored, ["repo", "path"], "left")
+    return joined.select("repo", "path", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("committed", "covered")])
 
 
 def scan_project(corpus: DataFrame, tracked: DataFrame) -> DataFrame:
-    committed, outside = split_tracked(env_files(corpus), tracked)
-    return project_findings(committed, not_ignored(outside, gitignore_patterns(corpus)))
+    return project_findings(mark_env_files(env_files(corpus), tracked, gitignore_patterns(corpus)))

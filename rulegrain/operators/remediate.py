@@ -16,7 +16,6 @@ from ..functions.text import (
     universal_newlines,
 )
 from ..functions.versions import bump_requirement, fixed_from_remediation, package_from_snippet, requirement_name
-from .joins import salted_join
 from .rules import SECRET_NAMES, SECRET_NEEDLES, SECRET_VALUE
 
 # What each fix looks for and writes instead.
@@ -294,13 +293,14 @@ def fixed_lines(corpus: DataFrame, plan: DataFrame) -> DataFrame:
     return with_computed(split, folded=after).select("repo", "path", "original", "lines", "folded")
 
 
-def patched_files(corpus: DataFrame, findings: DataFrame) -> DataFrame:
+def patched_files(corpus: DataFrame, findings: DataFrame, python_secrets_only: bool = True) -> DataFrame:
     """Changed files: original, fixed text, number of changes, place of a new import, variables.
 
-    The input is never written to; the original stays beside the fixed text.
+    The input is never written to; the original stays beside the fixed text. Secrets are moved to
+    os.environ in Python files only, unless asked otherwise.
     """
     files = with_computed(
-        fixed_lines(corpus, fix_plan(findings)),
+        fixed_lines(corpus, fix_plan(findings, python_secrets_only)),
         text=joined_lines(F.transform("folded", lambda f: f["text"]), F.col("original")),
         env=F.flatten(F.transform("folded", lambda f: f["env"])),
         n=F.aggregate("folded", F.lit(0), lambda n, f: n + f["changes"]),
@@ -407,5 +407,5 @@ def env_example(variables: DataFrame, corpus: DataFrame) -> DataFrame:
     )
     endings = F.transform(F.sequence(F.lit(1), F.length("run")), lambda i: F.substr(F.col("run"), i))
     present = names.select("repo", F.explode(endings).alias("name")).distinct()
-    missing = salted_join(variables, present, ["repo", "name"], "left_anti", [F.col("name")])
+    missing = variables.join(present, ["repo", "name"], "left_anti")
     return missing.select("repo", "name", F.concat("name", F.lit("=CHANGE_ME")).alias("entry"))

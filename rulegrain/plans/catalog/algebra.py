@@ -10,15 +10,14 @@ from ...schema import SEVERITY_RANKS
 from ...sources.tables import stored
 from .. import derive, oracle as o
 from .registry import FINDING_COLUMNS, query, shown
-from .rules import ADVISORIES, ALL, DEP_FINDINGS, DEPS, MANIFESTS, SCAN, all_findings
-from .sources import feed_cte
+from .rules import ADVISORIES, ALL, DEP_FINDINGS, DEPS, MANIFESTS, OSV, PATHS_SQL, SCAN, all_findings
 
 LINES = derive.unique_lines_sql()
 BASE = [
     LINES,
     o.code_findings("code_f", "unique_lines"),
     o.secret_findings("sec_f", "unique_lines"),
-    f"f AS (SELECT {o.FINDING}, ordinal FROM code_f UNION ALL SELECT {o.FINDING}, ordinal FROM sec_f)",
+    f"f AS MATERIALIZED (SELECT {o.FINDING}, ordinal FROM code_f UNION ALL SELECT {o.FINDING}, ordinal FROM sec_f)",
 ]
 
 
@@ -59,16 +58,9 @@ def suppress_by_rule(spark, sf_dir):
     return shown(fs.suppress_by_rule(base_findings(spark, sf_dir), rules))
 
 
-PATHS_SQL = """globs AS (SELECT repo, unnest(ignore_paths) AS g FROM configs),
-    hidden AS (
-      SELECT DISTINCT f.repo, file_path FROM f JOIN globs USING (repo)
-      WHERE CASE WHEN ends_with(g, '/') THEN starts_with(file_path, g) OR contains('/' || file_path, '/' || g)
-        ELSE file_path GLOB g OR string_split(file_path, '/')[-1] GLOB g OR file_path GLOB ('*/' || g) END)"""
-
-
 @query(
     "suppress_by_path",
-    o.with_(*BASE, CONFIG, PATHS_SQL, f"{ALL} f WHERE (repo, file_path) NOT IN (SELECT (repo, file_path) FROM hidden)"),
+    o.with_(*BASE, CONFIG, PATHS_SQL, f"{ALL} f ANTI JOIN hidden USING (repo, file_path)"),
 )
 def suppress_by_path(spark, sf_dir):
     _, globs, _ = fs.suppression_tables(derive.configs(spark, sf_dir))
@@ -95,19 +87,6 @@ def join_advisory(spark, sf_dir):
     return deps.join_advisory(rows, deps.advisory_table(spark)).select("k", "name", "version", "id", "severity", "fixed")
 
 
-OSV = [
-    *DEP_FINDINGS,
-    o.requirement_deps("osv_pins", "PyPI", True),
-    "osv_deps AS (SELECT * FROM osv_pins UNION ALL SELECT * FROM package_deps)",
-    derive.dependency_rows_sql(),
-    derive.replies_sql(),
-    feed_cte(),
-    """osv_all AS (
-      SELECT repo, id AS rule_id, severity, path AS file_path, line, name || '==' || version AS snippet, fixed IS NOT NULL AS fixable,
-        position, vuln_no, CASE WHEN fixed IS NOT NULL THEN 'Upgrade ' || name || ' to >= ' || fixed || '.'
-          ELSE 'Upgrade ' || name || '; see advisory ' || id END AS remediation
-      FROM osv_deps JOIN feed USING (ecosystem, name, version))""",
-]
 OSV_COLUMNS = ["repo", "rule_id", "severity", "file_path", "line", "snippet", "fixable", "remediation"]
 OSV_SELECT = "SELECT " + ", ".join(OSV_COLUMNS)
 

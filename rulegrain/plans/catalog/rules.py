@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from ...functions import paths, text as t
 from ...operators import dependencies as deps, lines, project, pyfacts, responses, secrets
-from ...operators.findings import union_scanners
+from ...operators.findings import sorted_findings
 from ...operators.responses import RESPONSE_RULES
 from ...operators.rules import GENERIC_SECRET, LINE_RULES, PYTHON_RULES, SECRET_RULES
-from ...sources.corpus import scannable
+from ...sources.corpus import with_kind
+from ...sources.tables import stored
 from .. import derive, oracle as o
+from ..scan import scan
 from .registry import FINDING_COLUMNS, ORACLES, query, shown
+from .sources import feed_cte
 
 CODE = derive.code_texts_sql()
 CODE_LINES = o.lines_cte("file_lines", "code_texts")
@@ -114,6 +119,11 @@ def py_snippet(spark, sf_dir):
     return found.select("file_path", "rule_id", "line", "column", "snippet").where("snippet != ''")
 
 
+PATHS_SQL = """globs AS (SELECT repo, unnest(ignore_paths) AS g FROM configs),
+    hidden AS (
+      SELECT DISTINCT repo, file_path FROM (SELECT DISTINCT repo, file_path FROM f) JOIN globs USING (repo)
+      WHERE CASE WHEN ends_with(g, '/') THEN starts_with(file_path, g) OR contains('/' || file_path, '/' || g)
+        ELSE file_path GLOB g OR string_split(file_path, '/')[-1] GLOB g OR file_path GLOB ('*/' || g) END)"""
 ADVISORIES = o.advisories_cte(deps.ADVISORIES)
 MANIFESTS = [derive.manifest_texts_sql(), o.requirement_lines(), o.requirement_deps("pypi", "pypi", False), o.package_deps()]
 DEPS = "deps AS (SELECT * FROM pypi UNION ALL SELECT * FROM package_deps)"
@@ -146,6 +156,23 @@ def dast_findings(spark, sf_dir):
     return shown(responses.scan_responses(derive.responses(spark, sf_dir)))
 
 
+OSV = [
+    *DEP_FINDINGS,
+    o.requirement_deps("osv_pins", "PyPI", True),
+    "osv_deps AS (SELECT * FROM osv_pins UNION ALL SELECT * FROM package_deps)",
+    derive.dependency_rows_sql(),
+    derive.replies_sql(),
+    feed_cte(),
+    """osv_all AS (
+      SELECT repo, id AS rule_id, severity, path AS file_path, line, name || '==' || version AS snippet, fixed IS NOT NULL AS fixable,
+        position, vuln_no, CASE WHEN fixed IS NOT NULL THEN 'Upgrade ' || name || ' to >= ' || fixed || '.'
+          ELSE 'Upgrade ' || name || '; see advisory ' || id END AS remediation
+      FROM osv_deps JOIN feed USING (ecosystem, name, version))""",
+    """osv_new AS (
+      SELECT * FROM osv_all WHERE (repo, rule_id) NOT IN (SELECT (repo, rule_id) FROM dep_f)
+      QUALIFY row_number() OVER (PARTITION BY repo, rule_id ORDER BY file_path, position, vuln_no) = 1)""",
+]
+NO_CWE = "CAST(NULL AS VARCHAR) AS cwe"
 SCAN = [
     CODE,
     "scanned AS (SELECT repo, path, text, ext, step FROM code_texts WHERE NOT " + o.pruned("path") + ")",
@@ -153,17 +180,50 @@ SCAN = [
     o.code_findings("code_f", "file_lines"),
     o.secret_findings("sec_f", "file_lines", True),
     o.python_findings("py_f", "scanned"),
-    *DEP_FINDINGS,
-    f"scan_f AS ({ALL} code_f UNION ALL {ALL} sec_f UNION ALL {ALL} py_f UNION ALL {ALL} dep_f)",
+    *OSV,
+    f"prj_f AS ({PRJ})",
+    f"""scan_f AS (
+      {ALL} code_f UNION ALL {ALL} sec_f UNION ALL {ALL} py_f UNION ALL {ALL} dep_f
+      UNION ALL SELECT repo, rule_id, severity, {o.RANK} AS severity_rank, file_path, 0 AS line, 0 AS "column", cwe, '' AS snippet, category,
+        false AS fixable FROM prj_f
+      UNION ALL SELECT repo, rule_id, severity, {o.RANK}, file_path, line, 0, {NO_CWE}, snippet, 'dependency', fixable FROM osv_new)""",
 ]
 
 
+def scan_corpus(spark, sf_dir):
+    """Source files, manifests, environment and ignore files in one corpus, by kind as it is best stored."""
+    parts = derive.code_corpus, derive.manifest_corpus, derive.tree_files
+    return with_kind(reduce(DataFrame.unionByName, [part(spark, sf_dir) for part in parts]))
+
+
 @query("all_findings", o.with_(*SCAN, ALL + "scan_f"))
 def all_findings(spark, sf_dir):
-    files = scannable(derive.code_corpus(spark, sf_dir).unionByName(derive.manifest_corpus(spark, sf_dir)))
-    return shown(
-        union_scanners(secrets.scan_text(files), pyfacts.scan_python(files), deps.scan_dependencies(files))
+    """The whole scan: project, unreadable files, code, secrets, dependencies and feed."""
+    return shown(scan(scan_corpus(spark, sf_dir), derive.tracked(spark, sf_dir), replies=derive.replies(spark, sf_dir)).findings)
+
+
+IGNORED = ["PY007", "SEC006"], ["legacy/", "*.java"]
+
+
+@query(
+    "scan",
+    o.with_(
+        *SCAN, derive.configs_sql(), f"f AS (SELECT * FROM scan_f WHERE rule_id NOT IN {o.in_list(IGNORED[0])})", PATHS_SQL,
+        f"""{ALL} f ANTI JOIN hidden USING (repo, file_path)
+            WHERE (repo, rule_id) NOT IN (SELECT (repo, unnest(ignore_rules)) FROM configs)
+              AND NOT (starts_with(file_path, 'legacy/') OR contains(file_path, '/legacy/') OR ends_with(file_path, '.java'))
+            QUALIFY row_number() OVER (PARTITION BY repo, rule_id, file_path, line, "column") = 1
+            ORDER BY severity_rank DESC, file_path, line, rule_id, "column" """,
+    ),
+)
+def scan_query(spark, sf_dir):
+    """Two overlapping roots, suppression of the whole scan and by repository, each finding once, in report order."""
+    roots = spark.createDataFrame([(".", 0), ("src/", 1)], "root string, root_ordinal bigint")
+    found = scan(
+        scan_corpus(spark, sf_dir), derive.tracked(spark, sf_dir), replies=derive.replies(spark, sf_dir),
+        ignore_rules=IGNORED[0], ignore_paths=IGNORED[1], config=derive.configs(spark, sf_dir), roots=roots,
     )
+    return shown(sorted_findings(stored(found.findings)))
 
 
 @query("union_scanners", o.with_(*SCAN, "SELECT category, rule_id, count(*) AS n FROM scan_f GROUP BY ALL"))

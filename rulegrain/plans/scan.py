@@ -1,4 +1,8 @@
-"""The whole scan as one lazy plan."""
+"""The whole scan, and the fixes of one.
+
+Results that several steps read are written on the way, so building a scan runs jobs; for streams use
+``streaming``.
+"""
 
 from __future__ import annotations
 
@@ -7,14 +11,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.dependencies import extract_dependencies, manifest_errors, scan_dependencies
-from ..operators.findings import suppress, union_scanners
+from ..functions.paths import MAX_FILE_BYTES
+from ..operators.findings import DEDUPE_KEYS, merge_roots, suppress, suppress_with_tables, suppression_tables, union_scanners
 from ..operators.lines import unreadable_files
 from ..operators.osv import scan_osv
 from ..operators.project import scan_project
 from ..operators.pyfacts import py_facts, python_errors, python_findings, python_sources
 from ..operators.remediate import patched_files
 from ..operators.secrets import scan_text
-from ..sources.corpus import scannable, scanned_files
+from ..sources.corpus import oversized_files, scannable, scanned_files
 from ..sources.tables import stored
 
 
@@ -38,14 +43,22 @@ def scan(
     replies: DataFrame | None = None,
     ignore_rules: list[str] = (),
     ignore_paths: list[str] = (),
+    config: DataFrame | None = None,
+    roots: DataFrame | None = None,
+    max_bytes: int = MAX_FILE_BYTES,
 ) -> Scan:
     """Project, code, dependency and secret findings of every repository in the corpus.
 
-    ``replies`` adds the advisory feed. Text rules share one read of the corpus; the syntax facts and
-    the manifests read only their own kind when the corpus is stored by kind.
+    ``replies`` adds the advisory feed. ``config`` (repo, ignore_rules, ignore_paths, fail_on) suppresses
+    by repository beside the lists for the whole scan. ``roots`` (root, root_ordinal) keeps what lies
+    under them, each finding once. Files over ``max_bytes`` are not read and are listed as errors.
+
+    Text rules share one read of the corpus; the syntax facts and the manifests read only their own kind
+    when the corpus is stored by kind. The facts are stored, as findings and errors both read them, so
+    that each Python file is parsed once.
     """
-    files = scannable(corpus)
-    facts = py_facts(python_sources(files))
+    files = scannable(corpus, max_bytes)
+    facts = stored(py_facts(python_sources(files)))
     dependencies = scan_dependencies(files, advisories)
     parts = [
         scan_project(corpus, tracked),
@@ -57,14 +70,22 @@ def scan(
     if replies is not None:
         parts.append(scan_osv(extract_dependencies(files), replies, dependencies))
     kept = suppress(union_scanners(*parts), ignore_rules, ignore_paths)
-    errors = python_errors(facts).unionByName(manifest_errors(files))
-    return Scan(kept, scanned_files(corpus), errors)
+    if config is not None:
+        rules, globs, _ = suppression_tables(config)
+        kept = suppress_with_tables(stored(kept), rules, globs)
+    if roots is not None:
+        kept = merge_roots(kept, roots, ["repo", *DEDUPE_KEYS])
+    errors = python_errors(facts).unionByName(manifest_errors(files)).unionByName(oversized_files(corpus, max_bytes))
+    return Scan(kept, scanned_files(corpus, max_bytes), errors)
 
 
-def fix(corpus: DataFrame, tracked: DataFrame, ignore_rules: list[str] = (), ignore_paths: list[str] = ()) -> DataFrame:
+def fix(
+    corpus: DataFrame, tracked: DataFrame, ignore_rules: list[str] = (), ignore_paths: list[str] = (),
+    max_bytes: int = MAX_FILE_BYTES, python_secrets_only: bool = True,
+) -> DataFrame:
     """Patched files of a scan; the corpus itself is left alone.
 
     The fixable findings are stored first: the plan of fixes reads them more than once.
     """
-    found = scan(corpus, tracked, ignore_rules=ignore_rules, ignore_paths=ignore_paths).findings
-    return patched_files(scannable(corpus), stored(found.where(F.col("fixable"))))
+    found = scan(corpus, tracked, ignore_rules=ignore_rules, ignore_paths=ignore_paths, max_bytes=max_bytes).findings
+    return patched_files(scannable(corpus, max_bytes), stored(found.where(F.col("fixable"))), python_secrets_only)

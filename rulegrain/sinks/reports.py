@@ -19,9 +19,6 @@ ORDER = ["repo", "section", "minus_rank", "file_path", "line", "rule_id", "colum
 SARIF_VERSION = "2.1.0"
 SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
 
-# Level names centred in eight characters.
-BADGES = {s: f" {s:^8} " for s in SEVERITY_RANKS}
-
 _JSON = {"ignoreNullFields": "false"}
 
 
@@ -48,13 +45,26 @@ def _summaries(findings: DataFrame, stats: DataFrame) -> DataFrame:
     return joined.select("repo", *zero)
 
 
+def _frame(heads: DataFrame, texts: dict[int, Column]) -> DataFrame:
+    """One row per repository for each section number: what stands around the listed rows."""
+    parts = F.array(*[F.struct(F.lit(section).alias("section"), text.alias("text")) for section, text in texts.items()])
+    return _rows_of(heads.select("repo", F.inline(parts)))
+
+
+def _rows_of(rows: DataFrame) -> DataFrame:
+    """Rows (repo, section, text) with the columns of the order that they lack."""
+    kinds = {"file_path": "string", "rule_id": "string", "ordinal": "bigint"}
+    empty = [F.lit(None).cast(kinds.get(name, "int")).alias(name) for name in ORDER[2:]]
+    return rows.select("repo", F.col("section").cast("int").alias("section"), *empty, "text")
+
+
 def _separated(rows: DataFrame) -> DataFrame:
-    """Put a comma before every row but the first of its repository and section.
+    """Put a comma before every row but the first of its repository and section; equal rows are listed once.
 
-    The first is the least in report order; that needs the findings to differ in file and ordinal,
-    as those of one scan do.
+    The first is the least in report order, then by its text, so that there is exactly one.
     """
-    key = F.struct(*ORDER[2:])
+    rows = rows.distinct()
+    key = F.struct(*ORDER[2:], "text")
     first = rows.groupBy("repo").agg(F.min(key).alias("least"))
     joined = salted_join(rows, first, ["repo"], "inner", [F.col("file_path"), F.col("ordinal")])
     text = F.when(key == F.col("least"), F.col("text")).otherwise(F.concat(F.lit(","), F.col("text")))
@@ -76,7 +86,8 @@ def _json_string(value: Column) -> Column:
 
 
 def report_json(findings: DataFrame, stats: DataFrame, errors: DataFrame) -> DataFrame:
-    """A JSON document per repository: head, findings, errors, tail."""
+    """A JSON document per repository: head, findings, errors, tail. Equal findings count once."""
+    findings = findings.distinct()
     heads = _summaries(findings, stats)
     summary = F.to_json(F.struct(*SEVERITY_RANKS))
     head = F.concat(
@@ -85,11 +96,9 @@ def report_json(findings: DataFrame, stats: DataFrame, errors: DataFrame) -> Dat
     )
     listed = errors.select("repo", "file_path", "error").distinct().withColumn("rule_id", F.col("error"))
     return (
-        _rows(heads, 0, head)
+        _frame(heads, {0: head, 2: F.lit('],"errors":['), 4: F.lit("]}")})
         .unionByName(_separated(_rows(findings, 1, finding_json())))
-        .unionByName(_rows(heads, 2, F.lit('],"errors":[')))
         .unionByName(_separated(_rows(listed, 3, _json_string(F.col("error")))))
-        .unionByName(_rows(heads, 4, F.lit("]}")))
     )
 
 
@@ -109,16 +118,16 @@ def sarif_result() -> Column:
 
 
 def report_sarif(findings: DataFrame, stats: DataFrame) -> DataFrame:
-    """A SARIF document per repository: one run, one result per finding."""
+    """A SARIF document per repository: one run, one result per finding. Equal findings count once."""
+    findings = findings.distinct()
     heads = _summaries(findings, stats)
     head = (
         f'{{"$schema":"{SARIF_SCHEMA}","version":"{SARIF_VERSION}","runs":[{{"tool":{{"driver":{{"name":"rulegrain",'
         f'"version":"{__version__}","informationUri":"https://example.local/rulegrain","rules":[]}}}},"results":['
     )
     return (
-        _rows(heads, 0, F.lit(head))
+        _frame(heads, {0: F.lit(head), 2: F.lit("]}]}")})
         .unionByName(_separated(_rows(findings, 1, sarif_result())))
-        .unionByName(_rows(heads, 2, F.lit("]}]}")))
     )
 
 
@@ -127,42 +136,35 @@ def finding_location() -> Column:
 
 
 def listing_text() -> Column:
-    """Heading, message, snippet and advice of one finding, and a blank line."""
-    badge = F.when(F.lit(False), "")
-    for severity, text in BADGES.items():
-        badge = badge.when(F.col("severity") == severity, text)
-    cwe = F.coalesce(F.concat(F.lit(" ["), F.nullif(F.col("cwe"), F.lit("")), F.lit("]")), F.lit(""))
-    indent = "\n         "
+    """One finding as a block of lines: place, rule with level and weakness, then what it says."""
+    cwe = F.coalesce(F.concat(F.lit(", "), F.nullif(F.col("cwe"), F.lit(""))), F.lit(""))
     return F.concat(
-        badge, F.lit(" "), F.col("rule_id"), cwe, F.lit(" "), finding_location(),
-        F.when(F.col("fixable"), " (auto-fixable)").otherwise(""),
-        F.lit(indent), F.col("message"),
-        F.when(F.col("snippet") != "", F.concat(F.lit(indent + "> "), F.col("snippet"))).otherwise(""),
-        F.when(F.col("remediation") != "", F.concat(F.lit(indent + "fix: "), F.col("remediation"))).otherwise(""),
-        F.lit("\n"),
+        finding_location(), F.lit("\n  "), F.col("rule_id"), F.lit(" ("), F.lower("severity"), cwe,
+        F.when(F.col("fixable"), ", has a fix").otherwise(""), F.lit("): "), F.col("message"),
+        F.when(F.col("snippet") != "", F.concat(F.lit("\n  | "), F.col("snippet"))).otherwise(""),
+        F.when(F.col("remediation") != "", F.concat(F.lit("\n  -> "), F.col("remediation"))).otherwise(""),
     )
 
 
 def report_listing(findings: DataFrame, stats: DataFrame, errors: DataFrame) -> DataFrame:
-    """A plain text report per repository."""
+    """A plain text report per repository: a head with the counts, a block per finding, unread files, an end line.
+
+    Equal findings count once.
+    """
+    findings = findings.distinct()
     heads = _summaries(findings, stats)
+    levels = sorted(SEVERITY_RANKS, key=SEVERITY_RANKS.get, reverse=True)
     total = sum((F.col(s) for s in SEVERITY_RANKS), F.lit(0))
-    clean = F.when(total == 0, "\n  No vulnerabilities found.").otherwise("")
+    counts = F.concat_ws(", ", *[F.concat(F.col(s).cast("string"), F.lit(f" {s.lower()}")) for s in levels])
     head = F.concat(
-        F.lit("rulegrain scan - "), F.col("repo"), F.lit("\n  scanned "), F.col("scanned_files"), F.lit(" file(s)\n"), clean
-    )
-    levels = sorted(SEVERITY_RANKS, key=SEVERITY_RANKS.get, reverse=True)
-    summary = F.concat(
-        F.lit("Summary: "), F.concat_ws("  ", *[F.concat(F.lit(f"{s}: "), F.col(s).cast("string")) for s in levels])
+        F.lit("Repository "), F.col("repo"), F.lit(": "), F.col("scanned_files"), F.lit(" files read, "),
+        total.cast("string"), F.lit(" findings ("), counts, F.lit(")"),
     )
     listed = errors.select("repo", "file_path", "error").withColumn("rule_id", F.col("error"))
-    failed = errors.groupBy("repo").agg(F.count("*").alias("n"))
     return (
-        _rows(heads, 0, head)
+        _frame(heads, {0: head, 3: F.concat(F.lit("End of "), F.col("repo"))})
         .unionByName(_rows(findings, 1, listing_text()))
-        .unionByName(_rows(heads, 2, summary))
-        .unionByName(_rows(failed, 3, F.concat(F.lit("\n"), F.col("n"), F.lit(" file error(s):"))))
-        .unionByName(_rows(listed, 4, F.concat(F.lit("  ! "), F.col("file_path"), F.lit(": "), F.col("error"))))
+        .unionByName(_rows(listed, 2, F.concat(F.lit("not read: "), F.col("file_path"), F.lit(" - "), F.col("error"))))
     )
 
 
@@ -170,9 +172,3 @@ def write_report(report: DataFrame, path: str) -> None:
     """Write report rows in order; a repository's part files, by name, make up its document."""
     ordered = report.orderBy(*[F.col(f"`{c}`").asc_nulls_first() for c in ORDER])
     ordered.select("repo", "text").write.partitionBy("repo").mode("errorifexists").text(path)
-
-
-def write_findings(findings: DataFrame, path: str, buckets: int | None = None) -> None:
-    """Write findings as Parquet, one folder per severity."""
-    out = findings if buckets is None else findings.repartition(buckets)
-    out.write.partitionBy("severity").mode("errorifexists").parquet(path)

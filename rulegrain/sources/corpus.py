@@ -46,20 +46,29 @@ def scanner_dispatch(files: DataFrame) -> DataFrame:
     return files.select("repo", "path", F.posexplode(dispatch_column()).alias("scanner_no", "scanner"))
 
 
-def scannable(corpus: DataFrame) -> DataFrame:
+def scannable(corpus: DataFrame, max_bytes: int = paths.MAX_FILE_BYTES) -> DataFrame:
     """Files a scan opens: outside pruned directories, small enough, and read by some scanner.
 
     All three tests need path and length only, so content is read for surviving files alone.
     """
-    return size_cap(prune_ignored_dirs(corpus)).where(F.size(dispatch_column()) > 0)
+    return size_cap(prune_ignored_dirs(corpus), max_bytes).where(F.size(dispatch_column()) > 0)
 
 
-def scanned_files(corpus: DataFrame) -> DataFrame:
+def oversized_files(corpus: DataFrame, max_bytes: int = paths.MAX_FILE_BYTES) -> DataFrame:
+    """Error rows for files that some scanner would read but for their size."""
+    large = prune_ignored_dirs(corpus).where((F.col("length") > max_bytes) & (F.size(dispatch_column()) > 0))
+    error = F.concat(F.lit("not read: "), F.col("length").cast("string"), F.lit(f" bytes, over the limit of {max_bytes}"))
+    return large.select("repo", F.col("path").alias("file_path"), error.alias("error"))
+
+
+def scanned_files(corpus: DataFrame, max_bytes: int = paths.MAX_FILE_BYTES) -> DataFrame:
     """Files opened per repository."""
-    return scannable(corpus).groupBy("repo").agg(F.count("*").alias("scanned_files"))
+    return scannable(corpus, max_bytes).groupBy("repo").agg(F.count("*").alias("scanned_files"))
 
 
-def read_tree(spark: SparkSession, roots: dict[str, str], partitions: int | None = None) -> DataFrame:
+def read_tree(
+    spark: SparkSession, roots: dict[str, str], partitions: int | None = None, max_bytes: int = paths.MAX_FILE_BYTES
+) -> DataFrame:
     """A corpus from directories {repo: directory} on a file system every executor can see.
 
     The file sources of Spark skip names that start with a dot, among them the very files the project
@@ -83,7 +92,7 @@ def read_tree(spark: SparkSession, roots: dict[str, str], partitions: int | None
         try:
             size = os.path.getsize(path)
             content = None
-            if size <= paths.MAX_FILE_BYTES:
+            if size <= max_bytes:
                 with open(path, "rb") as handle:
                     content = handle.read()
         except OSError:

@@ -65,7 +65,7 @@ def test_feed(spark, either_join):
         ("r", "GHSA-a", "MEDIUM", "a.txt", 7, True), ("r", "OSV-UNKNOWN", "MEDIUM", "a.txt", 1, False),
         ("r", "X", "CRITICAL", "a.txt", 7, False), ("s", "X", "CRITICAL", "z.txt", 1, False),
     ]
-    assert rows[0].message == "flask 1 is vulnerable: Bad." and rows[0].remediation == "Upgrade flask to >= 2.3.2."
+    assert rows[0].message == "flask 1 falls under a published advisory. Bad." and rows[0].remediation == "Upgrade flask to >= 2.3.2."
     assert rows[1].message.endswith("Known vulnerability.")
 
 
