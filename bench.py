@@ -6,6 +6,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -15,6 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from rulegrain.plans.catalog import QUERIES  # noqa: E402
 
 HEADLINE = [
+    "code_lines",
     "rule_match_line",
     "js_findings",
     "sec_findings",
@@ -24,6 +26,9 @@ HEADLINE = [
     "prj_findings",
     "dast_findings",
     "dedupe_findings",
+    "merge_roots",
+    "findings_by_file",
+    "sorted_findings",
     "suppress_by_path",
     "join_osv_new_ids",
     "patched_files",
@@ -37,6 +42,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     names = sys.argv[1:] or HEADLINE
+    folder = tempfile.TemporaryDirectory(prefix="bench-")  # driver and executors are one process here
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("bench")
@@ -45,6 +51,7 @@ def main() -> None:
         .config("spark.driver.memory", "16g")
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", folder.name)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...operators import dependencies as deps, findings as fs, lines, osv, project
+from ...operators.responses import scan_responses
 from ...operators.secrets import scan_secret_lines
 from ...schema import SEVERITY_RANKS
 from ...sources.tables import stored
@@ -149,18 +150,25 @@ def prj_gitignored(spark, sf_dir):
 
 
 def repeated_findings(spark, sf_dir):
-    """Findings on all order lines, where a line may occur several times; the part number is the root."""
-    rows = derive.line_rows(spark, sf_dir).select("repo", "path", "line", "text")
+    """Findings on all order lines, where a line may occur several times under different roots.
+
+    The root is the part number's remainder. Lines with one root may be equal but for their text; then
+    the finding with the smaller snippet is first.
+    """
+    rows = derive.line_rows(spark, sf_dir).withColumn("repo", F.concat_ws("#", "repo", (F.col("p") % 5).cast("string")))
     found = lines.scan_lines(rows.select("repo", "path", "line", "text"))
-    return found.withColumn("root_ordinal", F.length("file_path"))
+    root = F.substring_index("repo", "#", -1).cast("int")
+    return found.withColumn("root_ordinal", root).withColumn("repo", F.substring_index("repo", "#", 1))
 
 
 @query(
     "dedupe_findings",
     o.with_(
-        derive.line_rows_sql(), o.code_findings("f", "line_rows"),
-        f"""{ALL} f QUALIFY row_number() OVER (PARTITION BY rule_id, file_path, line, "column"
-            ORDER BY length(file_path), ordinal, snippet) = 1""",
+        derive.line_rows_sql(), "rooted AS (SELECT * REPLACE (repo || '#' || (p % 5) AS repo) FROM line_rows)",
+        o.code_findings("f", "rooted"),
+        f"""SELECT * REPLACE (string_split(repo, '#')[1] AS repo) FROM (
+            {ALL} f QUALIFY row_number() OVER (PARTITION BY rule_id, file_path, line, "column"
+            ORDER BY CAST(string_split(repo, '#')[2] AS INTEGER), ordinal, snippet) = 1)""",
     ),
 )
 def dedupe_findings(spark, sf_dir):
@@ -209,9 +217,10 @@ def secret_documents(spark, sf_dir):
     return scan_secrets(derive.with_content(derive.document_texts(spark, sf_dir)))
 
 
-@query("severity_levels_join", o.with_(*BASE, LEVELS, "chosen AS (SELECT * FROM f WHERE severity <> 'LOW' AND category = 'sast')", COUNTS.format("chosen")))
+@query("severity_levels_join", o.with_(derive.responses_sql(), o.response_findings("f"), LEVELS, COUNTS.format("f")))
 def severity_levels_join(spark, sf_dir):
-    return fs.severity_counts(base_findings(spark, sf_dir).where("severity != 'LOW' and category = 'sast'"))
+    """Responses give no critical finding; the level is listed all the same."""
+    return fs.severity_counts(scan_responses(derive.responses(spark, sf_dir)))
 
 
 @query("severity_desc", o.with_(*BASE, LEVELS, COUNTS.format("f") + " ORDER BY severity_rank DESC"))

@@ -188,7 +188,7 @@ def fix_candidate_files(spark, sf_dir):
     return fix.fix_candidate_files(*code_findings(spark, sf_dir)).select("repo", "path")
 
 
-# All changes of a template lie within one hunk: its files have fewer lines than two contexts.
+# Changes with more than two contexts between them begin a new hunk.
 @query(
     "diff_hunks",
     o.with_(
@@ -202,14 +202,22 @@ def fix_candidate_files(spark, sf_dir):
            changed AS (
              SELECT *, list_filter(all_no, lambda i: o[i] <> f[i + CASE WHEN import_at IS NOT NULL AND i > import_at THEN 1 ELSE 0 END]) AS hits
              FROM counted),
+           points AS (
+             SELECT repo, path, n, import_at, unnest(hits) - 1 AS lo, unnest(hits) AS hi, 0 AS ins FROM changed
+             UNION ALL SELECT repo, path, n, import_at, import_at, import_at, 1 FROM changed WHERE import_at IS NOT NULL),
+           marked AS (
+             SELECT *, CASE WHEN coalesce(lo - max(hi) OVER (PARTITION BY repo, path ORDER BY lo, hi, ins
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 999) > 6 THEN 1 ELSE 0 END AS new FROM points),
+           hunks AS (
+             SELECT *, sum(new) OVER (PARTITION BY repo, path ORDER BY lo, hi, ins ROWS UNBOUNDED PRECEDING) AS hunk FROM marked),
            ranged AS (
-             SELECT *, least(coalesce(list_min(hits), 999) - 1, coalesce(import_at, 999)) AS first,
-               greatest(coalesce(list_max(hits), 0), coalesce(import_at, 0)) AS last FROM changed)""",
-        """SELECT repo, path, 1 AS hunk, CAST(greatest(first - 3, 0) + 1 AS INTEGER) AS old_start,
+             SELECT repo, path, n, import_at, hunk, min(lo) AS first, max(hi) AS last, sum(ins) AS inserted, count(*) AS changes
+             FROM hunks GROUP BY ALL)""",
+        """SELECT repo, path, CAST(hunk AS INTEGER) AS hunk, CAST(greatest(first - 3, 0) + 1 AS INTEGER) AS old_start,
              CAST(least(last + 3, n) - greatest(first - 3, 0) AS INTEGER) AS old_lines,
-             CAST(greatest(first - 3, 0) + 1 AS INTEGER) AS new_start,
-             CAST(least(last + 3, n) - greatest(first - 3, 0) + CASE WHEN import_at IS NULL THEN 0 ELSE 1 END AS INTEGER) AS new_lines,
-             CAST(len(hits) + CASE WHEN import_at IS NULL THEN 0 ELSE 1 END AS INTEGER) AS changes FROM ranged""",
+             CAST(greatest(first - 3, 0) + 1 + CASE WHEN inserted = 0 AND import_at < first THEN 1 ELSE 0 END AS INTEGER) AS new_start,
+             CAST(least(last + 3, n) - greatest(first - 3, 0) + inserted AS INTEGER) AS new_lines,
+             CAST(changes AS INTEGER) AS changes FROM ranged""",
     ),
 )
 def diff_hunks(spark, sf_dir):
@@ -217,8 +225,8 @@ def diff_hunks(spark, sf_dir):
 
 
 ENV = """env_rows AS (
-      SELECT repo, path, CASE change_count WHEN 4 THEN 'API_KEY' ELSE CASE WHEN import_at = 0 THEN 'SECRET_KEY' ELSE 'DB_PASSWORD' END END AS name,
-        CASE change_count WHEN 4 THEN 'G7kq9Lm2Zxabc' ELSE CASE WHEN import_at = 0 THEN 'django-insecure-abc123xyz' ELSE 'P@ssw0rd_9kQ2mZ!x' END END AS value
+      SELECT repo, path, CASE change_count WHEN 4 THEN 'AUTH_TOKEN' ELSE CASE WHEN import_at = 0 THEN 'SECRET_KEY' ELSE 'MAIL_PASSWORD' END END AS name,
+        CASE change_count WHEN 4 THEN 'hT6wq0Vz9LxB' ELSE CASE WHEN import_at = 0 THEN 'k3y-of-tests-0f9e8d7c' ELSE 'Tq8_vR!2mZx7Lw0' END END AS value
       FROM patched WHERE contains(fixed, 'os.environ'))"""
 
 
@@ -238,8 +246,8 @@ def env_vars(spark, sf_dir):
     o.with_(
         *CODE, ENV,
         """SELECT DISTINCT repo, name, name || '=CHANGE_ME' AS entry FROM env_rows
-           WHERE NOT (CAST(substr(repo, 5) AS INTEGER) % 3 = 0 AND name IN ('API_KEY', 'SECRET_KEY'))
-             AND NOT (CAST(substr(repo, 5) AS INTEGER) % 3 = 1 AND name = 'DB_PASSWORD')""",
+           WHERE NOT (CAST(substr(repo, 5) AS INTEGER) % 3 = 0 AND name IN ('AUTH_TOKEN', 'SECRET_KEY'))
+             AND NOT (CAST(substr(repo, 5) AS INTEGER) % 3 = 1 AND name = 'MAIL_PASSWORD')""",
     ),
 )
 def env_example(spark, sf_dir):
@@ -247,7 +255,7 @@ def env_example(spark, sf_dir):
     code = derive.code_corpus(spark, sf_dir)
     number = F.substr(F.col("repo"), F.lit(5)).cast("int")
     text = (
-        F.when(number % 3 == 0, "# keys\nMY_API_KEY=1\nSECRET_KEY=\n").when(number % 3 == 1, "DB_PASSWORD=x\nKEY = 1").otherwise("")
+        F.when(number % 3 == 0, "# keys\nMY_AUTH_TOKEN=1\nSECRET_KEY=\n").when(number % 3 == 1, "MAIL_PASSWORD=x\nKEY = 1").otherwise("")
     )
     examples = code.select("repo").distinct().select("repo", F.lit(".env.example").alias("path"), text.alias("text"))
     found = fix.env_vars(patched(spark, sf_dir))

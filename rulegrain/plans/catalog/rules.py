@@ -79,7 +79,7 @@ def py_findings(spark, sf_dir):
 FACT_TESTS = {
     "settings": r"^(SECRET_KEY|ALLOWED_HOSTS|DEBUG) = ",
     "interfaces": r"0\.0\.0\.0",
-    "broken": r"^def \(:",
+    "broken": r"^class \(:",
     "verify": r"verify\s*=",
     "eval": r"\b(eval|exec)\(",
 }
@@ -110,6 +110,71 @@ def py_facts(spark, sf_dir):
     return counted.where(" + ".join(tests) + " > 0")
 
 
+PY_LINES = "py_lines AS (SELECT repo, path, line, text FROM file_lines WHERE path LIKE '%.py')"
+_CALLED = r"^(?:[a-z]+ = )?((?:requests|cur|yaml|subprocess)\.[a-zA-Z_]+)\("
+
+
+def _facts(spark, sf_dir, kind):
+    """All facts of one kind, whether a rule asks for them or not."""
+    facts = pyfacts.py_facts(pyfacts.python_sources(derive.code_corpus(spark, sf_dir)), watched=False)
+    return facts.where(F.col("kind") == kind)
+
+
+@query(
+    "py_calls",
+    o.with_(
+        CODE, CODE_LINES, PY_LINES,
+        f"c AS (SELECT *, regexp_extract(text, '{_CALLED}', 1) AS name FROM py_lines WHERE text LIKE '%)' AND NOT contains(text, ';'))",
+        r"""SELECT path, line, name, regexp_matches(text, 'verify ?= ?False') AS unverified, contains(text, 'shell=True') AS shell,
+              CASE regexp_extract(text, 'Loader=yaml\.(\w+)', 1) WHEN '' THEN 'none' WHEN 'CSafeLoader' THEN 'safe' ELSE 'unsafe' END AS loader,
+              starts_with(name, 'cur.') AND regexp_matches(text, '\(f''|'' [+] ') AS dynamic_sql FROM c WHERE name <> ''""",
+    ),
+)
+def py_calls(spark, sf_dir):
+    def keyword(name, field):
+        return F.get(F.filter("keywords", lambda k: k["arg"] == name), F.lit(0))[field]
+
+    calls = _facts(spark, sf_dir, "call").where(F.rlike("name", F.lit(r"^(requests|cur|yaml|subprocess)\.[a-zA-Z_]+$")))
+    one_line = calls.where(~F.contains("snippet", F.lit(";")) & F.endswith("snippet", F.lit(")")))
+    safe = keyword("Loader", "safe")
+    return one_line.select(
+        "path", "line", "name", keyword("verify", "value").eqNullSafe("False").alias("unverified"),
+        keyword("shell", "value").eqNullSafe("True").alias("shell"),
+        F.when(safe, "safe").when(~safe, "unsafe").otherwise("none").alias("loader"),
+        (F.startswith("name", F.lit("cur.")) & F.col("dynamic_sql")).alias("dynamic_sql"),
+    )
+
+
+@query(
+    "py_assigns",
+    o.with_(
+        CODE, CODE_LINES, PY_LINES,
+        r"""SELECT path, line, regexp_extract(text, '^([A-Z_]+) = ', 1) AS name, regexp_matches(text, '= ["''].+["'']$') AS nonempty_str,
+              contains(text, '(''*'',)') AS has_star, ends_with(text, '= True') AS is_true
+            FROM py_lines WHERE regexp_matches(text, '^[A-Z_]+ = ')""",
+    ),
+)
+def py_assigns(spark, sf_dir):
+    found = _facts(spark, sf_dir, "assign").where(F.rlike("name", F.lit("^[A-Z_]+$")))
+    return found.select("path", "line", "name", "nonempty_str", "has_star", "is_true")
+
+
+@query(
+    "py_consts",
+    o.with_(
+        CODE, CODE_LINES, PY_LINES,
+        """SELECT path, line, CAST(strpos(text, '''0.0.0.0''') AS INTEGER) AS "column" FROM py_lines WHERE contains(text, '''0.0.0.0''')""",
+    ),
+)
+def py_consts(spark, sf_dir):
+    return _facts(spark, sf_dir, "const").where("name = '0.0.0.0'").select("path", "line", "column")
+
+
+@query("py_parse_errors", o.with_(CODE, CODE_LINES, PY_LINES, "SELECT path, line FROM py_lines WHERE text = 'class (:'"))
+def py_parse_errors(spark, sf_dir):
+    return _facts(spark, sf_dir, "syntax").select("path", "line")
+
+
 @query(
     "py_snippet",
     o.with_(CODE, o.python_findings("f"), 'SELECT file_path, rule_id, line, "column", snippet FROM f WHERE snippet <> \'\''),

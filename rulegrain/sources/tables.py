@@ -3,22 +3,32 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of local sessions without the setting, by application; they go when Python ends.
+_LOCAL: dict[str, tempfile.TemporaryDirectory] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the one the session names for checkpoints.
 
-    Only a local session without that setting gets a local folder.
+    Where it names none, a session inside one process (tests, a trial on a laptop) gets a folder of its
+    own; any other session has to name one that all its executors share.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can see")
-        base = "/tmp/rulegrain"
+        if context.applicationId not in _LOCAL:
+            _LOCAL[context.applicationId] = tempfile.TemporaryDirectory(prefix="rulegrain-")
+        base = _LOCAL[context.applicationId].name
     return os.path.join(base, f"rulegrain-{uuid.uuid4().hex}")
 
 

@@ -2,8 +2,12 @@
 
 import difflib
 import json
+import os
 import random
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -14,7 +18,7 @@ from rulegrain.sinks import reports
 from rulegrain.sources.corpus import read_tree
 from rulegrain.streaming import streams
 
-APP = "import yaml\npassword = \"S3cr3t!Pa55phrase\"\ncfg = yaml.load(open('c.yml'))\n"
+APP = "import yaml\npassword = \"Tq8_vR!2mZx7Lw0\"\nrules = yaml.load(open('rules.yml'))\n"
 
 
 def no_index(spark):
@@ -22,11 +26,11 @@ def no_index(spark):
 
 
 def test_end_to_end(spark, corpus_of):
-    files = {"app.py": APP, "conf.yml": "password: 'S3cr3t!Pa55phrase'\n", "requirements.txt": "PyYAML == 5.3.1 # x\r\nrequests==2.31.0"}
+    files = {"app.py": APP, "conf.yml": "password: 'Tq8_vR!2mZx7Lw0'\n", "requirements.txt": "PyYAML == 5.3.1 # x\r\nrequests==2.31.0"}
     corpus = corpus_of(files)
     rows = {r.path: r for r in fix_plan(corpus, no_index(spark)).collect()}
     assert set(rows) == {"app.py", "requirements.txt"}
-    assert rows["app.py"].fixed == "import os\n" + APP.replace('"S3cr3t!Pa55phrase"', 'os.environ["PASSWORD"]').replace("yaml.load", "yaml.safe_load")
+    assert rows["app.py"].fixed == "import os\n" + APP.replace('"Tq8_vR!2mZx7Lw0"', 'os.environ["PASSWORD"]').replace("yaml.load", "yaml.safe_load")
     assert (rows["app.py"].change_count, rows["app.py"].import_at) == (3, 0)
     assert rows["app.py"].original == APP
     assert rows["requirements.txt"].fixed == "PyYAML==5.4 # x\nrequests==2.31.0"
@@ -66,9 +70,9 @@ def test_hunks_against_difflib(spark):
 
 
 def test_variables(spark, corpus_of):
-    corpus = corpus_of({"b.py": "token = 'G7kq9Lm2Zxabc'\n", "a.py": "token = 'Zk81mPq0Lw3v'\nmy_key = 1\napi_key = 'Zk81mPq0Lw3v'\n", ".env.example": "MY_API_KEY=1\n"})
+    corpus = corpus_of({"b.py": "token = 'hT6wq0Vz9LxB'\n", "a.py": "token = 'vB7xR2mQ9kLp'\nmy_key = 1\napi_key = 'vB7xR2mQ9kLp'\n", ".env.example": "MY_API_KEY=1\n"})
     found = fix.env_vars(fix_plan(corpus, no_index(spark)))
-    assert {(r.name, r.value) for r in found.collect()} == {("TOKEN", "G7kq9Lm2Zxabc"), ("API_KEY", "Zk81mPq0Lw3v")}
+    assert {(r.name, r.value) for r in found.collect()} == {("TOKEN", "hT6wq0Vz9LxB"), ("API_KEY", "vB7xR2mQ9kLp")}
     assert [r.entry for r in fix.env_example(found, corpus).collect()] == ["TOKEN=CHANGE_ME"]
 
 
@@ -83,7 +87,7 @@ def test_reports(spark, corpus_of):
     assert [r["level"] for r in sarif["runs"][0]["results"]] == ["error"] * 4
     assert sarif["runs"][0]["results"][0]["locations"][0]["physicalLocation"]["region"] == {"startLine": 1, "startColumn": 1}
     listing = text(reports.report_listing(kept.findings, kept.stats, kept.errors))
-    assert " CRITICAL  JS003 [CWE-95] c.js:1" in listing and "CRITICAL: 1  HIGH: 3  MEDIUM: 0  LOW: 0" in listing and "2 file error(s)" in listing
+    assert "c.js:1\n  JS003 (critical, CWE-95)" in listing and "(1 critical, 3 high, 0 medium, 0 low)" in listing and listing.count("not read: ") == 2
     empty = json.loads(text(reports.report_json(kept.findings.limit(0), kept.stats, kept.errors.limit(0))))
     assert empty["findings"] == [] and empty["errors"] == []
 
@@ -148,7 +152,7 @@ def test_streams_equal_batch(spark, tmp_path):
 
 def test_stream_scan(spark, tmp_path):
     texts = spark.createDataFrame(
-        [("r", f"{i}.js", "eval(x)\ntoken = 'G7kq9Lm2Zxabc'\n") for i in range(20)] + [("r", "a.txt", "eval(x)")], "repo string, path string, text string"
+        [("r", f"{i}.js", "eval(x)\ntoken = 'hT6wq0Vz9LxB'\n") for i in range(20)] + [("r", "a.txt", "eval(x)")], "repo string, path string, text string"
     )
     texts.repartition(4).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(texts.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
@@ -162,3 +166,41 @@ def test_lines_of_an_uneven_corpus(corpus_of):
     """One file holds most lines; none is lost or cut."""
     corpus = corpus_of({"hot.js": "eval(x)\n" * 50_000, "b.js": "eval(x)"})
     assert lines.scan_code(corpus).groupBy("file_path").count().orderBy("count").collect()[-1]["count"] == 50_000
+
+
+def test_equal_findings_are_listed_once(spark, corpus_of):
+    kept = scan(corpus_of({"c.js": "eval(x); panel.innerHTML = y"}), no_index(spark)).kept()
+    twice = kept.findings.unionByName(kept.findings)
+    for report in (reports.report_json(twice, kept.stats, kept.errors), reports.report_sarif(twice, kept.stats)):
+        rows = report.orderBy(*[F.col(f"`{c}`").asc_nulls_first() for c in reports.ORDER]).collect()
+        doc = json.loads("".join(r.text for r in rows))
+        assert len(doc.get("findings", doc.get("runs", [{}])[0].get("results"))) == 2
+
+
+def test_large_files_leave_a_trace(spark, corpus_of):
+    corpus = corpus_of({"a.js": "eval(x)", "b.js": "eval(x)" + " " * 50, "c.bin": "x" * 99})
+    found = scan(corpus, no_index(spark), max_bytes=20)
+    assert [r.file_path for r in found.findings.collect()] == ["a.js"]
+    assert [(r.file_path, r.error) for r in found.errors.collect()] == [("b.js", "not read: 57 bytes, over the limit of 20")]
+    assert found.stats.collect()[0].scanned_files == 1
+
+
+def test_secrets_outside_python_on_request(spark, corpus_of):
+    corpus = corpus_of({"conf.yml": "password: 'Tq8_vR!2mZx7Lw0'\n"})
+    assert fix_plan(corpus, no_index(spark)).count() == 0
+    assert fix_plan(corpus, no_index(spark), python_secrets_only=False).collect()[0].change_count >= 1
+
+
+def test_workers_get_the_package(tmp_path):
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[1])!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+from rulegrain.operators.pyfacts import py_facts
+rows = py_facts(spark.createDataFrame([("r", "a.py", "eval(x)")], "repo string, path string, text string")).collect()
+assert rows[0].name == "eval"
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]

@@ -30,7 +30,7 @@ def test_strip_and_decoding(spark):
 
 
 def test_entropy(spark):
-    texts = ["G7kq9Lm2Zxabc", "aaaa", "\U0001f600ab", ""]
+    texts = ["hT6wq0Vz9LxB", "aaaa", "\U0001f600ab", ""]
     want = [-sum(x.count(c) / len(x) * math.log2(x.count(c) / len(x)) for c in set(x)) if x else 0.0 for x in texts]
     got = column(spark, texts, t.shannon_entropy(F.col("v")))
     assert all(abs(a - b) < 1e-9 for a, b in zip(got, want))
@@ -113,17 +113,17 @@ def test_web(spark):
 
 def test_line_fixers(spark):
     cases = [
-        ("PY006", "data = yaml.load(stream)", "data = yaml.safe_load(stream)"),
+        ("PY006", "rules = yaml.load(handle)", "rules = yaml.safe_load(handle)"),
         ("PY006", "yaml.load(s, Loader=yaml.Loader)", None),
-        ("PY009", "requests.get(u, verify = False)", "requests.get(u, verify=True)"),
-        ("PY010", "app.run(debug=True)", "app.run(debug=False)"),
-        ("PY013", "Environment(autoescape=False)", "Environment(autoescape=True)"),
+        ("PY009", "requests.put(link, verify = False)", "requests.put(link, verify=True)"),
+        ("PY010", "server.run(debug=True)", "server.run(debug=False)"),
+        ("PY013", "views(autoescape=False)", "views(autoescape=True)"),
         ("GO004", "tls.Config{InsecureSkipVerify :true}", "tls.Config{InsecureSkipVerify: false}"),
-        ("SEC006", 'api_key = "G7kq9Lm2Zxabc"  # x', 'api_key = os.environ["API_KEY"]  # x'),
-        ("SEC006", 'x = 1; api_key = "G7kq9Lm2Zxabc"', None),
+        ("SEC006", 'api_key = "hT6wq0Vz9LxB"  # x', 'api_key = os.environ["API_KEY"]  # x'),
+        ("SEC006", 'x = 1; api_key = "hT6wq0Vz9LxB"', None),
         ("PY001", "eval(x)", None),
     ]
     got = column(spark, [(a, b) for a, b, _ in cases], fix.fix_line(F.col("r"), F.col("l")), "r string, l string")
     assert got == [c for *_, c in cases]
-    line = 'dbToken: "G7kq9Lm2Zxabc"'
-    assert column(spark, [line], F.concat_ws("|", fix.secret_variable(F.col("v")), fix.secret_value(F.col("v")))) == ["DB_TOKEN|G7kq9Lm2Zxabc"]
+    line = 'dbToken: "hT6wq0Vz9LxB"'
+    assert column(spark, [line], F.concat_ws("|", fix.secret_variable(F.col("v")), fix.secret_value(F.col("v")))) == ["DB_TOKEN|hT6wq0Vz9LxB"]

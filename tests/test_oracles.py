@@ -1,21 +1,13 @@
-"""Queries against the SQL that checks them, on the smallest tables.
-
-RULEGRAIN_ALL=1 runs every query; by default those the other tests lean on least.
-"""
+"""Every query against the SQL that checks it, on the smallest tables."""
 
 import os
 
 import compare
 import pytest
 
-import __spark_entry__ as entry
+from rulegrain.plans.catalog import ORACLES, QUERIES
 
 SF_DIR = os.environ.get("RULEGRAIN_SF_DIR", "/root/testdata/sf0.001")
-USUAL = """code_lines comment_strip scanner_dispatch manifest_lines advisory_table osv_feed gitignore_patterns response_log
-    suppression_tables scan_errors unreadable_files rule_match_line sec_code_findings py_findings dep_findings prj_findings dast_findings
-    suppress_by_path join_osv_new_ids dedupe_findings merge_roots findings_by_file line_fold fix_requirements patched_files diff_hunks
-    env_example report_json stream_severity""".split()
-NAMES = sorted(entry.oracle_sql()) if os.environ.get("RULEGRAIN_ALL") else USUAL
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 
@@ -25,10 +17,10 @@ def con():
     return compare.database(SF_DIR)
 
 
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, con, name):
-    assert compare.difference(spark, con, entry.queries()[name], entry.oracle_sql()[name], SF_DIR) is None
+    assert compare.difference(spark, con, QUERIES[name], ORACLES[name], SF_DIR) is None
 
 
 def test_every_query_has_a_check():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)

@@ -165,7 +165,7 @@ def test_overlapping_roots(spark, either_join):
 
 def test_whole_scan(spark, corpus_of):
     corpus = corpus_of({
-        "app.py": "import yaml\npassword = 'S3cr3t!Pa55phrase'\nyaml.load(open('c'))\n", "node_modules/x.js": "eval(x)",
+        "app.py": "import yaml\npassword = 'Tq8_vR!2mZx7Lw0'\nyaml.load(open('c'))\n", "node_modules/x.js": "eval(x)",
         ".env": "A=1", "requirements.txt": "flask==2.0.0\n", "big.js": "eval(x)" + " " * 2_000_000, "c/package.json": "[]1",
     })
     none = spark.createDataFrame([], "repo string, path string")
@@ -173,7 +173,27 @@ def test_whole_scan(spark, corpus_of):
     assert {(r.file_path, r.rule_id) for r in result.findings.collect()} == {
         ("app.py", "PY006"), ("app.py", "SEC006"), (".env", "PRJ001"), ("requirements.txt", "CVE-2023-30861"),
     }
-    assert result.stats.first().scanned_files == 3 and result.errors.count() == 0
+    assert result.stats.first().scanned_files == 3 and [r.file_path for r in result.errors.collect()] == ["big.js"]
     kinds = corpus.transform(__import__("rulegrain.sources.corpus", fromlist=["x"]).with_kind)
     assert scan(kinds, none).findings.count() == 4
     assert {r.rule_id for r in scan(corpus, none, ignore_rules=["PY006"], ignore_paths=["*.txt"]).findings.collect()} == {"SEC006", "PRJ001"}
+
+
+def test_long_reply_keeps_its_order(spark):
+    """The hundredth and later advisories of a reply still have their own rank."""
+    vulns = [{"id": f"V{i}", "summary": f"s{i}"} for i in range(150)]
+    vulns[120]["id"] = vulns[130]["id"] = "SAME"
+    deps = spark.createDataFrame([("r", "p/requirements.txt", "PyPI", "a", "1", 1, 1)], "repo string, path string, ecosystem string, name string, version string, line int, position bigint")
+    replies = spark.createDataFrame([("PyPI", "a", "1", json.dumps({"vulns": vulns}))], "ecosystem string, name string, version string, body string")
+    found = osv.osv_findings(osv.match_feed(deps, osv.osv_feed(replies)))
+    assert found.select("ordinal").distinct().count() == 150
+    first = osv.first_per_id(found, ["repo"])
+    assert [r.message for r in first.where("rule_id = 'SAME'").collect()] == ["a 1 falls under a published advisory. s120"]
+
+
+def test_versions_of_any_length(spark):
+    from rulegrain.functions.versions import compare_version
+
+    pairs = [("9" * 60, "1", 1), ("1" + "0" * 60, "9" * 60, 1), ("0" * 50 + "7", "7", 0), ("2." + "3" * 45, "2." + "3" * 44 + "4", -1)]
+    rows = spark.createDataFrame([(a, b) for a, b, _ in pairs], "a string, b string")
+    assert [r[0] for r in rows.select(compare_version(F.col("a"), F.col("b"))).collect()] == [c for _, _, c in pairs]
