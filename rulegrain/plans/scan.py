@@ -68,6 +68,7 @@ def scan(
         dependencies,
     ]
     if replies is not None:
+        parts[-1] = dependencies = stored(dependencies)  # the feed leaves out what these findings have
         parts.append(scan_osv(extract_dependencies(files), replies, dependencies))
     kept = suppress(union_scanners(*parts), ignore_rules, ignore_paths)
     if config is not None:
