@@ -21,8 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..sources.ship import ship_package
-from .common import quoted, slices
+from .common import prepare_workers, quoted, slices
 
 START, MIDDLE, END = b"<|im_start|>", b"\n", b"<|im_end|>\n"
 TRAINED = "assistant"
@@ -141,7 +140,7 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     repeated rows have one order; all are kept. A null role or text is empty. Rows without conv_id are
     one conversation. An empty table has none; other columns are not read.
     """
-    ship_package(rows.sparkSession)
+    prepare_workers(rows.sparkSession)
     parts = rows.select("conv_id", "turn", "role", "text").repartition("conv_id")
     ordered = parts.sortWithinPartitions("conv_id", "turn", "role", "text")
     return ordered.select(F.col("conv_id").cast("bigint").alias("conv_id"), "role", "text").mapInArrow(_format, _SCHEMA)

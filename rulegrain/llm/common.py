@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,12 +10,29 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..sources.ship import ship_package
+
 #: Bytes of text one Arrow batch is worked on at a time.
 SLICE_BYTES = 4_000_000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Bytes of rows that Spark hands to a Python worker at a time, at most.
+BATCH_BYTES = 8_000_000
+
+
+def prepare_workers(spark: SparkSession) -> None:
+    """What a stage with Python code needs: the package on the workers, and batches of bounded bytes.
+
+    Spark's own bound of 64 MB for a batch is held several times over, on both sides of the pipe and for
+    each task of an executor. Texts are long, so the session's bound is lowered, never raised.
+    """
+    ship_package(spark)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, "64m").lower()
+    units = {"k": 2**10, "m": 2**20, "g": 2**30}
+    digits, unit = re.fullmatch(r"(-?\d+)\s*([kmg]?)b?", now).groups()
+    if not 0 < int(digits) * units.get(unit, 1) <= BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
 
 
 def quoted(name: str) -> Column:
@@ -27,14 +44,6 @@ def crc_of_id(column: str) -> Column:
     return F.crc32(F.coalesce(quoted(column).cast("string"), F.lit("")).cast("binary"))
 
 
-def free_name(df: DataFrame, wanted: str) -> str:
-    """``wanted``, or that with underscores before it, so that no column of the frame has the name."""
-    taken = {c.lower() for c in df.columns}
-    while wanted.lower() in taken:
-        wanted = "_" + wanted
-    return wanted
-
-
 def without(df: DataFrame, *names: str) -> list[Column]:
     """The frame's columns but for those that an operator's own columns of the same name replace."""
     gone = {n.lower() for n in names}
@@ -55,10 +64,6 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             yield batch.slice(start)
 
 
-def crc32(data: bytes) -> int:
-    return zlib.crc32(data) & 0xFFFFFFFF
-
-
 class Bitmap:
     """Which of evenly spread 64-bit keys may be in a table: all that are, and few others.
 

@@ -19,9 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..sources.ship import ship_package
 from ..sources.tables import stored
-from .common import quoted, slices, without
+from .common import prepare_workers, quoted, slices, without
 
 WINDOW = 10
 BLOCK_BYTES = 8_000_000
@@ -120,7 +119,7 @@ def contamination(
     without id are searched and hit, but it is not listed. Whole texts are read, copies each on their own.
     """
     spark: SparkSession = docs.sparkSession
-    ship_package(spark)
+    prepare_workers(spark)
     queries = items.select(F.col("item_id").cast("string").alias("item_id"), "text")
     size = queries.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))

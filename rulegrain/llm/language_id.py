@@ -16,8 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..sources.ship import ship_package
-from .common import crc_of_id, quoted, slices, without
+from .common import crc_of_id, prepare_workers, quoted, slices, without
 
 BITS = 15
 BUCKETS = 1 << BITS
@@ -116,7 +115,7 @@ def fit(rows: DataFrame, smoothing: float = 0.5, max_languages: int = MAX_LANGUA
     names = sorted(r[0] for r in rows.select("lang").distinct().limit(max_languages + 1).collect())
     if len(names) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
-    ship_package(rows.sparkSession)
+    prepare_workers(rows.sparkSession)
     counts = rows.mapInArrow(_count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = counts.toArrow() if names else None
     weights, docs = np.zeros((len(names), BUCKETS + 1)), np.zeros(len(names))
@@ -156,7 +155,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     text under a model without languages. Whole texts are read. Rows stay where they are: no shuffle.
     """
     spark: SparkSession = docs.sparkSession
-    ship_package(spark)
+    prepare_workers(spark)
     held = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("lang_pred string, lang_score double")

@@ -19,8 +19,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..sources.ship import ship_package
-from .common import quoted, slices, without
+from .common import prepare_workers, quoted, slices, without
 
 ROUNDS = 8
 DEMO_KEY = b"replace with a secret"
@@ -261,7 +260,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFra
     text without values stays as it is. Spans are in characters of the original text; where kinds
     overlap, the one listed first in KINDS counts. Whole texts are read; rows stay where they are.
     """
-    ship_package(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
 
     def rewritten(text: pa.Array) -> pa.Array:
         p, known, rows = Permutation(key), {}, []

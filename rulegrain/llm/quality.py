@@ -15,8 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..sources.ship import ship_package
-from .common import crc_of_id, quoted, slices, without
+from .common import crc_of_id, prepare_workers, quoted, slices, without
 
 #: Labelled rows the trees are fitted on: at most so many are expected, by the hash of their id.
 MAX_ROWS = 30_000
@@ -181,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Trees:
     known = rows.count()
     if known > max_rows:
         rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(max_rows / known * (1 << 20)))
-    ship_package(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     texts = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
 
     def counted(batches):
@@ -202,7 +201,7 @@ def score(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
 
     Defined results: a null text scores as an empty one. Whole texts are read, rows stay where they are.
     """
-    ship_package(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(trees)
 
     def scored(text: pa.Array) -> pa.Array:
