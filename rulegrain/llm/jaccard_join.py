@@ -13,12 +13,12 @@ least k + 1 usable partitions share a signature.
 make candidate pairs, so a bucket makes a bounded number. A set with k + 1 light signatures is covered:
 each of its partners agrees with it in one of them. What is not covered, above all large groups of near
 copies, is signed again with more and smaller partitions. What is still not covered is handled exactly
-by ``_dense``: the members of a bucket are tied to one hub, and only members that do not end up in one
+by its buckets: the members of each are tied to a hub, and only members that do not end up in one
 component with each other are compared, in blocks of bounded size.
 
 **Verification.** A bitmap of the parities of hashed shingles gives a lower bound of the difference, so
-that few pairs remain; these are verified on the whole sets, first each set's pair with its smallest
-partner, then all pairs that these links have not yet brought together.
+that few pairs remain; these are verified on the whole sets, first each set's pair with the partner that
+seems nearest, then all pairs that these links have not yet brought together.
 
 Equal sets are one class from the start. Nothing is sampled, capped or dropped.
 """
@@ -29,12 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..sources.ship import ship_package
 from ..sources.tables import stored
-from .common import Bitmap, quoted, slices
+from .common import Bitmap, prepare_workers, quoted, slices
 from .components import components
 
 WORDS = 5
@@ -43,9 +41,10 @@ BUCKET = 32
 #: Partitions per shingle of a band's largest set, in the first and the second signing.
 FIRST, SECOND = 0.25, 1.0
 BLOCK = 2048
-_CHUNK = 1_000_000
+#: Width of the bitmaps of dense buckets, in those of the others, and the last band that has them.
+WIDE, WIDE_BANDS = 8, 10
+_CHUNK = 400_000
 _U = np.uint64
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _PLACES = [_U(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -55,32 +54,46 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
-class _Words(dict):
-    """64-bit hashes of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_words = _Words()
-
-
-def shingle_set(text: str | None) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct shingles; with fewer words, of the whole sequence."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(words) < WORDS:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    hashes = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    size = len(words) - WORDS + 1
-    total = np.zeros(size, np.uint64)
+_LOWERED = np.frombuffer(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)), np.uint8)
+_INSIDE = ~np.isin(np.arange(256), [32, *range(9, 14)])
+_BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * _PLACES[0])
+_LENGTH = _U(0x589965CC75374CC3)
+
+
+def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of the bytes begins, and its 64-bit hash: a sum over bytes and places, mixed."""
+    inside = _INSIDE[data]
+    turns = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
+    starts, sizes = turns[::2], turns[1::2] - turns[::2]
+    if not len(starts):
+        return starts, np.zeros(0, np.uint64)
+    firsts = np.cumsum(sizes) - sizes
+    powers = np.cumprod(np.full(int(sizes.max()), _PLACES[1]))
+    place = np.arange(int(sizes.sum()), dtype=np.int32) - np.repeat(firsts, sizes).astype(np.int32)
+    return starts, _mix(np.add.reduceat(_BYTES[_LOWERED[data[inside]]] * powers[place], firsts))
+
+
+def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
+    """For each text the sorted 64-bit hashes of its distinct shingles; with fewer words, of the whole sequence."""
+    parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    if not parts:
+        return []
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
+    starts, hashes = _word_hashes(np.frombuffer(b" ".join([*parts, b""]), np.uint8))
+    first = np.searchsorted(starts, np.cumsum(sizes) - sizes)
+    counts = np.diff(first, append=len(starts))
+    total = np.zeros(max(0, len(hashes) - WORDS + 1), np.uint64)
     for i in range(WORDS):
-        total += hashes[i : i + size] * _PLACES[i]
-    return np.unique(_mix(total))
+        total += hashes[i : i + len(total)] * _PLACES[i]
+    total = _mix(total)
+    found = []
+    for at, n in zip(first.tolist(), counts.tolist()):
+        if n >= WORDS:
+            found.append(np.unique(total[at : at + n - WORDS + 1]))
+        else:
+            whole = (hashes[at : at + n] * np.array(_PLACES[:n], np.uint64)).sum(dtype=np.uint64, keepdims=True)
+            found.append(_mix(whole ^ (np.array([n], np.uint64) * _LENGTH)) if n else whole[:0])
+    return found
 
 
 def _keys(values: np.ndarray) -> tuple[int, int]:
@@ -117,11 +130,14 @@ def _signatures(sets: list[np.ndarray], sizes: np.ndarray, share: float, seed: i
         yield level, chosen, k, part // n, signature.view(np.int64)
 
 
-def _bitmaps(sets: list[np.ndarray], sizes: np.ndarray) -> list[list[bytes | None]]:
-    """For each set the parities of its shingles, in its own band's width and in the next one's."""
+def _bitmaps(sets: list[np.ndarray], sizes: np.ndarray, scale: int = 1) -> list[list[bytes | None]]:
+    """For each set the parities of its shingles, in its own band's width and in the next one's.
+
+    Sets differ in as many shingles as their bitmaps in bits, at least; the wider, the closer.
+    """
     found: list[list[bytes | None]] = [[None, None] for _ in sets]
     for level, chosen, _ in _levels(sizes):
-        width = max(8, 2 << level)
+        width = max(8, scale * (2 << level))
         values = np.concatenate([sets[i] for i in chosen.tolist()])
         place = np.repeat(np.arange(len(chosen)) * width, sizes[chosen]) + (values >> _U(20) & _U(width - 1)).astype(np.int64)
         bits = np.packbits((np.bincount(place, minlength=width * len(chosen)) & 1).astype(bool)).reshape(len(chosen), -1)
@@ -130,9 +146,9 @@ def _bitmaps(sets: list[np.ndarray], sizes: np.ndarray) -> list[list[bytes | Non
     return found
 
 
-def _sets_of(batches: Iterator[pa.RecordBatch], size: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def _sets_of(batches: Iterator[pa.RecordBatch], size: int = 400_000) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in slices(batches, "text", size):
-        yield batch, [shingle_set(t) for t in batch.column("text").to_pylist()]
+        yield batch, shingle_sets(batch.column("text").to_pylist())
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +332,7 @@ def _emit_dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.fromiter(map(len, sets), np.int64, len(sets))
         if not sets:
             continue
-        maps, nodes = _bitmaps(sets, sizes), np.array([_keys(s)[0] for s in sets], np.int64)
+        maps, nodes = _bitmaps(sets, sizes, WIDE), np.array([_keys(s)[0] for s in sets], np.int64)
         for level, chosen, k, owner, found in _signatures(sets, sizes, FIRST, 0):
             usable = np.bincount(owner, minlength=len(chosen))
             rank = np.arange(len(owner)) - (np.cumsum(usable) - usable)[owner]
@@ -325,7 +341,8 @@ def _emit_dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             owner = np.concatenate([owner[taken], few])
             found = np.concatenate([found[taken], np.full(len(few), level)])
             at = chosen[owner]
-            bits = [maps[i][level + 1 - int(sizes[i]).bit_length()] for i in at.tolist()]
+            # a long text has many rows; its bitmap would be repeated in each
+            bits = [maps[i][level + 1 - int(sizes[i]).bit_length()] if level <= WIDE_BANDS else b"" for i in at.tolist()]
             columns = [pa.array(found), pa.array(nodes[at]), pa.array(np.full(len(at), level)), pa.array(sizes[at]), pa.array(bits, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["sig", "node", "level", "n", "bits"])
 
@@ -359,7 +376,21 @@ def _filtered(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     compared = both.select("a", "b", bound.alias("bound"), left.alias("left"), right.alias("right"))
     compared = compared.where("left IS NOT NULL AND right IS NOT NULL")
     apart = F.arrow_udf(_close, "bigint")
-    return compared.select("a", "b", "bound", apart("left", "right").alias("apart")).where("apart <= bound").select("a", "b")
+    return compared.select("a", "b", "bound", apart("left", "right").alias("apart")).where("apart <= bound").select("a", "b", "apart")
+
+
+def _nearest(close: DataFrame) -> DataFrame:
+    """For each set its pair with the partner that seems nearest."""
+    ends = close.select(F.col("a").alias("x"), F.col("b").alias("y"), "apart").unionByName(close.select(F.col("b").alias("x"), F.col("a").alias("y"), "apart"))
+    first = ends.groupBy("x").agg(F.min_by("y", F.col("apart") * 256 + F.pmod(F.xxhash64("y"), F.lit(256))).alias("y"))
+    return first.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _across(close: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose sets are not in one component yet."""
+    label = roots.select("node", "root")
+    both = close.join(label.toDF("a", "a_root"), "a").join(label.toDF("b", "b_root"), "b")
+    return both.where("a_root <> b_root").select("a", "b")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -396,10 +427,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _block(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     rows = pa.Table.from_batches(batches)
     node, n, root, block = (rows.column(c).to_numpy() for c in ("node", "n", "root", "block"))
+    parts = rows.column("bits").to_pylist()
     i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-    bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint8).reshape(len(node), -1)
+    bits = np.frombuffer(b"".join(parts), np.uint8).reshape(len(node), len(parts[0]))
     left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    step = max(1, 4_000_000 // max(1, len(right) * bits.shape[1]))
+    step = max(1, 4_000_000 // max(1, len(right) * max(8, bits.shape[1])))
     a, b = [], []
     for at in range(0, len(left), step):
         x = left[at : at + step]
@@ -440,7 +472,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left out, but none between two components is.
     """
     spark: SparkSession = docs.sparkSession
-    ship_package(spark)
+    prepare_workers(spark)
     texts = docs.select(quoted(id_col).cast("bigint").alias("doc_id"), quoted(text_col).alias("text"))
     schema = "doc_id bigint, n bigint, node bigint, twin bigint, own binary, following binary"
     members = stored(texts.mapInArrow(_members, schema))
@@ -461,20 +493,21 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             kind = "sig bigint, node bigint, level bigint, n bigint, bits binary"
             rows = _restricted(texts, classes, left, _emit_dense, kind)
             dense = stored(rows.join(left, ["node", "level"], "left_semi").distinct().select("sig", "node", "n", "bits"))
-            hubs = dense.groupBy("sig").agg(F.min("node").alias("a"))
-            stars = dense.join(hubs, "sig").where("node > a").select("a", F.col("node").alias("b"))
-            pairs = pairs.unionByName(stars)
+            # another hub in each bucket: a set meets as many of them as it has signatures
+            hubs = dense.groupBy("sig").agg(F.min_by("node", F.xxhash64("node", "sig")).alias("hub"))
+            stars = dense.join(hubs, "sig").where("node <> hub")
+            pairs = pairs.unionByName(stars.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")))
     close = stored(_filtered(pairs, classes))
-    forest = close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = _verified(forest, texts, classes)
+    links = _verified(_nearest(close), texts, classes)
     roots = stored(_roots(classes, links))
-    label = roots.select("node", "root")
-    rest = close.join(label.toDF("a", "a_root"), "a").join(label.toDF("b", "b_root"), "b").where("a_root <> b_root").select("a", "b")
-    if dense is not None:
-        rest = rest.unionByName(_apart(dense, label))
-    rest = stored(rest.distinct())
+    rest = stored(_across(close, roots))
     if not rest.isEmpty():
         links = links.unionByName(_verified(rest, texts, classes))
+        roots = stored(_roots(classes, links)) if dense is not None else roots
+    if dense is not None:
+        rest = stored(_filtered(_apart(dense, roots.select("node", "root")), classes).select("a", "b"))
+        if not rest.isEmpty():
+            links = links.unionByName(_verified(rest, texts, classes))
     return members.select("doc_id", "n", "node", "twin"), classes, links
 
 
@@ -512,7 +545,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     doubtful = F.arrow_udf(lambda place: pa.array(listed.may_hold(place.to_numpy())), "boolean")
 
     def keys(text: pa.Array) -> pa.Array:
-        sets = [shingle_set(t) for t in text.to_pylist()]
+        sets = shingle_sets(text.to_pylist())
         found = [_keys(s) if len(s) else (None, None) for s in sets]
         fields = [pa.array([k[i] for k in found], pa.int64()) for i in (0, 1)]
         return pa.StructArray.from_arrays(fields, ["node", "twin"])
