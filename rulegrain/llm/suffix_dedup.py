@@ -8,33 +8,42 @@ document or another.
 only windows with equal anchors can be equal, and an anchor stands for a run of windows. Only anchors
 that occur more than once are looked at further.
 
-**Sorting.** The suffixes that begin after equal anchors are sorted: multikey quicksort to a shallow
+**Equal runs.** First the runs are compared as wholes: an aggregate counts them by anchor and by a hash of
+all bytes their windows hold. Runs that occur more than once are repeated; of each such kind one stays
+as an example for the rest. Where all runs of an anchor are of one kind nothing else is to do.
+
+**Sorting.** The suffixes that begin after equal anchors of different kinds of runs are sorted: multikey quicksort to a shallow
 depth, then blind tries for groups that agree so far, as repeats do. The common prefixes of neighbours
 and the common bytes before the anchors say which windows of a run are repeated.
 
-**Frequent anchors.** An anchor that occurs more than ``COLD`` times is not sorted in one task. The hashes
-of its windows (128 bits) are counted by an aggregate, so that a passage in a third of all documents
-sends one row per window and task. Equal texts are one class from the start; classes of several rows are
-repeated as a whole. Nothing is sampled, capped or dropped.
+**Frequent anchors.** An anchor with more than ``COLD`` kinds of runs is not sorted in one task. Its runs are
+cut into parts of ``PART`` windows, and aggregates count 128-bit hashes of what all windows of a part
+hold and of all that they hold. A part whose common bytes occur once has no repeated window; one that
+occurs whole more than once has no other. Only of the parts between, at the edges of what documents
+share, the windows themselves are counted. So a passage in a third of all documents sends few rows per
+document, and no task gets them all. Equal texts are one class from the start; classes of several rows
+are repeated as a whole. Nothing is sampled, capped or dropped.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..sources.ship import ship_package
 from ..sources.tables import stored
-from .common import Bitmap, quoted, slices
+from .common import Bitmap, prepare_workers, quoted, slices
 
 LENGTH = 400
 GRAM = 100
-COLD = 32
+COLD = 64
+#: Windows of a part.
+PART = 16
 SHALLOW = 12
 _U = np.uint64
 _SLICE = 500_000
@@ -68,10 +77,11 @@ class _Rolling:
         np.cumsum(self.table[data] * self.powers[: len(data)], out=sums[1:])
         return sums
 
-    def of(self, sums: np.ndarray, starts: np.ndarray | slice, size: int) -> np.ndarray:
-        if isinstance(starts, slice):
-            return _mix((sums[size:] - sums[:-size]) * self.inverses[: len(sums) - size])
-        return _mix((sums[starts + size] - sums[starts]) * self.inverses[starts])
+    def all(self, sums: np.ndarray, size: int) -> np.ndarray:
+        return _mix((sums[size:] - sums[:-size]) * self.inverses[: len(sums) - size])
+
+    def between(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return _mix((sums[ends] - sums[starts]) * self.inverses[starts])
 
 
 _rolling = tuple(_Rolling(b) for b in _BASES)
@@ -91,6 +101,18 @@ def _smallest(codes: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(codes[: len(codes) - (width - size)], codes[width - size :]) if size < width else codes
 
 
+@dataclass(frozen=True)
+class _Parts:
+    """Some neighbouring windows of a run each: the run, first and last window, what all of them hold (128 bits), and all they hold."""
+
+    run: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    core1: np.ndarray
+    core2: np.ndarray
+    whole: np.ndarray
+
+
 class _Runs:
     """Anchors of some pieces of texts, and the run of windows that each stands for.
 
@@ -104,7 +126,7 @@ class _Runs:
         self.data = b"".join(pieces)
         data = np.frombuffer(self.data, np.uint8)
         self.sums = _rolling[0].prefix(data)
-        grams = _rolling[0].of(self.sums, slice(None), GRAM)
+        grams = _rolling[0].all(self.sums, GRAM)
         mask = (1 << len(data).bit_length()) - 1
         codes = grams & _U(2**64 - 1 - mask) | np.arange(len(grams), dtype=np.uint64)
         least = _smallest(codes, LENGTH - GRAM + 1)
@@ -117,10 +139,27 @@ class _Runs:
         self.piece, self.anchor, self.first, self.last = piece[begin], anchor[begin], place[begin], place[end]
         self.hashes = grams[self.anchor].view(np.int64)
 
-    def window_hashes(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """128 bits of the windows at some places."""
-        others = _rolling[1].prefix(np.frombuffer(self.data, np.uint8))
-        return _rolling[0].of(self.sums, place, LENGTH), _rolling[1].of(others, place, LENGTH)
+    def between(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits that stand for the bytes between some places."""
+        if not hasattr(self, "others"):
+            self.others = _rolling[1].prefix(np.frombuffer(self.data, np.uint8))
+        return _rolling[0].between(self.sums, starts, ends), _rolling[1].between(self.others, starts, ends)
+
+    def parts(self, some: np.ndarray) -> _Parts:
+        """The windows of some runs in parts of at most PART neighbours, cut at multiples of PART before the anchor."""
+        low, high = (self.anchor - self.last)[some], (self.anchor - self.first)[some]
+        counts = high // PART - low // PART + 1
+        run = np.repeat(np.arange(len(some)), counts)
+        grid = (low // PART)[run] + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        anchor = self.anchor[some][run]
+        near, far = np.maximum(grid * PART, low[run]), np.minimum(grid * PART + PART - 1, high[run])
+        core = self.between(anchor - grid * PART, anchor - grid * PART + LENGTH - PART + 1)
+        return _Parts(some[run], anchor - far, anchor - near, *core, self.wholes(anchor, anchor - far, anchor - near))
+
+    def wholes(self, anchor: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """64 bits that stand for all bytes of the windows from first to last, and for where they lie about the anchor."""
+        one, two = self.between(first, last + LENGTH)
+        return _mix(one ^ _mix(two + ((anchor - last) * LENGTH + anchor - first).astype(np.uint64)))
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple[int, int]], np.ndarray, list[bytes], bool]]:
@@ -162,63 +201,111 @@ def _anchor_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield flush(held)
 
 
+_RUN = "hash bigint, whole bigint, k1 bigint, k2 bigint, anchor bigint, first bigint, last bigint"
 _SUFFIX = pa.schema([("hash", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("anchor", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("body", pa.binary())])
 
 
-def _suffixes(shared: Bitmap, frequent: Bitmap):
-    """Rows for the sort: anchors that occur elsewhere but are not frequent, with the bytes of their windows."""
+def _shared_runs(shared: Bitmap):
+    """A row for each run whose anchor occurs elsewhere."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, offsets, pieces, _ in _pieces(batches):
+            runs = _Runs(pieces)
+            some = np.flatnonzero(shared.may_hold(runs.hashes))
+            anchor, first, last = (x[some] for x in (runs.anchor, runs.first, runs.last))
+            whole = runs.wholes(anchor, first, last).view(np.int64)
+            k1, k2, shift = _placed(keys, offsets, runs, some)
+            yield from _batches_of([runs.hashes[some], whole, k1, k2, anchor + shift, first + shift, last + shift], _RUN)
+
+    return emit
+
+
+def _chosen(runs: _Runs, keys: list, offsets: np.ndarray, examples: Bitmap) -> np.ndarray:
+    """Of runs that are examples (by anchor hash and text), one of each kind among these pieces."""
+    k1, _, _ = _placed(keys, offsets, runs, np.arange(len(runs.hashes)))
+    some = np.flatnonzero(examples.may_hold(runs.hashes ^ k1))
+    whole = runs.wholes(*(x[some] for x in (runs.anchor, runs.first, runs.last)))
+    _, one = np.unique(np.stack([runs.hashes[some].view(np.uint64), whole], 1), axis=0, return_index=True)
+    return some[np.sort(one)]
+
+
+def _suffixes(examples: Bitmap):
+    """Rows for the sort: examples of runs, with the bytes of their windows."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, offsets, parts, _ in _pieces(batches):
             runs = _Runs(parts)
-            some = np.flatnonzero(shared.may_hold(runs.hashes) & ~frequent.may_hold(runs.hashes))
-            piece, anchor, first, last = (x[some] for x in (runs.piece, runs.anchor, runs.first, runs.last))
-            shift = offsets[piece] - runs.starts[piece]
+            some = _chosen(runs, keys, offsets, examples)
+            anchor, first, last = (x[some] for x in (runs.anchor, runs.first, runs.last))
             body = [runs.data[a:b] for a, b in zip(first.tolist(), (last + LENGTH).tolist())]
-            named = [keys[i] for i in piece.tolist()]
-            columns = [
-                pa.array(runs.hashes[some]), pa.array([k[0] for k in named], pa.int64()), pa.array([k[1] for k in named], pa.int64()),
-                pa.array(anchor + shift), pa.array(first + shift), pa.array(last + shift), pa.array(body, pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, schema=_SUFFIX)
+            k1, k2, shift = _placed(keys, offsets, runs, some)
+            columns = [pa.array(x) for x in (runs.hashes[some], k1, k2, anchor + shift, first + shift, last + shift)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(body, pa.binary())], schema=_SUFFIX)
 
     return emit
 
 
+_PART = "c1 bigint, c2 bigint, whole bigint, k1 bigint, k2 bigint, anchor bigint, first bigint, last bigint"
 _WINDOW = "w1 bigint, w2 bigint, k1 bigint, k2 bigint, anchor bigint, start bigint, n int"
 
 
-def _windows(frequent: Bitmap):
-    """Rows (window hash, place, n) of the windows of frequent anchors; n is 2 if it repeats within these pieces."""
+def _batches_of(columns: list[np.ndarray], schema: str) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in schema.split(", ")]
+    for at in range(0, len(columns[0]), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 50_000]) for c in columns], names)
+
+
+def _placed(keys: list, offsets: np.ndarray, runs: _Runs, run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text keys of some runs, and what to add to their places to count from their texts' starts."""
+    piece = runs.piece[run]
+    named = np.array(keys, np.int64).reshape(-1, 2)[piece]
+    return named[:, 0], named[:, 1], (offsets - runs.starts)[piece]
+
+
+def _example_parts(examples: Bitmap):
+    """The parts of examples of runs."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, offsets, parts, _ in _pieces(batches):
-            runs = _Runs(parts)
-            some = np.flatnonzero(frequent.may_hold(runs.hashes))
-            if not len(some):
+        for keys, offsets, pieces, _ in _pieces(batches):
+            runs = _Runs(pieces)
+            p = runs.parts(_chosen(runs, keys, offsets, examples))
+            k1, k2, shift = _placed(keys, offsets, runs, p.run)
+            hashes = [x.view(np.int64) for x in (p.core1, p.core2, p.whole)]
+            yield from _batches_of([*hashes, k1, k2, runs.anchor[p.run] + shift, p.first + shift, p.last + shift], _PART)
+
+    return emit
+
+
+def _mixed_windows(examples: Bitmap, mixed: Bitmap):
+    """Rows (window, place, n) of the parts that share their common bytes, but not all, with others; n is 2 for repeats here."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, offsets, pieces, _ in _pieces(batches):
+            runs = _Runs(pieces)
+            p = runs.parts(_chosen(runs, keys, offsets, examples))
+            chosen = np.flatnonzero(mixed.may_hold(p.core1.view(np.int64)))
+            if not len(chosen):
                 continue
-            counts = runs.last[some] - runs.first[some] + 1
-            run = np.repeat(some, counts)
-            place = np.repeat(runs.first[some] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-            w1, w2 = runs.window_hashes(place)
+            counts = (p.last - p.first + 1)[chosen]
+            part = np.repeat(chosen, counts)
+            place = np.repeat(p.first[chosen] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+            w1, w2 = runs.between(place, place + LENGTH)
             order = np.lexsort((w2, w1))
             new = np.concatenate([[True], (w1[order][1:] != w1[order][:-1]) | (w2[order][1:] != w2[order][:-1])])
             number = np.empty(len(order), np.int64)
             number[order] = np.cumsum(new) - 1
             often = (np.bincount(number) > 1)[number]
-            # of windows that repeat here, one place each, and in each run the first and the last place
+            # of windows that repeat here, one place each, and in each part the first and the last place
             sent = ~often
             sent[order[new]] = True
             here = np.flatnonzero(often)
-            turn = run[here][1:] != run[here][:-1]
+            turn = part[here][1:] != part[here][:-1]
             sent[here[np.concatenate([[True], turn])[: len(here)]]] = True
             sent[here[np.concatenate([turn, [True]])[: len(here)]]] = True
-            run, place, w1, w2, often = (x[sent] for x in (run, place, w1, w2, often))
-            piece, shift = runs.piece[run], (offsets - runs.starts)[runs.piece[run]]
-            k1, k2 = (np.array([k[i] for k in keys], np.int64)[piece] for i in (0, 1))
-            columns = [w1.view(np.int64), w2.view(np.int64), k1, k2, runs.anchor[run] + shift, place + shift, np.where(often, 2, 1).astype(np.int32)]
-            for at in range(0, len(place), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 50_000]) for c in columns], ["w1", "w2", "k1", "k2", "anchor", "start", "n"])
+            run, place, w1, w2, often = p.run[part[sent]], *(x[sent] for x in (place, w1, w2, often))
+            k1, k2, shift = _placed(keys, offsets, runs, run)
+            n = np.where(often, 2, 1).astype(np.int32)
+            yield from _batches_of([w1.view(np.int64), w2.view(np.int64), k1, k2, runs.anchor[run] + shift, place + shift, n], _WINDOW)
 
     return emit
 
@@ -305,11 +392,11 @@ def deep_shallow_order(texts: list[bytes], shallow: int = SHALLOW) -> list[int]:
 
 def _repeated(rows: list[tuple]) -> Iterator[tuple[int, int, int, int]]:
     """(k1, k2, start, end) of what is repeated, of rows (k1, k2, anchor, first, last, body) with one anchor hash."""
-    grams: dict[bytes, list[tuple]] = {}
+    grams: dict[bytes, dict[tuple, tuple]] = {}  # of equal runs one: that they are repeated is known
     for row in rows:
         left = row[2] - row[3]
-        grams.setdefault(row[5][left : left + GRAM], []).append((*row, row[5][left + GRAM :], row[5][:left][::-1]))
-    for members in grams.values():
+        grams.setdefault(row[5][left : left + GRAM], {}).setdefault((left, row[5]), (*row, row[5][left + GRAM :], row[5][:left][::-1]))
+    for members in map(list, map(dict.values, grams.values())):
         if len(members) < 2:
             continue
         tails = [m[6] for m in members]
@@ -382,7 +469,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     k1 and k2 stand for a text; start and end (exclusive) are in bytes; spans may overlap.
     """
-    ship_package(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     texts = docs.select(quoted(id_col).cast("bigint").alias("doc_id"), quoted(text_col).alias("text"))
     members = stored(texts.mapInArrow(_members, "doc_id bigint, n_bytes bigint, k1 bigint, k2 bigint, sha256 string"))
     whole = members.where(F.col("n_bytes") >= LENGTH).groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2")
@@ -390,18 +477,34 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bodies = texts.select("text").where(F.octet_length("text") >= LENGTH)
     counted = bodies.mapInArrow(_anchor_counts, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
     counted = stored(counted.where("n > 1"))
-    shared, frequent = Bitmap(counted.select("hash")), Bitmap(counted.where(F.col("n") > COLD).select("hash"))
-
-    suffixes = bodies.mapInArrow(_suffixes(shared, frequent), "hash bigint, k1 bigint, k2 bigint, anchor bigint, first bigint, last bigint, body binary")
+    runs = stored(bodies.mapInArrow(_shared_runs(Bitmap(counted.select("hash"))), _RUN))
+    kinds = runs.groupBy("hash", "whole").agg(F.count("*").alias("n"), F.min("k1").alias("k1"))
+    kinds = stored(kinds)
+    equal = runs.join(kinds.where("n > 1").select("hash", "whole"), ["hash", "whole"])
+    equal = equal.select("k1", "k2", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("end"))
+    differing = kinds.groupBy("hash").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1")
+    examples = kinds.join(differing, "hash").select("kinds", F.col("hash").bitwiseXOR(F.col("k1")).alias("example"))
+    few = Bitmap(examples.where(F.col("kinds") <= COLD).select("example"))
+    many = Bitmap(examples.where(F.col("kinds") > COLD).select("example"))
+
+    suffixes = bodies.mapInArrow(_suffixes(few), "hash bigint, k1 bigint, k2 bigint, anchor bigint, first bigint, last bigint, body binary")
     ordered = suffixes.repartition("hash").sortWithinPartitions("hash")
     cold = ordered.mapInArrow(_sorted_groups, "k1 bigint, k2 bigint, start bigint, end bigint")
 
-    windows = stored(bodies.mapInArrow(_windows(frequent), _WINDOW))
-    often = windows.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2")
-    single = windows.where("n = 1").join(often, ["w1", "w2"]).select("k1", "k2", "anchor", "start")
+    parts = stored(bodies.mapInArrow(_example_parts(many), _PART))
+    whole_counts = parts.groupBy("c1", "c2", "whole").agg(F.count("*").alias("n"))
+    often = whole_counts.where("n > 1").drop("n")
+    mixed = whole_counts.groupBy("c1", "c2").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1")
+    hot = parts.join(often, ["c1", "c2", "whole"]).select("k1", "k2", "anchor", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("end"))
+    some = _mixed_windows(many, Bitmap(mixed.select("c1")))
+    windows = stored(bodies.mapInArrow(some, _WINDOW))
+    repeated = windows.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2")
+    single = windows.where("n = 1").join(repeated, ["w1", "w2"]).select("k1", "k2", "anchor", "start")
     places = windows.where("n > 1").select("k1", "k2", "anchor", "start").unionByName(single)
-    hot = places.groupBy("k1", "k2", "anchor").agg(F.min("start").alias("start"), (F.max("start") + LENGTH).alias("end"))
-    spans = stored(cold.unionByName(hot.select("k1", "k2", "start", "end")).distinct())
+    hot = hot.unionByName(places.withColumn("end", F.col("start") + LENGTH))
+    # all these windows hold their anchor, so that what they cover has no gap
+    hot = hot.groupBy("k1", "k2", "anchor").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    spans = stored(cold.unionByName(hot.select("k1", "k2", "start", "end")).unionByName(equal).distinct())
     return members, stored(whole), spans
 
 
