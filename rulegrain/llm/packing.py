@@ -27,8 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..sources.ship import ship_package
-from .common import quoted, slices
+from .common import prepare_workers, quoted, slices
 
 SIZE = 2048
 END_ID = 1
@@ -37,15 +36,14 @@ GRID = 128
 #: In tokens of padding: what a sequence more costs, a cut after a sentence, a cut anywhere else.
 SEQUENCE_COST, SENTENCE_PENALTY, HARD_PENALTY = 64, 4, 24
 #: Distinct words a worker remembers before it starts anew.
-MAX_WORDS = 500_000
+MAX_WORDS = 300_000
 _PLAIN = re.compile(r"([^\W\d_]+)([.,!?;:]*)")
 
 
-def _byte_characters() -> list[str]:
-    """The character that stands for each byte in byte-level vocabularies: itself if it is printable."""
+def _byte_characters() -> dict[int, int]:
+    """The character that stands for each byte in byte-level vocabularies, where it is not the byte's own."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = iter(range(256, 512))
-    return [chr(b) if b in shown else chr(next(others)) for b in range(256)]
+    return dict(zip((b for b in range(256) if b not in shown), range(256, 512)))
 
 
 class WordTokenizer(dict):
@@ -68,29 +66,29 @@ class WordTokenizer(dict):
     def clear(self) -> None:
         super().clear()
         self.flat, self.starts, self.sizes = array("I"), array("q"), array("i")
-        self.pieces: dict[str, list[int]] = {}
         self._add(None, [END_ID])
 
     def _add(self, word: bytes | None, ids: list[int]) -> int:
+        self[word] = number = len(self.sizes)
         self.starts.append(len(self.flat))
         self.sizes.append(len(ids))
         self.flat.extend(ids)
-        self[word] = len(self.sizes) - 1
-        return self[word]
+        return number
 
     def _piece(self, text: str) -> list[int]:
-        if text not in self.pieces:
-            shown = "".join(self.characters[b] for b in text.encode())
-            self.pieces[text] = [t.id for t in self.model.tokenize(shown)]
-        return self.pieces[text]
+        shown = text if text.isascii() else text.encode().decode("latin-1").translate(self.characters)
+        return [t.id for t in self.model.tokenize(shown)]
 
     def __missing__(self, word: bytes) -> int:
         text = word.decode("utf-8", "replace")
         found = _PLAIN.fullmatch(text)
-        if found and found[1].isalpha() and unicodedata.is_normalized("NFC", text) and "Σ" not in text:
-            lower = found[1].lower()
-            if lower.isalpha():
-                return self._add(word, self._piece(lower) + (self._piece(found[2]) if found[2] else []))
+        if found:
+            body, marks = found.groups()
+            simple = text.isascii()
+            if simple or body.isalpha() and "Σ" not in body and unicodedata.is_normalized("NFC", body):
+                lower = body.lower()
+                if simple or lower.isalpha():
+                    return self._add(word, self._piece(lower) + self._piece(marks) if marks else self._piece(lower))
         return self._add(word, self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -232,7 +230,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     Defined results: a null or empty text is its closing id only. Every row is packed, rows that repeat
     or have a null id too. An empty table has no sequences; other columns are not read.
     """
-    ship_package(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, ends = tokenizer_of(tokenizer), _sentence_ends(tokenizer)
