@@ -79,7 +79,7 @@ def _truth(expr: ast.expr) -> str | None:
     return str(value) if isinstance(value, bool) else None
 
 
-def _call_fact(node: ast.Call) -> dict:
+def _call_fact(node: ast.Call, watched: bool) -> dict:
     is_attribute = isinstance(node.func, ast.Attribute)
     return {
         "kind": "call",
@@ -87,7 +87,7 @@ def _call_fact(node: ast.Call) -> dict:
         "is_attribute": is_attribute,
         "attr": node.func.attr if is_attribute else None,
         "keywords": [
-            {"arg": k.arg, "value": _truth(k.value), "safe": _names_safe(k.value) if k.arg == "Loader" else None}
+            {"arg": k.arg, "value": _truth(k.value), "safe": _names_safe(k.value) if not watched or k.arg == "Loader" else None}
             for k in node.keywords
         ],
         "n_args": len(node.args),
@@ -114,7 +114,7 @@ def _assign_facts(node: ast.Assign) -> Iterator[dict]:
 def _facts(node: ast.AST, watched: bool) -> Iterator[dict]:
     """Facts of one node; ``watched`` keeps only those a rule can ask for."""
     if isinstance(node, ast.Call):
-        fact = _call_fact(node)
+        fact = _call_fact(node, watched)
         if (
             not watched
             or fact["name"] in _WATCHED_CALLS

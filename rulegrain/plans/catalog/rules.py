@@ -14,6 +14,7 @@ from ...operators.rules import GENERIC_SECRET, LINE_RULES, PYTHON_RULES, SECRET_
 from ...sources.corpus import with_kind
 from ...sources.tables import stored
 from .. import derive, oracle as o
+from ..facts import facts_of
 from ..scan import scan
 from .registry import FINDING_COLUMNS, ORACLES, query, shown
 from .sources import feed_cte
@@ -115,9 +116,7 @@ _CALLED = r"^(?:[a-z]+ = )?((?:requests|cur|yaml|subprocess)\.[a-zA-Z_]+)\("
 
 
 def _facts(spark, sf_dir, kind):
-    """All facts of one kind, whether a rule asks for them or not."""
-    facts = pyfacts.py_facts(pyfacts.python_sources(derive.code_corpus(spark, sf_dir)), watched=False)
-    return facts.where(F.col("kind") == kind)
+    return facts_of(derive.code_corpus(spark, sf_dir), kind)
 
 
 @query(
@@ -131,6 +130,8 @@ def _facts(spark, sf_dir, kind):
     ),
 )
 def py_calls(spark, sf_dir):
+    """Only the calls that a line of SQL can find; ``py_call_facts`` has all."""
+
     def keyword(name, field):
         return F.get(F.filter("keywords", lambda k: k["arg"] == name), F.lit(0))[field]
 
@@ -155,6 +156,7 @@ def py_calls(spark, sf_dir):
     ),
 )
 def py_assigns(spark, sf_dir):
+    """Only names in capitals, as in the SQL; ``py_assign_facts`` has all."""
     found = _facts(spark, sf_dir, "assign").where(F.rlike("name", F.lit("^[A-Z_]+$")))
     return found.select("path", "line", "name", "nonempty_str", "has_star", "is_true")
 
@@ -167,6 +169,7 @@ def py_assigns(spark, sf_dir):
     ),
 )
 def py_consts(spark, sf_dir):
+    """Only the value that PY014 asks for, as in the SQL; ``py_const_facts`` has all."""
     return _facts(spark, sf_dir, "const").where("name = '0.0.0.0'").select("path", "line", "column")
 
 
