@@ -6,6 +6,9 @@ over the smallest even number of bits that holds the range, walked until it land
 passes the validation again. So equal values have equal pseudonyms in all documents, different ones
 have different ones, and a value written in two formats stays linked.
 
+A card is looked for among all rows of whole digit groups in a run of digits, as other numbers may stand
+beside it, and an account number ends where its country's length does.
+
 Everything happens in a document's row; no shuffle.
 """
 
@@ -14,7 +17,9 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
-from collections.abc import Callable
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -198,11 +203,17 @@ def _email(text: str, p: Permutation) -> str | None:
     return f"{hidden}@{domain}"
 
 
+def _account(country: str) -> str:
+    """The pattern of a country's account numbers, which ends where the number does, whatever follows."""
+    fours, rest = divmod(_IBAN[country] - 4, 4)
+    return f"{country}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
 #: Kinds in order of precedence: where a text must have which character, the pattern, the validation and rewriting.
 KINDS: tuple[tuple[str, str, re.Pattern, Callable[[str, Permutation], str | None]], ...] = (
     ("email", "@", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"), _email),
-    ("iban", "", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), _iban),
-    ("card", "", re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"), _card),
+    ("iban", "", re.compile(rf"(?<![A-Za-z0-9])(?:{'|'.join(map(_account, _IBAN))})(?![A-Za-z0-9])"), _iban),
+    ("card", "", re.compile("[0-9]+(?:[ -][0-9]+)*"), _card),
     ("date", "", re.compile(r"(?<![0-9.])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?!\.?[0-9])"), _date),
     ("ssn", "-", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), _ssn),
     ("ip", ".", re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"), _address),
@@ -213,6 +224,84 @@ KINDS: tuple[tuple[str, str, re.Pattern, Callable[[str, Permutation], str | None
     ),
 )
 _DIGIT = re.compile("[0-9]")
+_GROUP = re.compile("[0-9]+")
+_DOUBLED = (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)
+#: Kinds whose values beside each other look like oddly grouped cards.
+_GROUPED = ("date", "ssn", "phone")
+
+
+def _card_rank(sizes: tuple[int, ...], signs: set[str], digits: str) -> tuple[bool, bool, int]:
+    """Smaller for numbers written as cards are, then for the issuer's usual length, then for longer ones."""
+    written = len(signs) < 2 and (set(sizes[:-1]) <= {4} and (len(sizes) == 1 or sizes[-1] <= 4) or sizes in ((4, 6, 5), (4, 6, 4)))
+    usual = {"34": 15, "37": 15, "30": 14, "36": 14, "38": 14}.get(digits[:2], 16)
+    return not written, len(digits) != usual, -len(digits)
+
+
+def _runs_of_groups(run: re.Match) -> Iterator[tuple[tuple[bool, bool, int], int, int]]:
+    """Rank and place of each row of whole digit groups in a run that has a card's length, first digit and check digit."""
+    groups = [(m.start(), m.end()) for m in _GROUP.finditer(run.string, run.start(), run.end())]
+    digits = _digits(run[0])
+    # the sums to each place, with the digits at even and at odd places doubled
+    sums = [list(accumulate((_DOUBLED[int(d)] if i % 2 == odd else int(d) for i, d in enumerate(digits)), initial=0)) for odd in (0, 1)]
+    places = list(accumulate((b - a for a, b in groups), initial=0))
+    for i, (start, _) in enumerate(groups):
+        at = places[i]
+        if digits[at] not in "23456":
+            continue
+        for j in range(i, len(groups)):
+            end = places[j + 1]
+            if end - at > 19:
+                break
+            if end - at >= 13 and (sums[end % 2][end] - sums[end % 2][at]) % 10 == 0:
+                sizes = tuple(b - a for a, b in groups[i : j + 1])
+                signs = {run.string[b] for _, b in groups[i:j]}
+                yield _card_rank(sizes, signs, digits[at:end]), start, groups[j][1]
+
+
+class _Places:
+    """Places (start, end) that do not overlap, in any order."""
+
+    def __init__(self, places: Iterator[tuple[int, int]]) -> None:
+        self.places = sorted(places)
+
+    def touch(self, start: int, end: int) -> bool:
+        at = bisect_left(self.places, (end, end))
+        return at > 0 and self.places[at - 1][1] > start
+
+
+def _cards(text: str, pattern: re.Pattern, taken: list[tuple[int, int]], others: Callable[[], list[Iterator[tuple[int, int]]]]) -> list[tuple[int, int]]:
+    """Places of cards among the digit groups of each run, whatever other numbers stand beside them.
+
+    A row of groups that is not written as cards are does not count where it would cut a value of ``others``.
+    Of rows that overlap the one with the smallest rank counts, then the first.
+    """
+    rows = []
+    for run in pattern.finditer(text):
+        if run.end() - run.start() >= 13:
+            rows += _runs_of_groups(run)
+    if not rows:
+        return []
+    held = _Places(iter(taken))
+    rows = sorted(row for row in rows if not held.touch(*row[1:]))
+    if any(rank[0] for rank, _, _ in rows):
+        other = [_Places(places) for places in others()]
+        rows = [row for row in rows if not row[0][0] or not any(o.touch(*row[1:]) for o in other)]
+    used, found = bytearray(len(text)), []
+    for _, start, end in rows:
+        if not any(used[start:end]):
+            used[start:end] = b"\1" * (end - start)
+            found.append((start, end))
+    return sorted(found)
+
+
+def _next_after_failure(text: str, pattern: re.Pattern, fits: Callable[[str], bool]) -> Iterator[tuple[int, int]]:
+    """Places of the matches that fit; after one that does not, the search goes on inside it."""
+    at = 0
+    while match := pattern.search(text, at):
+        good = fits(match[0])
+        if good:
+            yield match.span()
+        at = match.end() if good else match.start() + 1
 
 
 def hide(text: str, p: Permutation, known: dict[tuple[str, str], str | None] | None = None) -> tuple[str, list[tuple[int, int, str]]]:
@@ -220,20 +309,29 @@ def hide(text: str, p: Permutation, known: dict[tuple[str, str], str | None] | N
     known = {} if known is None else known
     if "@" not in text and not _DIGIT.search(text):
         return text, []
+
+    def image(kind: str, value: str, rewrite: Callable[[str, Permutation], str | None]) -> str | None:
+        if (kind, value) not in known:
+            if len(known) > 100_000:
+                known.clear()
+            known[kind, value] = rewrite(value, p)
+        return known[kind, value]
+
+    def plain(kind: str, pattern: re.Pattern, rewrite: Callable[[str, Permutation], str | None]) -> Iterator[tuple[int, int]]:
+        return (m.span() for m in pattern.finditer(text) if image(kind, m[0], rewrite) is not None)
+
     found: list[tuple[int, int, str, str]] = []
     for kind, needed, pattern, rewrite in KINDS:
         if needed not in text:
             continue
-        new = []
-        for match in pattern.finditer(text):
-            value = match[0]
-            if (kind, value) not in known:
-                if len(known) > 100_000:
-                    known.clear()
-                known[kind, value] = rewrite(value, p)
-            if known[kind, value] is not None:
-                new.append((match.start(), match.end(), kind, known[kind, value]))
-        found = _without_overlap(found, new)
+        if kind == "card":
+            grouped = lambda: [plain(k, q, r) for k, _, q, r in KINDS if k in _GROUPED]
+            places = _cards(text, pattern, [row[:2] for row in found], grouped)
+        elif kind == "iban":
+            places = _next_after_failure(text, pattern, lambda value: image("iban", value, _iban) is not None)
+        else:
+            places = plain(kind, pattern, rewrite)
+        found = _without_overlap(found, [(a, b, kind, image(kind, text[a:b], rewrite)) for a, b in places])
     parts, at = [], 0
     for start, end, _, value in found:
         parts += [text[at:start], value]

@@ -107,6 +107,35 @@ def test_pseudonyms_keep_formats_and_links():
     assert new[7].startswith("192.168.") and new[8].endswith("@example.com") and new[4].startswith("DE")
 
 
+def test_values_beside_other_numbers_are_hidden():
+    p = pseudonyms.Permutation(b"k")
+    card, iban = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
+    plain = card.replace(" ", "")
+    texts = [(f"{card} {cvv}", card) for cvv in range(100, 1000, 7)] + [(f"{card} {cvv}", card) for cvv in range(1000, 10_000, 997)]
+    texts += [(f"{plain} 12/27", plain), (f"ref 12 {plain}", plain), (f"2024-01-15 {plain}", plain), (f"10.0.0.1 {card}", card)]
+    texts += [(f"123456 {card}", card), (f"212 555 {card}", card), ("3782 822463 10005 1234", "3782 822463 10005"), (f"{card} 99 {card}", card)]
+    texts += [("7 41111111 11111111 123", "41111111 11111111"), (f"DE89 3704 0044 0532 0130 00 {card}", card)]
+    texts += [(f"{iban} EUR", iban), (f"{iban} 2024", iban), (f"BE12 {iban} EUR", iban), ("DE89 3704 0044 0532 0130 00 EUR", "DE89 3704 0044 0532 0130 00")]
+    for text, value in texts:
+        hidden, spans = pseudonyms.hide(text, p)
+        alone, _ = pseudonyms.hide(value, p)
+        assert value not in hidden and alone in hidden, text  # the same pseudonym as without neighbours
+        assert value in [text[a:b] for a, b, _ in spans], text
+
+
+def test_dates_and_phones_in_rows_are_no_cards():
+    p = pseudonyms.Permutation(b"k")
+    for i in range(10, 29):
+        text = f"2024-01-{i} 2024-02-{i} 212-555-01{i} 212-555-02{i} 123-45-67{i}"
+        assert [k for _, _, k in pseudonyms.hide(text, p)[1]] == ["date", "date", "phone", "phone", "ssn"]
+
+
+def test_long_rows_of_digits_stay_quick():
+    p = pseudonyms.Permutation(b"k")
+    assert pseudonyms.hide("1 " * 200_000, p) == ("1 " * 200_000, [])
+    assert pseudonyms.hide("1" * 200_000, p) == ("1" * 200_000, [])
+
+
 def test_numbers_that_fail_validation_stay():
     p = pseudonyms.Permutation(b"k")
     for text in ("4111111111111112", "1990-13-45", "000-12-3456", "300.1.1.1", "DE00 3704 0044 0532 0130 00", "12345", "1.2.3.4.5"):
