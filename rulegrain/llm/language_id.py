@@ -2,8 +2,9 @@
 
 Training counts n-grams inside each input partition in numpy and adds the counts up with a hash
 aggregate, so a label that a third of all rows carry sends one row per bucket and partition. The
-log-probabilities of all labels form one matrix, which is bounded (``MAX_LANGUAGES`` times
-``BUCKETS`` floats, 8 MB at most by default) and broadcast. Scoring takes a batch of texts at a time.
+log-probabilities of ``BLOCK`` labels at a time form a matrix, which is bounded (``BLOCK`` times
+``BUCKETS`` floats, 8 MB at most) and broadcast. Scoring takes a batch of texts at a time through all
+matrices, one after the other, so that any number of labels counts.
 """
 
 from __future__ import annotations
@@ -11,17 +12,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sources.tables import stored
 from .common import crc_of_id, prepare_workers, quoted, slices, without
 
 BITS = 15
 BUCKETS = 1 << BITS
 ORDERS = (1, 2, 3)
-MAX_LANGUAGES = 64
+#: Labels whose counts or weights are held as dense rows at a time.
+BLOCK = 64
+#: Matrices that a worker keeps; if there are more, each is read again for each batch.
+KEPT_BLOCKS = 16
 UNKNOWN = "und"
 #: Odd multipliers of the n-gram hash, one per place of a character.
 _FACTORS = tuple(np.uint32(x) for x in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35))
@@ -30,11 +37,17 @@ _SLICE = 1_000_000
 
 @dataclass(frozen=True)
 class Model:
-    """``weights`` has a row per language; its last column is for n-grams that do not count."""
+    """``blocks`` have a row per language, in order; their last column is for n-grams that do not count."""
 
     languages: tuple[str, ...]
     priors: np.ndarray
-    weights: np.ndarray
+    blocks: tuple[Broadcast, ...]
+
+    def weights(self) -> Iterator[np.ndarray]:
+        for block in self.blocks:
+            yield block.value
+            if len(self.blocks) > KEPT_BLOCKS and getattr(block, "_path", None):
+                block.__dict__.pop("_value", None)
 
 
 @lru_cache(maxsize=1)
@@ -76,23 +89,24 @@ def _gram_buckets(texts: list[str]) -> tuple[Iterator[np.ndarray], np.ndarray, n
     return orders(), starts, n_letters
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (lang, bucket, n) of one partition; bucket -1 counts documents."""
-    held: dict[str, np.ndarray] = {}
-    for batch in slices(batches, "text", _SLICE):
-        texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
-        orders, starts, _ = _gram_buckets(texts)
-        names = {name: i for i, name in enumerate(sorted(set(langs)))}
-        codes = np.array([names[x] for x in langs], np.int64)
-        of_place, total = None, np.zeros(len(names) * (BUCKETS + 1), np.int64)
+def _slice_counts(texts: list[str], langs: list[str]) -> Iterator[tuple[str, np.ndarray]]:
+    """Each label with its counts, at most BLOCK labels at a time; the last count is of documents."""
+    names = iter(sorted(set(langs)))
+    while some := {name: i for i, name in enumerate(islice(names, BLOCK))}:
+        chosen = [i for i, x in enumerate(langs) if x in some]
+        codes = np.array([some[langs[i]] for i in chosen], np.int64)
+        orders, starts, _ = _gram_buckets([texts[i] for i in chosen])
+        of_place, total = None, np.zeros(len(some) * (BUCKETS + 1), np.int64)
         for buckets in orders:
             if of_place is None:
                 of_place = np.repeat(codes * (BUCKETS + 1), np.diff(starts, append=len(buckets)))
             total += np.bincount(of_place + buckets, minlength=len(total))
-        rows = total.reshape(len(names), BUCKETS + 1)
-        rows[:, BUCKETS] = np.bincount(codes, minlength=len(names))
-        for name, row in zip(names, rows):
-            held[name] = held.get(name, 0) + row
+        rows = total.reshape(len(some), BUCKETS + 1)
+        rows[:, BUCKETS] = np.bincount(codes, minlength=len(some))
+        yield from zip(some, rows)
+
+
+def _count_rows(held: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
     for name, row in held.items():
         some = np.flatnonzero(row)
         yield pa.RecordBatch.from_arrays(
@@ -105,31 +119,55 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def fit(rows: DataFrame, smoothing: float = 0.5, max_languages: int = MAX_LANGUAGES) -> Model:
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, bucket, n) of one partition, a label's counts in one or several; bucket -1 counts documents."""
+    held: dict[str, np.ndarray] = {}
+    for batch in slices(batches, "text", _SLICE):
+        for name, row in _slice_counts(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
+            if name not in held and len(held) >= BLOCK:
+                yield from _count_rows(held)
+                held = {}
+            held[name] = held.get(name, 0) + row
+    yield from _count_rows(held)
+
+
+def _weights(counts: DataFrame, names: list[str], smoothing: float) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probabilities of the n-grams of some labels, and their numbers of documents."""
+    weights, place = np.zeros((len(names), BUCKETS + 1)), {name: i for i, name in enumerate(names)}
+    found = counts.toArrow()
+    at = np.array([place[x] for x in found.column("lang").to_pylist()], np.int64)
+    weights[at, found.column("bucket").to_numpy()] = found.column("n").to_numpy()  # bucket -1 is the last column
+    docs = weights[:, BUCKETS].copy()
+    weights[:, BUCKETS] = 0
+    counted = weights[:, :BUCKETS]
+    weights[:, :BUCKETS] = np.log((counted + smoothing) / (counted.sum(1, keepdims=True) + smoothing * BUCKETS))
+    return weights.astype(np.float32), docs
+
+
+def fit(rows: DataFrame, smoothing: float = 0.5, max_languages: int | None = None) -> Model:
     """A model from rows (text, lang); rows without either are left out, no rows give an empty model.
 
-    All rows are counted. More than ``max_languages`` distinct labels raise ValueError: the matrix
-    that every worker holds has that bound.
+    All rows and labels are counted. More than ``max_languages`` distinct labels, if given, raise ValueError.
     """
     rows = rows.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
-    names = sorted(r[0] for r in rows.select("lang").distinct().limit(max_languages + 1).collect())
-    if len(names) > max_languages:
+    distinct = rows.select("lang").distinct()
+    names = sorted(r[0] for r in (distinct if max_languages is None else distinct.limit(max_languages + 1)).collect())
+    if max_languages is not None and len(names) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
-    prepare_workers(rows.sparkSession)
+    spark = rows.sparkSession
+    prepare_workers(spark)
     counts = rows.mapInArrow(_count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    found = counts.toArrow() if names else None
-    weights, docs = np.zeros((len(names), BUCKETS + 1)), np.zeros(len(names))
-    if found is not None:
-        place = {name: i for i, name in enumerate(names)}
-        at = np.array([place[x] for x in found.column("lang").to_pylist()], np.int64)
-        bucket, n = found.column("bucket").to_numpy(), found.column("n").to_numpy()
-        weights[at, bucket] = n  # bucket -1 is the last column
-        docs = weights[:, BUCKETS].copy()
-        weights[:, BUCKETS] = 0
-    counted = weights[:, :BUCKETS]
-    weights[:, :BUCKETS] = np.log((counted + smoothing) / (counted.sum(1, keepdims=True) + smoothing * BUCKETS))
+    if len(names) > BLOCK:
+        counts = stored(counts)
+    blocks, docs = [], np.zeros(0)
+    for at in range(0, len(names), BLOCK):
+        some = names[at : at + BLOCK]
+        mine = counts.where(F.col("lang").isin(some)) if len(names) > BLOCK else counts
+        weights, found = _weights(mine, some, smoothing)
+        blocks.append(spark.sparkContext.broadcast(weights))
+        docs = np.append(docs, found)
     priors = np.log(np.maximum(docs, 1) / max(docs.sum(), 1))
-    return Model(tuple(names), priors, weights.astype(np.float32))
+    return Model(tuple(names), priors, tuple(blocks))
 
 
 def predict_texts(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -137,14 +175,20 @@ def predict_texts(model: Model, texts: list[str | None]) -> tuple[list[str], lis
     filled = [t or "" for t in texts]
     if not filled or not model.languages:
         return [UNKNOWN] * len(filled), [0.0] * len(filled)
-    orders, starts, letters = _gram_buckets(filled)
-    sums = np.tile(model.priors, (len(filled), 1))
-    for buckets in orders:
-        for k, row in enumerate(model.weights):
-            sums[:, k] += np.add.reduceat(row[buckets], starts, dtype=np.float64)
-    best = sums.argmax(1)
-    odds = np.exp(sums - sums.max(1, keepdims=True))
-    score = np.where(letters > 0, 1 / odds.sum(1), 0.0)
+    best, top, odds = np.zeros(len(filled), np.int64), np.full(len(filled), -np.inf), np.zeros(len(filled))
+    first = 0
+    for weights in model.weights():
+        orders, starts, letters = _gram_buckets(filled)
+        sums = np.tile(model.priors[first : first + len(weights)], (len(filled), 1))
+        for buckets in orders:
+            for k, row in enumerate(weights):
+                sums[:, k] += np.add.reduceat(row[buckets], starts, dtype=np.float64)
+        higher = np.maximum(top, sums.max(1))
+        best = np.where(higher > top, first + sums.argmax(1), best)
+        odds = odds * np.exp(top - higher) + np.exp(sums - higher[:, None]).sum(1)
+        top = higher
+        first += len(weights)
+    score = np.where(letters > 0, 1 / odds, 0.0)
     return [model.languages[b] if n else UNKNOWN for b, n in zip(best, letters)], score.tolist()
 
 
@@ -156,13 +200,12 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """
     spark: SparkSession = docs.sparkSession
     prepare_workers(spark)
-    held = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("lang_pred string, lang_score double")
     def scored(text: pa.Array) -> pa.Array:
         langs, scores = [], []
         for part in slices([pa.RecordBatch.from_arrays([text], ["text"])], "text", _SLICE):
-            found = predict_texts(held.value, part.column("text").to_pylist())
+            found = predict_texts(model, part.column("text").to_pylist())
             langs += found[0]
             scores += found[1]
         fields = [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]

@@ -57,6 +57,32 @@ def test_language_without_training_rows_and_with_clashing_columns(spark):
         language_id.fit(spark.createDataFrame([("a", "x"), ("b", "y")], "text string, lang string"), max_languages=1)
 
 
+def many_languages(n):
+    """Documents in languages with words of their own."""
+    own = [" ".join(chr(0x4E00 + 7 * i + j) * 2 for j in range(7)) for i in range(n)]
+    return [(f"{own[i]} {own[i][::-1]}", f"l{i:04d}") for i in range(n) for _ in range(2)]
+
+
+@pytest.mark.parametrize("n", [65, 130])
+def test_more_languages_than_one_block_holds(spark, n):
+    docs = spark.createDataFrame(many_languages(n), "text string, lang string").repartition(3)
+    model = language_id.fit(docs)
+    assert len(model.languages) == n and len(model.blocks) == -(-n // language_id.BLOCK)
+    found = rows_of(language_id.predict(docs, model))
+    assert len(found) == 2 * n and all(r["lang_pred"] == r["lang"] and r["lang_score"] > 0.9 for r in found)
+
+
+def test_blocks_of_languages_give_the_same_scores(spark, monkeypatch):
+    rows = [(f"{text} the and of", lang) for text, lang in many_languages(30)] + [("the and", "l0003"), ("of of", "l0020")]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    texts = [text for text, _ in rows] + ["the", "", None, "of and"]
+    whole = language_id.predict_texts(language_id.fit(docs), texts)
+    monkeypatch.setattr(language_id, "BLOCK", 4)
+    monkeypatch.setattr(language_id, "KEPT_BLOCKS", 2)
+    found = language_id.predict_texts(language_id.fit(docs), texts)
+    assert found[0] == whole[0] and np.allclose(found[1], whole[1], rtol=1e-9)
+
+
 def test_secrets_agree_with_sql(spark, tmp_path):
     rng = random.Random(3)
     pieces = [
