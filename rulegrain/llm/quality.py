@@ -1,8 +1,8 @@
 """Quality scores: histogram gradient-boosted trees over document statistics.
 
 Statistics of whole texts are computed where the texts are read. The trees are fitted on a bounded
-sample of labelled rows (``MAX_ROWS``): the labels of the sample are few enough to be broadcast, so that
-fitting shuffles no text. All trees together are five flat arrays, broadcast and walked by numpy for
+sample of labelled ids (``MAX_ROWS``), one row of each: the labels of the sample are few enough to be broadcast,
+so that fitting shuffles no text. All trees together are five flat arrays, broadcast and walked by numpy for
 all rows of a batch at once.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import crc_of_id, prepare_workers, quoted, slices, without
 
-#: Labelled rows the trees are fitted on: at most so many are expected, by the hash of their id.
+#: Labelled ids the trees are fitted on, with a row each: at most so many are expected, by the hash of the id.
 MAX_ROWS = 30_000
 BINS, DEPTH, TREES, RATE, PENALTY, LEAST = 64, 5, 80, 0.15, 1.0, 10
 BLOCK_WORDS = 50
@@ -173,24 +173,40 @@ def fit_rows(rows: np.ndarray, labels: np.ndarray) -> Trees:
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Trees:
     """Trees from texts (doc_id, text) and labels (doc_id, quality); null labels and ids are left out.
 
-    Where there are more than ``max_rows`` labels, those whose hashed id falls below a threshold are
-    taken, about ``max_rows`` of them, the same ones whatever the order of the rows.
+    Where there are more than ``max_rows`` labelled ids, those whose hash falls below a threshold are taken,
+    about ``max_rows`` of them, the same ones whatever the order of the rows. An id counts once: with the
+    label that most of its rows in ``labels`` have (the good one of equally many), and with the text of
+    smallest hash of its rows in ``docs``.
     """
-    rows = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", (F.col("quality") > 0).alias("good"))
+    rows = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(
+        (F.avg((F.col("quality") > 0).cast("int")) >= 0.5).alias("good")
+    )
     known = rows.count()
     if known > max_rows:
         rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(max_rows / known * (1 << 20)))
     prepare_workers(docs.sparkSession)
-    texts = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
+    place = F.xxhash64(F.coalesce("text", F.lit(""))).alias("place")
+    texts = docs.select("doc_id", "text", place).join(F.broadcast(rows), "doc_id")
 
     def counted(batches):
+        held: dict[int, tuple] = {}
         for batch in slices(batches, "text"):
-            found = statistics(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(found), pa.list_(pa.float64())), batch.column("good"), batch.column("doc_id")], ["x", "good", "doc_id"]
-            )
-
-    found = texts.select("text", "good", "doc_id").mapInArrow(counted, "x array<double>, good boolean, doc_id bigint").toArrow()
+            taken = {}
+            for i, (name, at, good) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "place", "good")))):
+                if name not in held or at < held[name][0]:
+                    held[name] = (at, good, None)
+                    taken[name] = i
+            found = statistics([batch.column("text")[i].as_py() for i in taken.values()])
+            for name, x in zip(taken, found):
+                held[name] = (*held[name][:2], x)
+        rows = [(name, *row) for name, row in held.items()]
+        for i in range(0, len(rows), 10_000):
+            names, places, goods, x = zip(*rows[i : i + 10_000])
+            columns = [pa.array(names, pa.int64()), pa.array(places, pa.int64()), pa.array(goods, pa.bool_()), pa.array(x, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "place", "good", "x"])
+
+    found = texts.select("doc_id", "text", "place", "good").mapInArrow(counted, "doc_id bigint, place bigint, good boolean, x array<double>")
+    found = found.groupBy("doc_id").agg(F.first("good").alias("good"), F.min_by("x", "place").alias("x")).toArrow()
     order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")
     x = np.array(found.column("x").combine_chunks().flatten()).reshape(-1, len(FEATURES))[order]
     return fit_rows(x, found.column("good").to_numpy().astype(np.float64)[order])

@@ -195,6 +195,20 @@ def test_quality_without_labels_and_of_edge_documents(spark, tmp_path):
     assert rows_of(scored)[0]["quality_score"] == 0.5 and quality.score(docs.limit(0), quality.fit_rows(np.zeros((0, 22)), np.zeros(0))).count() == 0
 
 
+def test_quality_counts_a_repeated_id_once(spark, monkeypatch):
+    docs = [(i, f"text of number {i}") for i in range(60)] + [(7, f"other {i} " * (i + 1)) for i in range(100)]
+    labels = [(i, i % 2) for i in range(60)] + [(7, 0)] * 70 + [(7, 1)] * 30 + [(8, 1)]
+    fitted = []
+    monkeypatch.setattr(quality, "fit_rows", lambda x, good: fitted.append((x, good.tolist())))
+    for rows in (docs, docs[::-1]):
+        table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+        quality.fit(table, spark.createDataFrame(labels, "doc_id bigint, quality int"))
+    good = [float(i % 2) for i in range(60)]
+    good[7], good[8] = 0.0, 1.0  # most labels of 7 are 0; 8 has as many of each
+    assert [g for _, g in fitted] == [good] * 2
+    assert fitted[0][0].shape == (60, len(quality.FEATURES)) and (fitted[0][0] == fitted[1][0]).all()
+
+
 def test_trees_walk_like_plain_code():
     rng = np.random.default_rng(1)
     rows = rng.random((500, len(quality.FEATURES)))
