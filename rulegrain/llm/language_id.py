@@ -58,10 +58,10 @@ def _letters() -> np.ndarray:
 def _gram_buckets(texts: list[str]) -> tuple[Iterator[np.ndarray], np.ndarray, np.ndarray]:
     """Bucket of the n-gram at each place of all texts, order by order; where each text starts; its letters.
 
-    What is not a letter is a space. N-grams with two spaces side by side do not count, which also
-    keeps them from reaching over into the next text, as two spaces stand between texts.
+    What is not a letter is a space, and each text stands between two. N-grams with two spaces side by side do
+    not count, which also keeps them from reaching over into the next text.
     """
-    lowered = [t.lower() + "  " for t in texts]
+    lowered = [f" {t.lower()} " for t in texts]
     codes = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.fromiter(map(len, lowered), np.int64, len(lowered))
     starts = np.cumsum(sizes) - sizes

@@ -1,8 +1,11 @@
 """Language, secrets, personal data, quality and chat formatting."""
 
 import hashlib
+import math
 import random
 import re
+import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -57,6 +60,54 @@ def test_language_without_training_rows_and_with_clashing_columns(spark):
         language_id.fit(spark.createDataFrame([("a", "x"), ("b", "y")], "text string, lang string"), max_languages=1)
 
 
+def plain_buckets(text):
+    """Buckets of the n-grams of one text, character by character."""
+    low = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+    for n in (1, 2, 3):
+        for i in range(len(low) - n + 1):
+            gram = low[i : i + n]
+            if gram == " " or "  " in gram:
+                continue
+            mixed = n * 0x27D4EB2F & 0xFFFFFFFF
+            for c, factor in zip(gram, (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)):
+                mixed = (mixed ^ ord(c) * factor & 0xFFFFFFFF) * 0x2C1B3C6D & 0xFFFFFFFF
+                mixed ^= mixed >> 13
+            yield mixed >> 17
+
+
+def plain_bayes(rows):
+    """doc_id, held_out, lang_pred and score of rows (doc_id, text, lang)."""
+    held_out = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 3 == 1
+    counts, docs = {}, Counter()
+    for i, text, lang in rows:
+        if not held_out(i) and text is not None and lang is not None:
+            docs[lang] += 1
+            counts.setdefault(lang, Counter()).update(plain_buckets(text))
+    for i, text, _ in rows:
+        grams, sums = list(plain_buckets(text or "")), {}
+        for lang in sorted(docs):
+            total = sum(counts[lang].values()) + 0.5 * 2**15
+            sums[lang] = math.log(docs[lang] / sum(docs.values())) + sum(math.log((counts[lang][g] + 0.5) / total) for g in grams)
+        best = max(sums, key=sums.get)
+        score = 1 / sum(math.exp(x - sums[best]) for x in sums.values())
+        yield (i, held_out(i), best, score) if any(map(str.isalpha, text or "")) else (i, held_out(i), "und", 0.0)
+
+
+def test_languages_agree_with_plain_bayes(spark, tmp_path):
+    rng = random.Random(4)
+    letters = {"de": "aeinrstßü", "en": "aehiorst", "el": "αειορσς"}
+    word = lambda lang: "".join(rng.choice(letters[lang]) for _ in range(rng.randrange(1, 6)))
+    rows = [(i, " ".join(word(lang) for _ in range(rng.randrange(1, 7))), lang) for i, lang in enumerate(["de", "en", "el"] * 20)]
+    rows += [(100 + i, t, rng.choice(["de", None])) for i, t in enumerate([None, "", " \t", "a", "A-Z 12", "x", "\u4e2d\U0001f600", "İstanbul"])]
+    rows += [(None, "sort it", "en"), (3, "again", "de")]
+    found = rows_of(language_id.query(spark, folder(spark, tmp_path, documents=[(*r, "s", 1) for r in rows])))
+    order = lambda r: (str(r[0]), r[2], r[3])
+    got = sorted(((r["doc_id"], r["held_out"], r["lang_pred"], r["score"]) for r in found), key=order)
+    want = sorted(plain_bayes(rows), key=order)
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    assert np.allclose([r[3] for r in got], [r[3] for r in want], atol=1e-4)
+
+
 def many_languages(n):
     """Documents in languages with words of their own."""
     own = [" ".join(chr(0x4E00 + 7 * i + j) * 2 for j in range(7)) for i in range(n)]
@@ -178,6 +229,33 @@ def test_pseudonyms_of_edge_documents(spark, tmp_path):
     assert pseudonyms.pseudonymise(docs.limit(0), b"k").count() == 0
 
 
+def test_pseudonyms_of_planted_values_agree_with_a_plain_version(spark, tmp_path):
+    rewrite = {k: f for k, _, _, f in pseudonyms.KINDS}
+    values = {
+        "email": ["jo.doe7@mail.example", "a@b.example"], "iban": ["ES91 2100 0418 4502 0005 1332", "DE89370400440532013000"],
+        "card": ["4111 1111 1111 1111", "4111111111111111", "5500-0000-0000-0004"], "date": ["1990-03-12", "31.12.2001"],
+        "ssn": ["123-45-6789"], "ip": ["192.168.1.7", "8.8.4.4"], "phone": ["+1 (212) 555-0100", "212-555-0100", "+44 20 7946 0958"],
+    }
+    rng, rows, want, images = random.Random(6), [], [], {}
+    p = pseudonyms.Permutation(pseudonyms.DEMO_KEY)
+    for i in range(40):
+        text, hidden, spans = "é\U0001f600 ", "é\U0001f600 ", []
+        for _ in range(rng.randrange(6)):
+            kind = rng.choice(list(values))
+            value = rng.choice(values[kind])
+            image = images.setdefault(value, rewrite[kind](value, p))
+            spans.append(f"{kind}:{len(text)}:{len(text) + len(value)}")
+            text, hidden = f"{text}{value} EUR, then ", f"{hidden}{image} EUR, then "
+        rows.append(document(i, text))
+        want.append((i, hidden, len(spans), ",".join(spans)))
+    rows.append(document(40, None))
+    want.append((40, None, 0, ""))
+    found = rows_of(pseudonyms.query(spark, folder(spark, tmp_path, documents=rows)))
+    assert sorted((r["doc_id"], r["text"], r["n_pii"], r["spans"]) for r in found) == want
+    plain = lambda value: re.sub(r"\D", "", images[value])
+    assert all(images[v] != v for v in images) and plain("4111 1111 1111 1111") == plain("4111111111111111")
+
+
 def test_quality_of_held_out_documents(spark):
     found = quality.query(spark, "/root/testdata/sf0.1").where("held_out")
     truth = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
