@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, jaccard_join, language_id, packing, pseudonyms, quality, secrets, suffix_dedup
+from . import (
+    chat_format, chosen_path, decontaminate, exact_dedup, hard_negatives, jaccard_join, language_id, merkle, packing, pseudonyms, quality,
+    secrets, suffix_dedup,
+)
 
 QUERIES = {
     "op1_language_id": language_id.query,
@@ -15,6 +18,9 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.query,
     "op9_decontaminate": decontaminate.query,
     "op10_jaccard_join": jaccard_join.query,
+    "op11_chosen_path": chosen_path.query,
+    "op12_hard_negatives": hard_negatives.query,
+    "op13_merkle": merkle.query,
 }
 ORACLES = {
     "op2_secrets": secrets.ORACLE,
@@ -22,4 +28,7 @@ ORACLES = {
     "op8_exact_dedup": exact_dedup.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
     "op10_jaccard_join": jaccard_join.ORACLE,
+    "op11_chosen_path": chosen_path.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
+    "op13_merkle": merkle.ORACLE,
 }
