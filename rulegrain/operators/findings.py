@@ -11,6 +11,7 @@ from ..schema import SEVERITY_RANKS, severity_rank
 from ..sources.tables import constant_table
 from .globs import suppressed_files
 from .joins import lookup_join
+from .roots import missing_roots as without_files, opened, under_roots
 
 DEDUPE_KEYS = ["rule_id", "file_path", "line", "column"]
 
@@ -72,44 +73,32 @@ def dedupe_findings(findings: DataFrame, keys: list[str] = DEDUPE_KEYS) -> DataF
     return best.select(*[F.col(f"`{k}`") for k in keys], "first.*").select(*[F.col(f"`{c}`") for c in findings.columns])
 
 
-def under_roots(files: DataFrame, roots: DataFrame) -> DataFrame:
-    """Files (path) under each root (root, root_ordinal); overlapping roots give a file several times.
-
-    A path lists its own parents, so the match is an equi-join, not a prefix test of every pair.
-    """
-    listed = files.withColumn("root", F.explode(paths.path_lineage(F.col("path"))))
-    named = roots.select(F.rtrim(F.regexp_replace("root", r"^\./|^\.$", ""), F.lit("/")).alias("root"), "root_ordinal")
-    return lookup_join(listed, named, ["root"], "inner", [F.col("path")])
-
-
-def files_under(inventory: DataFrame, roots: DataFrame) -> DataFrame:
-    """Files (repo, path, length) a scan of the roots opens: pruning looks only below each root, and a
-    root that is a file is opened wherever it lies."""
-    rooted = under_roots(inventory, roots)
-    below = F.when(F.col("root") == "", F.col("path")).otherwise(F.expr("substr(path, length(root) + 2)"))
-    wanted = (F.col("path") == F.col("root")) | ~paths.in_pruned_dir(below)
-    return rooted.where(wanted & (F.size(paths.scanners_for(F.col("path"))) > 0) & (F.col("length") <= paths.MAX_FILE_BYTES))
+def files_under(inventory: DataFrame, roots: DataFrame, max_bytes: int = paths.MAX_FILE_BYTES) -> DataFrame:
+    """Files (repo, path, length) a scan of the roots opens, once for each root."""
+    named = inventory if "repo" in inventory.columns else inventory.withColumn("repo", F.lit(""))
+    return opened(under_roots(named.select("repo", "path", "length"), roots)).where(F.col("length") <= max_bytes)
 
 
-def scan_totals(inventory: DataFrame, roots: DataFrame) -> DataFrame:
+def scan_totals(inventory: DataFrame, roots: DataFrame, max_bytes: int = paths.MAX_FILE_BYTES) -> DataFrame:
     """Files opened over all roots; a file under several roots counts once for each."""
-    return files_under(inventory, roots).agg(F.count("*").alias("scanned_files"))
+    return files_under(inventory, roots, max_bytes).agg(F.count("*").alias("scanned_files"))
 
 
 def merge_roots(findings: DataFrame, roots: DataFrame, keys: list[str] = DEDUPE_KEYS) -> DataFrame:
-    """Findings of every root in order, those seen before left out."""
-    files = findings.withColumn("path", F.col("file_path"))
-    return dedupe_findings(under_roots(files, roots).drop("path", "root"), keys).drop("root_ordinal")
+    """Findings of every root in order, those seen before left out.
+
+    A finding is first seen under the first root of its file, so distinct files alone are sorted.
+    """
+    files = findings.select("repo", F.col("file_path").alias("path")).distinct()
+    first = under_roots(files, roots).groupBy("repo", F.col("path").alias("file_path")).agg(F.min("root_ordinal").alias("root_ordinal"))
+    rooted = findings.join(first, ["repo", "file_path"]).select(*findings.columns, "root_ordinal")
+    return dedupe_findings(rooted, keys).drop("root_ordinal")
 
 
 def missing_roots(corpus: DataFrame, roots: DataFrame) -> DataFrame:
     """Error rows for roots under which there is no file."""
-    present = corpus.select(F.explode(paths.path_lineage(F.col("path"))).alias("clean")).distinct()
-    clean = F.rtrim(F.regexp_replace("root", r"^\./|^\.$", ""), F.lit("/"))
-    gone = roots.withColumn("clean", clean).join(present, "clean", "left_anti")
-    return gone.select(
-        F.lit("").alias("repo"), F.col("root").alias("file_path"), F.concat(F.lit("path not found: "), F.col("root")).alias("error")
-    )
+    named = corpus if "repo" in corpus.columns else corpus.withColumn("repo", F.lit(""))
+    return without_files(under_roots(named.select("repo", "path"), roots), roots)
 
 
 def sort_columns() -> list[Column]:

@@ -16,6 +16,8 @@ from ..functions.text import (
     universal_newlines,
 )
 from ..functions.versions import bump_requirement, fixed_from_remediation, package_from_snippet, requirement_name
+from ..sources.tables import stored
+from .membership import may_be_in, only_members
 from .rules import SECRET_NAMES, SECRET_NEEDLES, SECRET_VALUE
 
 # What each fix looks for and writes instead.
@@ -141,17 +143,23 @@ def line_fixes(findings: DataFrame) -> DataFrame:
 
 
 def join_fixers(findings: DataFrame, lines: DataFrame) -> DataFrame:
-    """Fixable findings beside the source line they stand on and the line each fix alone would give."""
-    fixes = fixable_filter(findings).select(
+    """Fixable findings beside the source line they stand on and the line each fix alone would give.
+
+    Lines without such a finding are left out where they are read, before the join.
+    """
+    fixes = stored(fixable_filter(findings).select(
         "repo", F.col("file_path").alias("path"), "line", "rule_id", "ordinal", "column"
-    )
-    joined = fixes.join(lines.select("repo", "path", "line", "text"), ["repo", "path", "line"])
+    ))
+    there = may_be_in(lines.select("repo", "path", "line", "text"), fixes, ["repo", "path", "line"])
+    joined = fixes.join(there, ["repo", "path", "line"])
     return joined.withColumn("new_text", fix_line(F.col("rule_id"), F.col("text")))
 
 
 def line_fold(findings: DataFrame, lines: DataFrame) -> DataFrame:
-    """Lines after all their fixes."""
-    joined = lines.select("repo", "path", "line", "text").join(line_fixes(findings), ["repo", "path", "line"])
+    """Lines after all their fixes; lines without one are left out where they are read."""
+    fixes = stored(line_fixes(findings))
+    there = may_be_in(lines.select("repo", "path", "line", "text"), fixes, ["repo", "path", "line"])
+    joined = there.join(fixes, ["repo", "path", "line"])
     folded = joined.withColumn("f", fold_line(F.col("text"), F.col("rules")))
     return folded.select(
         "repo", "path", "line", "text", F.col("f.text").alias("new_text"), F.col("f.changes").alias("changes"), F.col("f.env").alias("env")
@@ -253,9 +261,9 @@ def fix_plan(findings: DataFrame, python_secrets_only: bool = True) -> DataFrame
 
 
 def fix_candidate_files(corpus: DataFrame, findings: DataFrame) -> DataFrame:
-    """Files with at least one fixable finding."""
-    fixable = findings.where("fixable").select("repo", F.col("file_path").alias("path")).distinct()
-    return corpus.join(fixable, ["repo", "path"], "left_semi")
+    """Files with at least one fixable finding; the contents of others are not shuffled."""
+    fixable = stored(findings.where("fixable").select("repo", F.col("file_path").alias("path")).distinct())
+    return only_members(corpus, fixable, ["repo", "path"])
 
 
 def _line_state(text: Column, changes: Column) -> Column:
@@ -265,11 +273,13 @@ def _line_state(text: Column, changes: Column) -> Column:
 def fixed_lines(corpus: DataFrame, plan: DataFrame) -> DataFrame:
     """Planned files with their lines before and after the fixes.
 
-    Files that hold no fixer's literal are dropped before the join, so unaffected content is not
-    shuffled; everything after the join happens inside the file's own row.
+    Files without a planned fix, and those that hold no fixer's literal, are dropped where they are
+    read, so their contents are not shuffled; everything after the join happens inside the file's own row.
     """
     text = universal_newlines(strict_text(F.col("content")))
-    files = corpus.where(_is_requirements() | _may_change(F.col("content").cast("string"))).select(
+    plan = stored(plan)
+    planned_files = may_be_in(corpus, plan, ["repo", "path"])
+    files = planned_files.where(_is_requirements() | _may_change(F.col("content").cast("string"))).select(
         "repo", "path", text.alias("original")
     )
     joined = files.where(F.col("original").isNotNull()).join(plan, ["repo", "path"])

@@ -54,11 +54,15 @@ def scannable(corpus: DataFrame, max_bytes: int = paths.MAX_FILE_BYTES) -> DataF
     return size_cap(prune_ignored_dirs(corpus), max_bytes).where(F.size(dispatch_column()) > 0)
 
 
+def too_large(files: DataFrame, max_bytes: int) -> DataFrame:
+    """Error rows of files (repo, path, length) over the limit."""
+    error = F.concat(F.lit("not read: "), F.col("length").cast("string"), F.lit(f" bytes, over the limit of {max_bytes}"))
+    return files.select("repo", F.col("path").alias("file_path"), error.alias("error"))
+
+
 def oversized_files(corpus: DataFrame, max_bytes: int = paths.MAX_FILE_BYTES) -> DataFrame:
     """Error rows for files that some scanner would read but for their size."""
-    large = prune_ignored_dirs(corpus).where((F.col("length") > max_bytes) & (F.size(dispatch_column()) > 0))
-    error = F.concat(F.lit("not read: "), F.col("length").cast("string"), F.lit(f" bytes, over the limit of {max_bytes}"))
-    return large.select("repo", F.col("path").alias("file_path"), error.alias("error"))
+    return too_large(prune_ignored_dirs(corpus).where((F.col("length") > max_bytes) & (F.size(dispatch_column()) > 0)), max_bytes)
 
 
 def scanned_files(corpus: DataFrame, max_bytes: int = paths.MAX_FILE_BYTES) -> DataFrame:
