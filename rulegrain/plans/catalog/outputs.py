@@ -9,7 +9,7 @@ from ...operators import dependencies as deps
 from ...operators.lines import scan_code
 from ...sinks import reports
 from ...sources.corpus import scannable, scanned_files
-from ...sources.tables import stored
+from ...sources.tables import shared_folder, stored
 from ...streaming import streams
 from .. import derive, oracle as o
 from .registry import query
@@ -131,11 +131,47 @@ def stream_scan(spark, sf_dir):
     return shown(streams.run_scan(texts))
 
 
-@query("stream_dedupe", o.with_(derive.timed_sql(), 'SELECT DISTINCT rule_id, file_path, line, "column" FROM timed'))
+def arrivals(spark, sf_dir, work):
+    """Runs ``work`` on a stream over a folder after each arrival of timed findings; gives what it gave last."""
+    rows = stored(derive.arriving(derive.table(spark, sf_dir, "events")))
+    folder, found = shared_folder(spark), None
+    for batch in range(derive.ARRIVALS):
+        rows.where(F.col("batch") == batch).drop("batch").write.mode("append").parquet(folder)
+        found = work(spark.readStream.schema(rows.drop("batch").schema).parquet(folder))
+    return found
+
+
+def deduped(spark, sf_dir):
+    state = shared_folder(spark)
+    hours = f"{derive.DELAY_HOURS} hours", f"{derive.SPAN_HOURS} hours"
+    return arrivals(spark, sf_dir, lambda stream: streams.run_dedupe(stream, *hours, folder=state))
+
+
+DEDUPED = ["rule_id", "file_path", "line", "column", "ordinal", "root_ordinal", "copies"]
+_DEDUPED = 'rule_id, file_path, line, "column"'
+
+
+@query(
+    "stream_dedupe",
+    o.with_(
+        derive.arriving_sql(),
+        f"""SELECT {_DEDUPED}, arg_min(ordinal, (root_ordinal, ordinal)) AS ordinal, min(root_ordinal) AS root_ordinal, count(*) AS copies
+            FROM judged WHERE NOT late AND span + {derive.SPAN_HOURS * 3_600_000} <= (SELECT max(mark) FROM marks) GROUP BY {_DEDUPED}, span""",
+    ),
+)
 def stream_dedupe(spark, sf_dir):
-    """The delay spans the whole table, so that every copy falls within it."""
-    found = derive.timed(stream_table(spark, sf_dir, "events"))
-    return streams.run_dedupe(found, delay="3650 days").select("rule_id", "file_path", "line", "column")
+    """Firsts of all spans that are over, after several arrivals; what a later one brings back is there again."""
+    return deduped(spark, sf_dir).where("NOT late").select(*DEDUPED)
+
+
+@query(
+    "stream_dedupe_late",
+    o.with_(derive.arriving_sql(), f"SELECT {_DEDUPED}, count(*) AS copies FROM judged WHERE late GROUP BY {_DEDUPED}"),
+)
+def stream_dedupe_late(spark, sf_dir):
+    """Rows whose span was over when they arrived, by key."""
+    late = deduped(spark, sf_dir).where("late")
+    return late.groupBy("rule_id", "file_path", "line", "column").agg(F.sum("copies").alias("copies"))
 
 
 @query("stream_severity", o.with_(derive.timed_sql(), "SELECT date_trunc('hour', ts) AS window_start, severity, count(*) AS n FROM timed GROUP BY ALL"))
@@ -147,10 +183,13 @@ def stream_severity(spark, sf_dir):
 @query(
     "stream_gate",
     o.with_(
-        derive.timed_sql(),
-        f"ranked AS (SELECT *, {o.RANK} AS severity_rank FROM timed)",
-        "SELECT count(*) AS findings, CAST(max(severity_rank) AS INTEGER) AS worst, CASE WHEN max(severity_rank) >= 4 THEN 2 ELSE 0 END AS exit_code FROM ranked",
+        derive.arriving_sql(),
+        f"ranked AS (SELECT batch, {o.RANK} AS severity_rank FROM (SELECT batch, {derive.EVENT_SEVERITY_SQL} AS severity FROM arriving))",
+        """SELECT count(*) AS findings, CAST(max(severity_rank) AS INTEGER) AS worst, CASE WHEN max(severity_rank) >= 4 THEN 2 ELSE 0 END AS exit_code
+           FROM ranked GROUP BY batch""",
     ),
 )
 def stream_gate(spark, sf_dir):
-    return streams.stream_gate(derive.timed(stream_table(spark, sf_dir, "events")), "CRITICAL").drop("batch")
+    """One row for each arrival."""
+    state = shared_folder(spark)
+    return arrivals(spark, sf_dir, lambda stream: streams.stream_gate(stream, "CRITICAL", state)).drop("batch")

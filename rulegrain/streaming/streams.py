@@ -7,10 +7,11 @@ import os
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.findings import DEDUPE_KEYS, exit_code
-from ..operators.joins import SALTS
 from ..operators.lines import code_lines, scan_lines
 from ..operators.secrets import scan_secret_lines
+from ..sources.ship import ship_package
 from ..sources.tables import shared_folder
+from .firsts import FirstOfSpan, fold_spans
 
 
 def stream_scan(texts: DataFrame) -> DataFrame:
@@ -19,17 +20,26 @@ def stream_scan(texts: DataFrame) -> DataFrame:
     return scan_lines(lines).unionByName(scan_secret_lines(lines))
 
 
-def stream_dedupe(findings: DataFrame, time: str = "ts", delay: str = "1 hour", salts: int = SALTS) -> DataFrame:
-    """The first finding per key within the watermark.
+def stream_dedupe(findings: DataFrame, time: str = "ts", delay: str = "1 hour", span: str = "6 hours") -> DataFrame:
+    """The first finding per key and span of event time, by root and ordinal rather than by arrival.
 
-    A first pass drops copies per key and salt, so a key that holds much of the stream is thinned out
-    on many tasks before the second pass brings its remaining copies together.
+    Needs ``root_ordinal`` and ``ordinal``. A span's keys are held as state until the watermark passes its
+    end; then each gives one row, and its state goes. So a finding that comes back in a later span is
+    reported again. Rows of a span that is over are given at once, marked as ``late``. ``copies`` is the
+    number of rows that a row stands for.
+
+    Each task first folds what it has of a key and span, so a key that holds much of the stream sends one
+    row per task and batch to its state.
     """
-    salted = findings.withWatermark(time, delay).withColumn(
-        "_salt", F.pmod(F.xxhash64(F.col(time)), F.lit(salts)).cast("int")
-    )
-    thinned = salted.dropDuplicatesWithinWatermark([*DEDUPE_KEYS, "_salt"]).drop("_salt")
-    return thinned.dropDuplicatesWithinWatermark(DEDUPE_KEYS)
+    columns = [(n, t) for n, t in findings.dtypes]
+    width = int(findings.sparkSession.range(1).select(F.expr(f"timestampdiff(MILLISECOND, timestamp'2000-01-01', timestamp'2000-01-01' + interval {span})")).first()[0])
+    millis = F.unix_millis(F.col(time).cast("timestamp"))
+    timed = findings.withWatermark(time, delay).withColumn("span", millis - F.pmod(millis, F.lit(width)))
+    schema = ", ".join(f"`{n}` {t}" for n, t in [*columns, ("span", "bigint"), ("copies", "bigint")])
+    # rows older than the watermark are late only once their span is over, so the columns carry no watermark from here on
+    folded = timed.mapInArrow(fold_spans, schema)
+    out = ", ".join(f"`{n}` {t}" for n, t in [*columns, ("copies", "bigint"), ("late", "boolean")])
+    return folded.groupBy(*DEDUPE_KEYS, "span").transformWithState(FirstOfSpan([n for n, _ in columns], out, width), out, "Append", "EventTime")
 
 
 def stream_severity(findings: DataFrame, time: str = "ts", delay: str = "1 hour", width: str = "1 hour") -> DataFrame:
@@ -71,9 +81,20 @@ def run_scan(texts: DataFrame) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, "rows"))
 
 
-def run_dedupe(findings: DataFrame, delay: str = "1 hour") -> DataFrame:
-    spark, folder = findings.sparkSession, shared_folder(findings.sparkSession)
-    append_to(stream_dedupe(findings, delay=delay), folder).awaitTermination()
+def run_dedupe(findings: DataFrame, delay: str = "1 hour", span: str = "6 hours", folder: str | None = None) -> DataFrame:
+    """Rows of stream_dedupe over what has arrived; called again with the same folder, over what has arrived since."""
+    spark = findings.sparkSession
+    folder = folder or shared_folder(spark)
+    ship_package(spark)
+    # state with timers is kept by this provider only; a query takes the session's settings when it starts
+    name, before = "spark.sql.streaming.stateStore.providerClass", None
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        query = append_to(stream_dedupe(findings, delay=delay, span=span), folder)
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+    query.awaitTermination()
     return spark.read.parquet(os.path.join(folder, "rows"))
 
 
@@ -90,8 +111,9 @@ def batch_gate(batch: DataFrame, fail_on: str) -> DataFrame:
     return worst.select("findings", "worst", exit_code(F.col("worst"), F.lit(fail_on)).alias("exit_code"))
 
 
-def stream_gate(findings: DataFrame, fail_on: str) -> DataFrame:
-    """One gate row per micro-batch."""
-    spark, folder = findings.sparkSession, shared_folder(findings.sparkSession)
+def stream_gate(findings: DataFrame, fail_on: str, folder: str | None = None) -> DataFrame:
+    """One gate row per micro-batch; called again with the same folder, the batches that have arrived since join them."""
+    spark = findings.sparkSession
+    folder = folder or shared_folder(spark)
     each_batch(findings, folder, lambda batch: batch_gate(batch, fail_on), "append").awaitTermination()
     return spark.read.parquet(os.path.join(folder, "rows")).where("findings > 0")
