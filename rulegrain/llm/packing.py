@@ -37,7 +37,7 @@ GRID = 128
 SEQUENCE_COST, SENTENCE_PENALTY, HARD_PENALTY = 64, 4, 24
 #: Distinct words a worker remembers before it starts anew.
 MAX_WORDS = 300_000
-_PLAIN = re.compile(r"([^\W\d_]+)([.,!?;:]*)")
+_PLAIN = re.compile(r"([^\W\d_]+)([.,!?;:]{0,4})")
 
 
 def _byte_characters() -> dict[int, int]:
@@ -61,6 +61,8 @@ class WordTokenizer(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.characters = _byte_characters()
+        #: Ids of rows of up to four marks, of which there are few.
+        self.marks: dict[str, list[int]] = {}
         self.clear()
 
     def clear(self) -> None:
@@ -88,7 +90,12 @@ class WordTokenizer(dict):
             if simple or body.isalpha() and "Σ" not in body and unicodedata.is_normalized("NFC", body):
                 lower = body.lower()
                 if simple or lower.isalpha():
-                    return self._add(word, self._piece(lower) + self._piece(marks) if marks else self._piece(lower))
+                    ids = self._piece(lower)
+                    if marks:
+                        if marks not in self.marks:
+                            self.marks[marks] = self._piece(marks)
+                        ids = ids + self.marks[marks]
+                    return self._add(word, ids)
         return self._add(word, self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -102,11 +109,12 @@ class WordTokenizer(dict):
             words += (text or "").encode("utf-8", "replace").split()
             words.append(None)
         numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        sizes = np.array(self.sizes, np.int64)[numbers]
-        starts = np.array(self.starts, np.int64)[numbers]
+        # views of the tables, not copies: they are let go before the tables grow again
+        sizes = np.frombuffer(self.sizes, np.int32)[numbers].astype(np.int64)
+        starts = np.frombuffer(self.starts, np.int64)[numbers]
         before = np.cumsum(sizes) - sizes
         places = np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
-        return np.array(self.flat, np.uint32)[places], np.add.reduceat(sizes, firsts)
+        return np.frombuffer(self.flat, np.uint32)[places], np.add.reduceat(sizes, firsts)
 
 
 @lru_cache(maxsize=1)
