@@ -19,7 +19,7 @@ from ..functions.versions import (
 from ..schema import SEVERITY_RANKS, as_findings, ordinal
 from ..sources.corpus import of_kinds
 from ..sources.tables import constant_table
-from .joins import lookup_join
+from .ranges import join_ranges
 from .lines import code_lines
 
 # The offline advisories (ecosystem, package, id, vulnerable range, severity); the fix
@@ -142,16 +142,16 @@ def extract_dependencies(corpus: DataFrame) -> DataFrame:
 def join_advisory(deps: DataFrame, advisories: DataFrame | None = None) -> DataFrame:
     """Dependencies with every advisory whose range covers their version.
 
-    The built-in table is nine rows and is broadcast. A table handed in is broadcast if its counted
-    size allows; else the join is salted, as one package may hold much of all dependencies.
+    The built-in table is nine rows and is broadcast. A table handed in may have hundreds of ranges per
+    package: it goes through the interval index, which tests no range that does not cover the version.
     """
     keyed = deps.withColumn("package", F.lower("name")).withColumn("version_key", parse_version(F.col("version")))
     if advisories is None:
         joined = keyed.join(F.broadcast(advisory_table(deps.sparkSession)), ["ecosystem", "package"])
+        covered = joined.where(satisfies(F.col("version_key"), F.col("op"), F.col("bound_key")))
     else:
-        spread = [F.col("repo"), F.col("path"), F.col("position")]
-        joined = lookup_join(keyed, advisories, ["ecosystem", "package"], "inner", spread)
-    return joined.where(satisfies(F.col("version_key"), F.col("op"), F.col("bound_key"))).drop("version_key", "bound_key")
+        covered = join_ranges(keyed, advisories, [F.col("repo"), F.col("path"), F.col("position")])
+    return covered.drop("version_key", "bound_key")
 
 
 def dependency_findings(matches: DataFrame) -> DataFrame:

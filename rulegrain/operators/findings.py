@@ -11,6 +11,7 @@ from ..schema import SEVERITY_RANKS, severity_rank
 from ..sources.tables import constant_table
 from .globs import suppressed_files
 from .joins import lookup_join
+from .ranks import ranked
 from .roots import missing_roots as without_files, opened, under_roots
 
 DEDUPE_KEYS = ["rule_id", "file_path", "line", "column"]
@@ -117,6 +118,11 @@ def sorted_findings(findings: DataFrame) -> DataFrame:
     return findings.orderBy(*sort_columns())
 
 
+def ranked_findings(findings: DataFrame) -> DataFrame:
+    """All findings with their place in report order, from 1; the findings are read once."""
+    return ranked(findings, sort_columns())
+
+
 def severity_levels(spark: SparkSession) -> DataFrame:
     return constant_table(spark, {"severity": "string", "severity_rank": "int"}, list(SEVERITY_RANKS.items()))
 

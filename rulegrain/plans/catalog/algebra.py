@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ...functions.versions import parse_version
 from ...operators import dependencies as deps, findings as fs, lines, osv, project
 from ...operators.responses import scan_responses
 from ...operators.secrets import scan_secret_lines
@@ -84,7 +85,7 @@ def join_advisory(spark, sf_dir):
         "k", "name", "version", F.lit("pypi").alias("ecosystem"), F.lit("").alias("repo"), F.lit("").alias("path"),
         F.col("k").alias("position"), F.lit(0).alias("line"),
     )
-    # The advisories are handed in as a table of unknown size, so the salted join runs.
+    # The advisories are handed in as a table of unknown size, so the interval index runs.
     return deps.join_advisory(rows, deps.advisory_table(spark)).select("k", "name", "version", "id", "severity", "fixed")
 
 
@@ -271,4 +272,46 @@ def findings_by_file(spark, sf_dir):
 )
 def sorted_findings(spark, sf_dir):
     found = all_findings(spark, sf_dir).withColumn("ordinal", F.lit(0))
-    return shown(fs.sorted_findings(found))
+    return shown(fs.sorted_findings(stored(found)))
+
+
+@query(
+    "ranked_findings",
+    o.with_(
+        *BASE,
+        f"""SELECT {o.FINDING}, row_number() OVER (ORDER BY severity_rank DESC, file_path, line, rule_id, "column", ordinal, repo) AS rank FROM f""",
+    ),
+)
+def ranked_findings(spark, sf_dir):
+    return shown(fs.ranked_findings(base_findings(spark, sf_dir)), "rank")
+
+
+RANGES = """ranges AS (
+      SELECT ['PyYAML', 'requests', 'flask'][(r % 3) + 1] AS name, ['<', '<=', '>', '>=', '==', '~'][(r % 6) + 1] AS op,
+        (r % 7) || '.' || (r % 50) || CASE WHEN r % 4 = 0 THEN '.0' ELSE '' END AS bound, 'A-' || r AS id
+      FROM (SELECT p_partkey AS r FROM part WHERE p_partkey % 5 = 0))"""
+
+
+@query(
+    "advisory_ranges",
+    o.with_(
+        derive.dependency_rows_sql(), RANGES,
+        f"""judged AS (SELECT k, d.name, version, id, op, {o.compare('version', 'bound')} AS c FROM dependency_rows d JOIN ranges r ON lower(d.name) = lower(r.name))""",
+        """SELECT name, version, id, count(*) AS n FROM judged
+        WHERE CASE op WHEN '<' THEN c < 0 WHEN '<=' THEN c <= 0 WHEN '>' THEN c > 0 WHEN '>=' THEN c >= 0 WHEN '==' THEN c = 0 ELSE false END
+        GROUP BY name, version, id""",
+    ),
+)
+def advisory_ranges(spark, sf_dir):
+    """Many ranges per package, of every comparator and one that is unknown."""
+    rows = derive.dependency_rows(spark, sf_dir).select(
+        "name", "version", F.lit("pypi").alias("ecosystem"), F.lit("").alias("repo"), F.lit("").alias("path"), F.col("k").alias("position"),
+    )
+    r = F.col("p_partkey")
+    pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i % len(values) + 1).cast("int"))
+    bound = F.concat((r % 7).cast("string"), F.lit("."), (r % 50).cast("string"), F.when(r % 4 == 0, ".0").otherwise(""))
+    ranges = derive.table(spark, sf_dir, "part").where(r % 5 == 0).select(
+        F.lit("pypi").alias("ecosystem"), pick(["pyyaml", "requests", "flask"], r).alias("package"), pick(["<", "<=", ">", ">=", "==", "~"], r).alias("op"),
+        parse_version(bound).alias("bound_key"), F.concat(F.lit("A-"), r.cast("string")).alias("id"),
+    )
+    return deps.join_advisory(rows, ranges).groupBy("name", "version", "id").agg(F.count("*").alias("n"))
