@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...operators.findings import union_scanners
-from ...operators import dependencies as deps
+from ...operators import dependencies as deps, project
 from ...operators.lines import scan_code
 from ...sinks import reports
 from ...sources.corpus import scannable, scanned_files
 from ...sources.tables import shared_folder, stored
 from ...streaming import streams
 from .. import derive, oracle as o
-from .registry import query
+from .registry import query, shown
+from .rules import DEP_FINDINGS, PRJ
 
 CODE = derive.code_texts_sql()
 COUNTS = """counts AS (
@@ -126,25 +127,27 @@ def stream_scan(spark, sf_dir):
     texts = stream_table(spark, sf_dir, "documents").select(
         F.col("source").alias("repo"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text"
     )
-    from .registry import shown
-
     return shown(streams.run_scan(texts))
 
 
-def arrivals(spark, sf_dir, work):
-    """Runs ``work`` on a stream over a folder after each arrival of timed findings; gives what it gave last."""
-    rows = stored(derive.arriving(derive.table(spark, sf_dir, "events")))
-    folder, found = shared_folder(spark), None
+def arrivals(spark, rows, work, before=lambda batch: None):
+    """Runs ``work`` on a stream over a folder after each arrival of rows (..., batch); gives what it gave last."""
+    rows, folder, found = stored(rows), shared_folder(spark), None
     for batch in range(derive.ARRIVALS):
+        before(batch)
         rows.where(F.col("batch") == batch).drop("batch").write.mode("append").parquet(folder)
         found = work(spark.readStream.schema(rows.drop("batch").schema).parquet(folder))
     return found
 
 
+def events(spark, sf_dir):
+    return derive.arriving(derive.table(spark, sf_dir, "events"))
+
+
 def deduped(spark, sf_dir):
     state = shared_folder(spark)
     hours = f"{derive.DELAY_HOURS} hours", f"{derive.SPAN_HOURS} hours"
-    return arrivals(spark, sf_dir, lambda stream: streams.run_dedupe(stream, *hours, folder=state))
+    return arrivals(spark, events(spark, sf_dir), lambda stream: streams.run_dedupe(stream, *hours, folder=state))
 
 
 DEDUPED = ["rule_id", "file_path", "line", "column", "ordinal", "root_ordinal", "copies"]
@@ -192,4 +195,53 @@ def stream_severity(spark, sf_dir):
 def stream_gate(spark, sf_dir):
     """One row for each arrival."""
     state = shared_folder(spark)
-    return arrivals(spark, sf_dir, lambda stream: streams.stream_gate(stream, "CRITICAL", state)).drop("batch")
+    return arrivals(spark, events(spark, sf_dir), lambda stream: streams.stream_gate(stream, "CRITICAL", state)).drop("batch")
+
+
+@query("stream_responses", o.with_(derive.responses_sql(), o.response_findings("f"), f"SELECT {o.FINDING} FROM f"))
+def stream_responses(spark, sf_dir):
+    state = shared_folder(spark)
+    rows = derive.responses(spark, sf_dir)
+    rows = rows.withColumn("batch", F.pmod(F.xxhash64("url"), F.lit(derive.ARRIVALS)).cast("int"))
+    return shown(arrivals(spark, rows, lambda stream: streams.run_responses(stream, state)))
+
+
+#: Advisories that are known from the first arrival on; the others come before the second.
+EARLY = 5
+_BATCH = f"CAST(regexp_extract({{}}, '^svc([0-9]+)/', 1) AS BIGINT) % {derive.ARRIVALS}"
+
+
+@query(
+    "stream_dependencies",
+    o.with_(
+        *DEP_FINDINGS,
+        f"SELECT {o.FINDING} FROM dep_f WHERE {_BATCH.format('file_path')} > 0 OR rule_id IN {o.in_list([a[2] for a in deps.ADVISORIES[:EARLY]])}",
+    ),
+)
+def stream_dependencies(spark, sf_dir):
+    """Manifests against an advisory table that grows between arrivals."""
+    state, table = shared_folder(spark), shared_folder(spark)
+    known = deps.advisory_table(spark)
+    early = F.col("id").isin([a[2] for a in deps.ADVISORIES[:EARLY]])
+
+    def publish(batch):
+        if batch < 2:
+            known.where(early if batch == 0 else ~early).write.mode("append").parquet(table)
+
+    rows = derive.manifest_corpus(spark, sf_dir)
+    rows = rows.withColumn("batch", (F.regexp_extract("path", "^svc([0-9]+)/", 1).cast("bigint") % derive.ARRIVALS).cast("int"))
+    work = lambda batch: streams.batch_dependencies(batch, lambda: spark.read.schema(known.schema).parquet(table))
+    return shown(arrivals(spark, rows, lambda stream: streams.run_batches(stream, work, state), publish))
+
+
+@query("stream_project", PRJ)
+def stream_project(spark, sf_dir):
+    """Environment files against the index and the ignore lines, as the batch finds them."""
+    state, index, lines_ = shared_folder(spark), shared_folder(spark), shared_folder(spark)
+    tree = derive.tree_files(spark, sf_dir)
+    derive.tracked(spark, sf_dir).write.parquet(index)
+    project.gitignore_patterns(tree).write.parquet(lines_)
+    rows = tree.withColumn("batch", F.pmod(F.xxhash64("repo", "path"), F.lit(derive.ARRIVALS)).cast("int"))
+    work = lambda batch: streams.batch_project(batch, lambda: spark.read.parquet(index), lambda: spark.read.parquet(lines_))
+    found = arrivals(spark, rows, lambda stream: streams.run_batches(stream, work, state))
+    return found.select("repo", "file_path", "rule_id", "severity", "cwe", "category")

@@ -13,7 +13,7 @@ from ...operators.responses import RESPONSE_RULES
 from ...operators.rules import GENERIC_SECRET, LINE_RULES, PYTHON_RULES, SECRET_RULES
 from ...sources.corpus import with_kind
 from ...sources.tables import stored
-from .. import derive, oracle as o
+from .. import derive, expected, oracle as o
 from ..facts import facts_of
 from ..scan import scan
 from .registry import FINDING_COLUMNS, ORACLES, query, shown
@@ -77,100 +77,69 @@ def py_findings(spark, sf_dir):
     return shown(pyfacts.scan_python(derive.code_corpus(spark, sf_dir)))
 
 
-FACT_TESTS = {
-    "settings": r"^(SECRET_KEY|ALLOWED_HOSTS|DEBUG) = ",
-    "interfaces": r"0\.0\.0\.0",
-    "broken": r"^class \(:",
-    "verify": r"verify\s*=",
-    "eval": r"\b(eval|exec)\(",
-}
+_COUNTED = {"calls": expected.CALLS, "assigns": expected.ASSIGNS, "consts": expected.CONSTS}
 
 
 @query(
     "py_facts",
     o.with_(
-        CODE, CODE_LINES,
+        CODE,
+        *[f"{n} AS (SELECT no, count(*) AS n FROM (VALUES {expected.values([r[:1] for r in rows])}) AS t(no) GROUP BY no)" for n, rows in _COUNTED.items()],
         "SELECT repo, path, "
-        + ", ".join(f"count(*) FILTER (regexp_matches(text, {o.q(p)})) AS {n}" for n, p in FACT_TESTS.items())
-        + " FROM file_lines WHERE path LIKE '%.py' GROUP BY repo, path HAVING bool_or(regexp_matches(text, "
-        + o.q("|".join(FACT_TESTS.values()))
-        + "))",
+        + ", ".join(f"coalesce({n}.n, 0) AS {n}" for n in _COUNTED)
+        + ", CAST(text = 'class (:' || chr(10) AS BIGINT) AS errors FROM code_texts "
+        + " ".join(f"LEFT JOIN {n} ON {n}.no = step % {len(derive.PY)}" for n in _COUNTED)
+        + " WHERE ext = '.py' AND (" + " OR ".join(f"{n}.n IS NOT NULL" for n in _COUNTED) + " OR text = 'class (:' || chr(10))",
     ),
 )
 def py_facts(spark, sf_dir):
-    facts = pyfacts.py_facts(pyfacts.python_sources(derive.code_corpus(spark, sf_dir)))
-    kind, name = F.col("kind"), F.col("name")
-    tests = {
-        "settings": kind == "assign",
-        "interfaces": kind == "const",
-        "broken": kind == "syntax",
-        "verify": (kind == "call") & F.exists("keywords", lambda k: k["arg"] == "verify"),
-        "eval": (kind == "call") & name.isin("eval", "exec"),
-    }
-    counted = facts.groupBy("repo", "path").agg(*[F.count_if(c).alias(n) for n, c in tests.items()])
-    return counted.where(" + ".join(tests) + " > 0")
+    """Facts of each kind in every file that has any, whether a rule asks for them or not."""
+    facts = pyfacts.py_facts(pyfacts.python_sources(derive.code_corpus(spark, sf_dir)), watched=False)
+    kinds = {"calls": "call", "assigns": "assign", "consts": "const", "errors": "syntax"}
+    return facts.groupBy("repo", "path").agg(*[F.count_if(F.col("kind") == kind).alias(n) for n, kind in kinds.items()])
 
 
 PY_LINES = "py_lines AS (SELECT repo, path, line, text FROM file_lines WHERE path LIKE '%.py')"
-_CALLED = r"^(?:[a-z]+ = )?((?:requests|cur|yaml|subprocess)\.[a-zA-Z_]+)\("
-
-
 def _facts(spark, sf_dir, kind):
     return facts_of(derive.code_corpus(spark, sf_dir), kind)
 
 
+def _expected(rows: list[tuple], columns: str, selected: str) -> str:
+    """Every file with the facts that its template has."""
+    return o.with_(
+        CODE, f"expected AS (SELECT * FROM (VALUES {expected.values(rows)}) AS t(no, line, \"column\", {columns}))",
+        f"""SELECT repo, path, line, "column", {selected} FROM code_texts JOIN expected ON ext = '.py' AND step % {len(derive.PY)} = no""",
+    )
+
+
+_AT = ["repo", "path", "line", "column"]
+
+
 @query(
     "py_calls",
-    o.with_(
-        CODE, CODE_LINES, PY_LINES,
-        f"c AS (SELECT *, regexp_extract(text, '{_CALLED}', 1) AS name FROM py_lines WHERE text LIKE '%)' AND NOT contains(text, ';'))",
-        r"""SELECT path, line, name, regexp_matches(text, 'verify ?= ?False') AS unverified, contains(text, 'shell=True') AS shell,
-              CASE regexp_extract(text, 'Loader=yaml\.(\w+)', 1) WHEN '' THEN 'none' WHEN 'CSafeLoader' THEN 'safe' ELSE 'unsafe' END AS loader,
-              starts_with(name, 'cur.') AND regexp_matches(text, '\(f''|'' [+] ') AS dynamic_sql FROM c WHERE name <> ''""",
+    _expected(
+        expected.CALLS, "name, attr, keywords, n_args, dynamic_sql, arg1_safe",
+        "name, attr IS NOT NULL AS is_attribute, attr, keywords, n_args, dynamic_sql, arg1_safe",
     ),
 )
 def py_calls(spark, sf_dir):
-    """Only the calls that a line of SQL can find; ``py_call_facts`` has all."""
-
-    def keyword(name, field):
-        return F.get(F.filter("keywords", lambda k: k["arg"] == name), F.lit(0))[field]
-
-    calls = _facts(spark, sf_dir, "call").where(F.rlike("name", F.lit(r"^(requests|cur|yaml|subprocess)\.[a-zA-Z_]+$")))
-    one_line = calls.where(~F.contains("snippet", F.lit(";")) & F.endswith("snippet", F.lit(")")))
-    safe = keyword("Loader", "safe")
-    return one_line.select(
-        "path", "line", "name", keyword("verify", "value").eqNullSafe("False").alias("unverified"),
-        keyword("shell", "value").eqNullSafe("True").alias("shell"),
-        F.when(safe, "safe").when(~safe, "unsafe").otherwise("none").alias("loader"),
-        (F.startswith("name", F.lit("cur.")) & F.col("dynamic_sql")).alias("dynamic_sql"),
-    )
+    """All calls with all their columns; the keywords as text."""
+    shown_as = lambda k: F.concat(k["arg"], F.lit("="), F.coalesce(k["value"], F.lit("-")), F.when(k["safe"], "/safe").otherwise(""))
+    keywords = F.array_join(F.transform("keywords", shown_as), " ")
+    calls = _facts(spark, sf_dir, "call")
+    return calls.select(*_AT, "name", "is_attribute", "attr", keywords.alias("keywords"), "n_args", "dynamic_sql", "arg1_safe")
 
 
-@query(
-    "py_assigns",
-    o.with_(
-        CODE, CODE_LINES, PY_LINES,
-        r"""SELECT path, line, regexp_extract(text, '^([A-Z_]+) = ', 1) AS name, regexp_matches(text, '= ["''].+["'']$') AS nonempty_str,
-              contains(text, '(''*'',)') AS has_star, ends_with(text, '= True') AS is_true
-            FROM py_lines WHERE regexp_matches(text, '^[A-Z_]+ = ')""",
-    ),
-)
+@query("py_assigns", _expected(expected.ASSIGNS, "name, nonempty_str, has_star, is_true", "name, nonempty_str, has_star, is_true"))
 def py_assigns(spark, sf_dir):
-    """Only names in capitals, as in the SQL; ``py_assign_facts`` has all."""
-    found = _facts(spark, sf_dir, "assign").where(F.rlike("name", F.lit("^[A-Z_]+$")))
-    return found.select("path", "line", "name", "nonempty_str", "has_star", "is_true")
+    """All assignments to names."""
+    return _facts(spark, sf_dir, "assign").select(*_AT, "name", "nonempty_str", "has_star", "is_true")
 
 
-@query(
-    "py_consts",
-    o.with_(
-        CODE, CODE_LINES, PY_LINES,
-        """SELECT path, line, CAST(strpos(text, '''0.0.0.0''') AS INTEGER) AS "column" FROM py_lines WHERE contains(text, '''0.0.0.0''')""",
-    ),
-)
+@query("py_consts", _expected(expected.CONSTS, "name", "name"))
 def py_consts(spark, sf_dir):
-    """Only the value that PY014 asks for, as in the SQL; ``py_const_facts`` has all."""
-    return _facts(spark, sf_dir, "const").where("name = '0.0.0.0'").select("path", "line", "column")
+    """All texts that a file holds."""
+    return _facts(spark, sf_dir, "const").select(*_AT, "name")
 
 
 @query("py_parse_errors", o.with_(CODE, CODE_LINES, PY_LINES, "SELECT path, line FROM py_lines WHERE text = 'class (:'"))

@@ -1,7 +1,7 @@
 """Python facts as they are: all rows and columns of each kind.
 
-No SQL can read a syntax tree, so these queries have none; tests compare them with plain ``ast``. The
-catalog's queries of similar names hold the part of these rows that its SQL can check.
+The catalog's ``py_calls``, ``py_assigns`` and ``py_consts`` give the same rows in columns that SQL can
+compare; these keep nested columns and the order of the walk. Tests compare them with plain ``ast``.
 """
 
 from __future__ import annotations

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.dependencies import scan_dependencies
 from ..operators.findings import DEDUPE_KEYS, exit_code
 from ..operators.lines import code_lines, scan_lines
+from ..operators.project import env_files, mark_env_files, project_findings
+from ..operators.responses import scan_responses
 from ..operators.secrets import scan_secret_lines
 from ..sources.ship import ship_package
-from ..sources.tables import shared_folder
+from ..sources.tables import shared_folder, stored
 from .firsts import FirstOfSpan, fold_spans
 
 
@@ -20,6 +24,21 @@ def stream_scan(texts: DataFrame) -> DataFrame:
     return scan_lines(lines).unionByName(scan_secret_lines(lines))
 
 
+def stream_responses(responses: DataFrame) -> DataFrame:
+    """Findings of arriving responses (url, status, headers, cookies): no state, no shuffle."""
+    return scan_responses(responses)
+
+
+def batch_dependencies(files: DataFrame, advisories: Callable[[], DataFrame]) -> DataFrame:
+    """Findings of a batch of manifests; ``advisories`` reads its table as it is now."""
+    return scan_dependencies(files, advisories())
+
+
+def batch_project(files: DataFrame, tracked: Callable[[], DataFrame], patterns: Callable[[], DataFrame]) -> DataFrame:
+    """Findings of a batch of files against the index (repo, path) and the ignore lines (repo, pattern) as they are now."""
+    return project_findings(mark_env_files(stored(env_files(files)), tracked(), patterns()))
+
+
 def stream_dedupe(findings: DataFrame, time: str = "ts", delay: str = "1 hour", span: str = "6 hours") -> DataFrame:
     """The first finding per key and span of event time, by root and ordinal rather than by arrival.
 
@@ -81,6 +100,25 @@ def run_scan(texts: DataFrame) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, "rows"))
 
 
+def run_responses(responses: DataFrame, folder: str | None = None) -> DataFrame:
+    spark = responses.sparkSession
+    folder = folder or shared_folder(spark)
+    append_to(stream_responses(responses), folder).awaitTermination()
+    return spark.read.parquet(os.path.join(folder, "rows"))
+
+
+def run_batches(files: DataFrame, work: Callable[[DataFrame], DataFrame], folder: str | None = None) -> DataFrame:
+    """Findings of files (repo, path, length, content) that arrive, by a join with tables that change meanwhile.
+
+    A stream's plan is made once and would keep the files a table had then. ``work`` is called for each
+    batch, so the tables it reads are listed again; a batch that is run again replaces its own rows.
+    """
+    spark = files.sparkSession
+    folder = folder or shared_folder(spark)
+    each_batch(files, folder, work, "append").awaitTermination()
+    return spark.read.parquet(os.path.join(folder, "rows")).drop("batch")
+
+
 def run_dedupe(findings: DataFrame, delay: str = "1 hour", span: str = "6 hours", folder: str | None = None) -> DataFrame:
     """Rows of stream_dedupe over what has arrived; called again with the same folder, over what has arrived since."""
     spark = findings.sparkSession
