@@ -15,7 +15,8 @@ from rulegrain.operators import lines, remediate as fix
 from rulegrain.operators.joins import salted_join
 from rulegrain.plans.scan import fix as fix_plan, scan
 from rulegrain.sinks import reports
-from rulegrain.sources.corpus import read_tree
+from rulegrain.sources import trees
+from rulegrain.sources.trees import read_tree
 from rulegrain.streaming import streams
 
 APP = "import yaml\npassword = \"Tq8_vR!2mZx7Lw0\"\nrules = yaml.load(open('rules.yml'))\n"
@@ -110,6 +111,24 @@ def test_tree(spark, tmp_path):
     assert {(r.file_path, r.rule_id) for r in scan(corpus, no_index(spark)).findings.collect()} == {(".env", "PRJ001"), ("src/a.py", "PY001")}
 
 
+def test_one_folder_with_most_files_is_read_by_many_tasks(spark, tmp_path):
+    """Listing in rounds of a few entries, and files dealt by bytes, give the tree that a plain walk gives."""
+    rng = random.Random(2)
+    sizes = {f"big/f{i}.js": 3000 for i in range(300)} | {"/".join(rng.choice("abc") for _ in range(rng.randrange(1, 9))) + f"/n{i}.py": i for i in range(60)}
+    sizes |= {"huge.js": 90_000, ".env": 4, "node_modules/x.js": 5, "build/.gitignore": 6}
+    for path, size in sizes.items():
+        (tmp_path / "t" / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "t" / path).write_bytes(b"x" * size)
+    (tmp_path / "t" / "loop").symlink_to(tmp_path / "t")
+    (tmp_path / "t" / "gone.js").symlink_to(tmp_path / "nowhere")
+    corpus = trees.read_tree(spark, {"r": str(tmp_path / "t"), "none": str(tmp_path / "missing")}, max_bytes=50_000, limit=10, task_bytes=200_000)
+    rows = corpus.withColumn("task", F.spark_partition_id()).collect()
+    assert {r.path: r.length for r in rows} == {p: n for p, n in sizes.items() if not p.startswith("node_modules/")} | {"gone.js": 0}
+    assert {r.path for r in rows if r.content is None} == {"huge.js", "gone.js"} and len(rows) == len({r.path for r in rows})
+    assert len({r.task for r in rows if r.path.startswith("big/")}) >= 8
+    assert trees.read_tree(spark, {}).count() == 0
+
+
 def test_salted_join_keeps_every_pair(spark):
     left = spark.createDataFrame([("hot" if i % 3 == 0 else f"k{i % 7}", i) for i in range(300)], "k string, i int")
     right = spark.createDataFrame([("hot", 1), ("hot", 2), ("k1", 3), ("zz", 4)], "k string, j int")
