@@ -45,17 +45,37 @@ class Permutation:
     def __init__(self, key: bytes) -> None:
         self.key = hashlib.blake2b(key, digest_size=32).digest()
 
+    def _mask(self, name: str, size: int, half: int, i: int, value: int) -> int:
+        digest = hashlib.blake2b(f"{name}:{size}:{i}:{value}".encode(), key=self.key, digest_size=64).digest()
+        while len(digest) * 8 < half:
+            digest += hashlib.blake2b(digest, key=self.key, digest_size=64).digest()
+        return int.from_bytes(digest, "big") & ((1 << half) - 1)
+
     def _once(self, name: str, size: int, value: int) -> int:
         half = max(1, ((size - 1).bit_length() + 1) // 2)
         left, right = value >> half, value & ((1 << half) - 1)
         for i in range(ROUNDS):
-            data = f"{name}:{size}:{i}:{right}".encode()
-            digest = hashlib.blake2b(data, key=self.key, digest_size=64).digest()
-            while len(digest) * 8 < half:
-                digest += hashlib.blake2b(digest, key=self.key, digest_size=64).digest()
-            left, right = right, left ^ (int.from_bytes(digest, "big") & ((1 << half) - 1))
+            left, right = right, left ^ self._mask(name, size, half, i, right)
+        return left << half | right
+
+    def _back(self, name: str, size: int, value: int) -> int:
+        half = max(1, ((size - 1).bit_length() + 1) // 2)
+        left, right = value >> half, value & ((1 << half) - 1)
+        for i in reversed(range(ROUNDS)):
+            left, right = right ^ self._mask(name, size, half, i, left), left
         return left << half | right
 
+    def moved(self, name: str, size: int, value: int) -> int:
+        """The image of a value under a permutation of range(size) that leaves no value where it is.
+
+        It steps along a circle of all values whose order the key gives.
+        """
+        value = (self.of(name, size, value) + 1) % size
+        value = self._back(name, size, value)
+        while value >= size:
+            value = self._back(name, size, value)
+        return value
+
     def of(self, name: str, size: int, value: int, fits: Callable[[int], bool] = lambda _: True) -> int:
         """The image of a value that fits, among the numbers below ``size`` that fit."""
         value = self._once(name, size, value)
@@ -176,15 +196,19 @@ def _iban(text: str, p: Permutation) -> str | None:
 _CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
-def _permuted(text: str, name: str, p: Permutation) -> str:
-    """Letters and digits permuted within their classes at each place; other characters stay."""
+def _permuted(text: str, name: str, p: Permutation, moved: bool = False) -> str:
+    """Letters and digits permuted within their classes at each place; other characters stay.
+
+    With ``moved`` no text that has any of them is its own image.
+    """
     classes = [next((c for c in _CLASSES if x in c), None) for x in text]
     size, number = 1, 0
     for x, c in zip(text, classes):
         if c:
             size, number = size * len(c), number * len(c) + c.index(x)
     shape = "".join("-" if c is None else c[0] for c in classes)
-    number = p.of(f"{name}:{shape}", size, number) if size > 1 else number
+    if size > 1:
+        number = (p.moved if moved else p.of)(f"{name}:{shape}", size, number)
     found = []
     for x, c in zip(reversed(text), reversed(classes)):
         if c:
@@ -196,10 +220,10 @@ def _permuted(text: str, name: str, p: Permutation) -> str:
 
 def _email(text: str, p: Permutation) -> str | None:
     local, _, domain = text.rpartition("@")
-    hidden = _permuted(local, "email@" + domain.lower(), p)
-    if hidden == local:  # short names have few images; then the domain's first label hides them
+    hidden = _permuted(local, "email@" + domain.lower(), p, moved=True)
+    if hidden == local:  # neither letters nor digits: all such names stay, so the domain's first label hides them
         label, dot, rest = domain.partition(".")
-        return f"{hidden}@{_permuted(label, 'domain', p)}{dot}{rest}"
+        return f"{hidden}@{_permuted(label, 'domain', p, moved=True)}{dot}{rest}"
     return f"{hidden}@{domain}"
 
 

@@ -169,6 +169,18 @@ def test_permutation_is_one_to_one():
     assert sorted(p.of("d", 97, i, lambda n: n % 2 == 0) for i in even) == list(even)
 
 
+def test_addresses_have_images_of_their_own():
+    """Names of one letter at all domains of two: no two share an image, and none is its own."""
+    p = pseudonyms.Permutation(b"k")
+    for size in (2, 3, 26, 97, 1000):
+        images = [p.moved("m", size, i) for i in range(size)]
+        assert sorted(images) == list(range(size)) and all(i != x for i, x in enumerate(images))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = [f"{a}@{b}{c}.com" for a in letters for b in letters for c in letters] + [f"._%@{a}{b}.org" for a in letters for b in letters]
+    images = [pseudonyms._email(n, p) for n in names]
+    assert len(set(images)) == len(names) and not any(a == b for a, b in zip(names, images))
+
+
 def test_pseudonyms_keep_formats_and_links():
     p = pseudonyms.Permutation(b"k")
     text = "card 4111 1111 1111 1111 or 4111111111111111, call +1 (212) 555-0100 or 212-555-0100, DE89 3704 0044 0532 0130 00, "
