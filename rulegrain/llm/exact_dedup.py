@@ -13,8 +13,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..sources.tables import stored
 from .common import quoted
 
+#: Rows of a text from which its winner is broadcast, and how many such winners there are at most.
+LARGE_GROUP, LARGE_TEXTS = 1_000, 100_000
 #: White space that counts as one space: space, tab, line feed, vertical tab, form feed, return.
 SPACES = r"\x20\x09-\x0D"
 
@@ -50,12 +53,27 @@ def winners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sal
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every document, dropped ones too.
 
-    Defined results: a null text is an empty one. Rows that repeat both id and text are one document:
-    one row of the result, all of them counted in group_size. The smallest id stays; a null id stays
-    only where a group has no other. An empty table gives no rows; other columns are not read.
+    Defined results: a null text is an empty one. Each row has a row of its own in the result, rows that
+    repeat both id and text too; all of them count in group_size, and are kept or dropped alike. The
+    smallest id stays; a null id stays only where a group has no other. An empty table gives no rows;
+    other columns are not read.
+
+    Texts of very many rows are no join key: there are at most ``LARGE_TEXTS`` of them, whose winners are
+    broadcast, and their rows are dealt by id.
     """
-    members = _keyed(docs, id_col, text_col).groupBy("doc_id", "text_sha256").agg(F.count("*").alias("rows"))
-    found = members.join(winners(docs, id_col, text_col, salts), "text_sha256")
+    kept = stored(winners(docs, id_col, text_col, salts))
+    rows = kept.agg(F.sum("group_size")).first()[0] or 0
+    large = F.col("group_size") > max(LARGE_GROUP, rows // LARGE_TEXTS)
+    names = {"text_sha256": "sha", "keep_id": "keep", "group_size": "size"}
+    ours = kept.where(large).withColumnsRenamed({"keep_id": "large_keep", "group_size": "large_size"})
+    members = _keyed(docs, id_col, text_col).select("doc_id", "text_sha256").join(F.broadcast(ours), "text_sha256", "left")
+    key = F.when(F.col("large_size").isNull(), F.col("text_sha256")).otherwise(F.xxhash64("doc_id").cast("string"))
+    found = members.withColumn("key", key).join(kept.where(~large).withColumnsRenamed(names), F.col("key") == F.col("sha"), "left")
+    of_large = F.col("large_size").isNotNull()
+    found = found.select(
+        "doc_id", F.when(of_large, F.col("large_keep")).otherwise(F.col("keep")).alias("keep_id"),
+        F.when(of_large, F.col("large_size")).otherwise(F.col("size")).alias("group_size"), "text_sha256",
+    )
     return found.select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )

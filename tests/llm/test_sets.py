@@ -144,12 +144,21 @@ def test_exact_copies_agree_with_sql(spark, tmp_path):
     same_as_sql(exact_dedup.query(spark, there), exact_dedup.ORACLE, there)
 
 
+def test_texts_of_many_rows_give_the_same_groups(spark, edges, monkeypatch):
+    before = sorted(map(repr, rows_of(exact_dedup.query(spark, edges))))
+    monkeypatch.setattr(exact_dedup, "LARGE_GROUP", 2)
+    assert sorted(map(repr, rows_of(exact_dedup.query(spark, edges)))) == before
+    there = spark.createDataFrame([(i, "same" if i % 3 else f"t{i}") for i in range(3000)], "doc_id bigint, text string")
+    found = rows_of(exact_dedup.exact_groups(there))
+    assert len(found) == 3000 and {(r["keep_id"], r["group_size"]) for r in found if r["doc_id"] % 3} == {(1, 2000)}
+
+
 def test_exact_copies_edges(spark, edges, nothing):
     found = rows_of(exact_dedup.query(spark, edges))
-    assert len([r for r in found if r["doc_id"] == 5]) == 1  # rows that repeat are one document
+    assert len(found) == len(edge_documents()) and len([r for r in found if r["doc_id"] == 5]) == 3  # a row each
     same = next(r for r in found if r["doc_id"] == 6)
     assert (same["keep_id"], same["group_size"], same["kept"]) == (5, 5, False)
-    assert sum(r["kept"] for r in found) == len({r["text_sha256"] for r in found})
+    assert len({r["doc_id"] for r in found if r["kept"]}) == len({r["text_sha256"] for r in found if r["doc_id"] is not None}) + 1
     docs = with_clashes(spark.read.parquet(f"{edges}/documents.parquet"))
     kept = exact_dedup.drop_copies(docs)
     assert kept.columns == docs.columns and len(rows_of(kept)) == len({r["text_sha256"] for r in found})
