@@ -87,9 +87,9 @@ _COUNTED = {"calls": expected.CALLS, "assigns": expected.ASSIGNS, "consts": expe
         *[f"{n} AS (SELECT no, count(*) AS n FROM (VALUES {expected.values([r[:1] for r in rows])}) AS t(no) GROUP BY no)" for n, rows in _COUNTED.items()],
         "SELECT repo, path, "
         + ", ".join(f"coalesce({n}.n, 0) AS {n}" for n in _COUNTED)
-        + ", CAST(text = 'class (:' || chr(10) AS BIGINT) AS errors FROM code_texts "
+        + ", CAST(text = 'while queue' || chr(10) AS BIGINT) AS errors FROM code_texts "
         + " ".join(f"LEFT JOIN {n} ON {n}.no = step % {len(derive.PY)}" for n in _COUNTED)
-        + " WHERE ext = '.py' AND (" + " OR ".join(f"{n}.n IS NOT NULL" for n in _COUNTED) + " OR text = 'class (:' || chr(10))",
+        + " WHERE ext = '.py' AND (" + " OR ".join(f"{n}.n IS NOT NULL" for n in _COUNTED) + " OR text = 'while queue' || chr(10))",
     ),
 )
 def py_facts(spark, sf_dir):
@@ -142,7 +142,7 @@ def py_consts(spark, sf_dir):
     return _facts(spark, sf_dir, "const").select(*_AT, "name")
 
 
-@query("py_parse_errors", o.with_(CODE, CODE_LINES, PY_LINES, "SELECT path, line FROM py_lines WHERE text = 'class (:'"))
+@query("py_parse_errors", o.with_(CODE, CODE_LINES, PY_LINES, "SELECT path, line FROM py_lines WHERE text = 'while queue'"))
 def py_parse_errors(spark, sf_dir):
     return _facts(spark, sf_dir, "syntax").select("path", "line")
 

@@ -8,25 +8,35 @@ queries over facts are checked with, so that every fact of every file has an exp
 CALLS = [
     (0, 1, 9, 'eval', None, '', 1, False, None),
     (1, 1, 1, 'exec', None, '', 2, False, False),
-    (2, 3, 1, 'os.system', 'system', '', 1, True, None),
-    (3, 2, 1, 'subprocess.Popen', 'Popen', 'shell=True', 1, False, None),
-    (3, 3, 1, 'subprocess.check_output', 'check_output', 'shell=False', 1, False, None),
+    (2, 3, 12, 'os.system', 'system', '', 1, True, None),
+    (3, 2, 6, 'subprocess.Popen', 'Popen', 'stdin=- shell=True', 1, False, None),
+    (3, 3, 5, 'child.wait', 'wait', '', 0, False, None),
+    (3, 4, 1, 'subprocess.run', 'run', 'shell=-', 1, False, None),
     (4, 2, 9, 'pickle.load', 'load', '', 1, False, None),
     (4, 3, 1, 'pickle.loads', 'loads', '', 1, False, None),
-    (5, 2, 9, 'yaml.load', 'load', '', 1, False, None),
-    (6, 2, 1, 'yaml.load', 'load', 'Loader=-/safe', 1, False, None),
-    (6, 3, 1, 'yaml.load', 'load', 'Loader=-', 1, False, None),
-    (7, 2, 10, 'hashlib.sha1', 'sha1', '', 1, False, None),
-    (8, 1, 1, 'cur.execute', 'execute', '', 1, True, None),
-    (8, 2, 1, 'cur.execute', 'execute', '', 1, True, None),
-    (8, 3, 1, 'cur.execute', 'execute', '', 2, False, False),
+    (5, 2, 21, 'yaml.load', 'load', '', 1, False, None),
+    (5, 2, 31, 'open', None, '', 1, False, None),
+    (6, 2, 8, 'list', None, '', 1, False, None),
+    (6, 2, 13, 'yaml.load_all', 'load_all', '', 1, False, None),
+    (6, 3, 9, 'yaml.load', 'load', '', 2, False, False),
+    (6, 4, 8, 'yaml.load', 'load', 'Loader=-/safe', 1, False, None),
+    (6, 4, 31, 'pick', None, '', 1, False, None),
+    (7, 2, 9, 'sorted', None, '', 1, False, None),
+    (7, 2, 16, 'hashlib.md5', 'md5', '', 1, False, None),
+    (7, 2, 16, 'hexdigest', 'hexdigest', '', 0, False, None),
+    (8, 2, 5, 'conn.cursor', 'cursor', '', 0, False, None),
+    (8, 2, 5, 'execute', 'execute', '', 1, True, None),
+    (8, 3, 1, 'conn.executescript', 'executescript', '', 1, True, None),
     (8, 4, 1, 'conn.executemany', 'executemany', '', 2, True, False),
+    (8, 5, 1, 'log.execute', 'execute', '', 1, True, None),
+    (8, 5, 13, 'sql.format', 'format', '', 1, False, None),
     (9, 2, 1, 'requests.put', 'put', 'data=- verify=False', 1, False, None),
     (10, 1, 1, 'server.run', 'run', 'port=- debug=True host=-', 0, False, None),
     (11, 2, 1, 'extractall', 'extractall', '', 0, False, None),
     (11, 2, 1, 'zipfile.ZipFile', 'ZipFile', '', 1, False, None),
     (12, 2, 8, 'tempfile.mktemp', 'mktemp', '', 1, False, None),
     (13, 2, 9, 'jinja2.Environment', 'Environment', 'loader=- autoescape=False', 0, False, None),
+    (17, 4, 34, 'len', None, '', 1, False, None),
     (18, 1, 7, 'eval', None, '', 1, False, None),
     (19, 4, 1, 'requests.get', 'get', 'verify=False', 1, False, None),
     (19, 5, 1, 'requests.get', 'get', 'verify=False', 1, False, None),
@@ -44,15 +54,20 @@ CALLS = [
 # Name, a string that is not blank, a list with a star, True itself.
 ASSIGNS = [
     (0, 1, 1, 'total', False, False, False),
+    (2, 3, 5, 'code', False, False, False),
     (4, 2, 1, 'state', False, False, False),
-    (5, 2, 1, 'rules', False, False, False),
-    (7, 2, 1, 'digest', False, False, False),
+    (5, 2, 1, 'merged', False, False, False),
+    (6, 2, 1, 'docs', False, False, False),
+    (6, 3, 1, 'first', False, False, False),
+    (6, 4, 1, 'last', False, False, False),
+    (7, 2, 1, 'names', False, False, False),
     (12, 2, 1, 'part', False, False, False),
     (13, 2, 1, 'views', False, False, False),
     (14, 1, 1, 'SECRET_KEY', True, False, False),
     (15, 1, 1, 'DEBUG', False, False, True),
     (15, 2, 1, 'ALLOWED_HOSTS', False, True, False),
     (15, 3, 1, 'DEBUG', False, False, False),
+    (17, 2, 5, 'limit', False, False, False),
     (19, 3, 1, 'auth_token', True, False, False),
     (20, 2, 1, 'mailPassword', True, False, False),
     (24, 2, 1, 'x', False, False, False),
@@ -76,11 +91,10 @@ ASSIGNS = [
 
 # The text.
 CONSTS = [
-    (2, 3, 11, 'rm -r '),
-    (3, 3, 26, 'id'),
-    (8, 1, 15, 'DELETE FROM carts WHERE id='),
-    (8, 2, 13, 'DELETE FROM '),
-    (8, 3, 13, 'DELETE FROM carts WHERE id=?'),
+    (2, 3, 24, 'ping -c1 '),
+    (6, 4, 36, 'CSafeLoader'),
+    (8, 2, 29, 'ANALYZE '),
+    (8, 3, 20, 'VACUUM '),
     (8, 4, 18, '%s'),
     (10, 1, 38, '0.0.0.0'),
     (12, 2, 24, '.part'),

@@ -8,79 +8,79 @@ from pyspark.sql import functions as F
 from rulegrain.operators import lines, pyfacts, rules, secrets
 
 PYTHON = [
-    ("total = eval(formula)", {"PY001"}),
-    ("exec(plugin.body)", {"PY002"}),
-    ("import os\nos.system('rm -r ' + folder)", {"PY003"}),
-    ("import subprocess\nsubprocess.call(line, shell=True)", {"PY004"}),
-    ("import subprocess\nsubprocess.call(['id', name], shell=False)", set()),
-    ("import pickle\npickle.loads(blob)", {"PY005"}),
-    ("import yaml\nyaml.load(handle)", {"PY006"}),
-    ("import yaml\nyaml.safe_load(handle)", set()),
-    ("import yaml\nyaml.load(handle, Loader=yaml.CSafeLoader)", set()),
-    ("yaml.load(handle, yaml.SafeLoader)", set()),
-    ("yaml.load(handle, yaml.FullLoader)", {"PY006"}),
-    ("load(left, right)", set()),
+    ("DEBUG = None\nVERBOSE = DEBUG = True", {"DJ003"}),
+    ("ALLOWED_HOSTS = [*known, host]", set()),
+    ("ALLOWED_HOSTS = ('shop.test', '*')", {"DJ002"}),
+    ("ALLOWED_HOSTS: list = ['*']", set()),
+    ("SECRET_KEY = ' \t'", set()),
+    ('SECRET_KEY = read("key.txt")', set()),
+    ("if live:\n    SECRET_KEY = 'k3y' 'of' 'tests'", {"DJ001"}),
+    ("y = 2\x00", {"PY000"}),
+    ("\ufeffy = 2", {"PY000"}),
+    ("y = " + "[" * 300 + "2" + "]" * 300, {"PY000"}),
+    ("while queue\n    pass", {"PY000"}),
+    ("ops = [eval, exec]", set()),
+    ("rows.sort(key=lambda r: eval(r.rank))", {"PY001"}),
+    ("model.eval()", set()),
+    ("run = exec(compile(body, name, 'exec'), {})", {"PY002"}),
+    ("import os\nfor host in hosts:\n    os.system(f'ping -c1 {host}')", {"PY003"}),
+    ("os.popen(line)", set()),
+    ("with subprocess.Popen(pipeline, stdin=src, shell=True) as child:\n    child.wait()", {"PY004"}),
+    ("subprocess.run(argv, shell=flag)", set()),
+    ("runner.call(line, shell=True)", set()),
+    ("cache = pickle.Unpickler(src).load()", set()),
+    ("users = {u.id: pickle.load(u.file) for u in found}", {"PY005"}),
     ("get().load(left, right)", {"PY006"}),
     ("get().load(left)", set()),
-    ("import hashlib\ndigest = hashlib.sha1(body)", {"PY007"}),
-    ("cur.execute(f'DELETE FROM carts WHERE id={cart}')", {"PY008"}),
+    ("load(left, right)", set()),
+    ("merged = {**base, **yaml.load(open(name))}", {"PY006"}),
+    ("docs = list(yaml.load_all(body))", set()),
+    ("yaml.load(body, yaml.BaseLoader)", {"PY006"}),
+    ("yaml.load(body, Loader=pick('CSafeLoader'))", set()),
+    ("names = sorted(hashlib.md5(n).hexdigest() for n in blobs)", {"PY007"}),
+    ("hashlib.new('md5', body)", set()),
+    ("conn.cursor().execute(f'ANALYZE {table}')", {"PY008"}),
     ("cur.execute(f'VACUUM')", set()),
-    ("cur.execute('DROP TABLE {}'.format(name))", {"PY008"}),
-    ("cur.execute('DELETE FROM carts WHERE id=?', (cart,))", set()),
+    ("log.execute(sql.format(table))", {"PY008"}),
+    ("conn.executescript('VACUUM ' + table)", set()),
     ("execute('VACUUM ' + name)", set()),
-    ("requests.put(link, verify=False)", {"PY009"}),
-    ("requests.put(link, verify='ca.pem')", set()),
-    ("requests.put(link, verify=0)", set()),
-    ("server.run(debug=True, host='0.0.0.0')", {"PY010", "PY014"}),
+    ("session.mount(base, Adapter(retries=3, verify=False))", {"PY009"}),
+    ("client.get(link, verify='ca.pem'); client.get(link, verify=0)", set()),
     ("rerun(debug=True)", {"PY010"}),
-    ("server.run(port=80)", set()),
-    ("zipfile.ZipFile(name).extractall()", {"PY011"}),
-    ("part = tempfile.mktemp('.part')", {"PY012"}),
-    ("views = Environment(loader=files, autoescape=False)", {"PY013"}),
+    ("server.run(debug=1, port=80)", set()),
+    ("tarfile.open(name).extractall(path=home)", {"PY011"}),
+    ("from tempfile import mktemp\nnames = [mktemp() for _ in jobs]", {"PY012"}),
+    ("tempfile.mkstemp('.part')", set()),
+    ("make(views, autoescape=False, trim=True)", {"PY013"}),
     ('bind = f"0.0.0.0{port}"', {"PY014"}),
-    ('SECRET_KEY = "k3y-of-tests"', {"DJ001"}),
-    ("SECRET_KEY = ' \t'", set()),
-    ('SECRET_KEY = read("key.txt")', set()),
-    ("ALLOWED_HOSTS = ['*']", {"DJ002"}),
-    ("ALLOWED_HOSTS = ('shop.test', '*')", {"DJ002"}),
-    ("ALLOWED_HOSTS = ['shop.test']", set()),
-    ("DEBUG = True", {"DJ003"}),
-    ("VERBOSE = DEBUG = True", {"DJ003"}),
-    ("DEBUG = None", set()),
-    ("def area(w, h):\n    return w * h\n", set()),
-    ("class (:\n", {"PY000"}),
-    ("y = 2\x00", {"PY000"}),
-    ("\ufeffy = 2", {"PY000"}),
-    ("y = " + "[" * 300 + "2" + "]" * 300, {"PY000"}),
+    ("mask = '0.0.0.0/8'", set()),
 ]
 LINES = [
-    ("a.js", "panel.innerHTML += row.title;", {"JS001"}),
+    ("F.java", 'int n = batch.executeUpdate(prefix + table, Statement.NO_GENERATED_KEYS);', {"JAVA002"}),
+    ("F.java", "total = left + right; st.execute(plan);", set()),
+    ("F.java", "try { Runtime.getRuntime().exec(parts, env, home).waitFor(); } finally { close(); }", {"JAVA001"}),
+    ("F.java", 'var mac = Mac.getInstance("HmacSHA1");', set()),
+    ("F.java", 'byte[] tag = MessageDigest.getInstance( "SHA1").digest(page.getBytes());', {"JAVA003"}),
+    ("F.java", "Queue<Job> jobs = (Queue<Job>) new ObjectInputStream(new GZIPInputStream(raw)).readObject();", {"JAVA004"}),
+    ("f.go", 'pager := exec.CommandContext(ctx, "bash")', set()),
+    ("f.go", 'if err := exec.Command("powershell", "-File", step.Path).Run(); err != nil { retry(step) }', {"GO001"}),
+    ("f.go", "n, err := audit.Exec(stmtPurge, before, ids)", set()),
+    ("f.go", 'rows, _ := store.QueryContext(ctx, "CALL " + proc); defer rows.Close()', {"GO002"}),
+    ("f.go", "w := io.MultiWriter(file, md5.New())", {"GO003"}),
+    ("f.go", "mysha1.New()", set()),
+    ("f.go", "tr.TLSClientConfig = &tls.Config{ServerName: host, InsecureSkipVerify:   true}", {"GO004"}),
+    ("F.txt", "eval(formula)", set()),
+    ("a.mjs", "setInterval('poll(7)', 2500);", {"JS007"}),
+    ("a.js", "setInterval(() => poll(7), 2500);", set()),
     ("a.js", "while (panel.innerHTML == last) {}", {"JS001"}),
-    ("a.js", "document.write(banner);", {"JS002"}),
-    ("a.tsx", "eval(formula.body);", {"JS003"}),
-    ("a.js", "sandbox.eval(formula.body);", set()),
+    ("a.js", "/* document.write(banner); */", {"JS002"}),
+    ("a.js", "from = 'http://cdn.test'; document.write(banner);", set()),
     ("a.js", "\u00fceval(step);", set()),
+    ("a.tsx", "const total = rows.map((r) => eval(r.rule));", {"JS003"}),
     ("a.js", "handlers.push(new\u00a0Function(args, body));", {"JS004"}),
     ("a.js", "child_process.execSync('tar xf ' + archive);", {"JS005"}),
     ("a.js", "<Article dangerouslySetInnerHTML={post} />", {"JS006"}),
     ("a.js", "notdangerouslySetInnerHTML", set()),
-    ("a.mjs", "setInterval('poll(7)', 2500);", {"JS007"}),
-    ("a.js", "setInterval(poll, 2500);", set()),
-    ("a.js", "// document.write(banner);", set()),
-    ("a.js", "from = 'http://cdn.test'; document.write(banner);", set()),
-    ("a.js", "/* document.write(banner); */", {"JS002"}),
-    ("f.go", 'exec.Command("zsh", "-c", job.Script)', {"GO001"}),
-    ("f.go", 'exec.Command("git", "fetch")', set()),
-    ("f.go", 'tx.Exec(fmt.Sprintf("DELETE FROM carts WHERE id=%d", id))', {"GO002"}),
-    ("f.go", 'tx.Exec("DELETE FROM carts WHERE id=$1", id)', set()),
-    ("f.go", "sum := sha1.New()", {"GO003"}),
-    ("f.go", "cfg := &tls.Config{InsecureSkipVerify: true}", {"GO004"}),
-    ("F.java", "Process p = Runtime.getRuntime().exec(line);", {"JAVA001"}),
-    ("F.java", 'rs = st.executeUpdate("DELETE FROM carts WHERE id=" + cart);', {"JAVA002"}),
-    ("F.java", 'var d = MessageDigest.getInstance("SHA1");', {"JAVA003"}),
-    ("F.java", "pipe = new ObjectInputStream(raw); pipe.readObject()", {"JAVA004"}),
-    ("F.java", "record Cart(int id) {}", set()),
-    ("F.txt", "eval(formula)", set()),
 ]
 SECRETS = [
     ('k = "AIza' + "B" * 35 + '"', {"SEC007"}),
