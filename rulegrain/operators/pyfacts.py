@@ -17,7 +17,10 @@ from ..functions import paths
 from ..functions.text import strict_text, universal_newlines
 from ..sources.corpus import of_kinds
 from ..sources.ship import ship_package
+from ..sources.tables import stored
+from .joins import lookup_join
 from .lines import with_rule_columns
+from .membership import may_be_in
 
 FACT_SCHEMA = """repo string, path string, kind string, seq bigint, line int, `column` int, snippet string,
     name string, is_attribute boolean, attr string,
@@ -179,6 +182,24 @@ def py_facts(sources: DataFrame, watched: bool = True) -> DataFrame:
     return sources.select("repo", "path", "text").mapInArrow(read, FACT_SCHEMA)
 
 
+def facts_by_content(sources: DataFrame, watched: bool = True) -> DataFrame:
+    """The rows of py_facts, with each distinct text parsed once, however many places hold it.
+
+    For corpora with many vendored copies. Texts are digested where they are read, and one place stands
+    for all of a digest; a filter picks these places' texts, so no text is shuffled. (repo, path) has to
+    be unique.
+    """
+    places = stored(sources.select("repo", "path", F.sha2(F.encode("text", "UTF-8"), 256).alias("digest")))
+    first = places.groupBy("digest").agg(F.min(F.struct("repo", "path")).alias("first"))
+    standing = stored(first.select("digest", "first.repo", "first.path"))
+    facts = stored(py_facts(may_be_in(sources, standing, ["repo", "path"]), watched))
+    columns = facts.columns
+    # the filter lets a few other places through, whose facts are dropped here
+    of_digest = facts.join(standing, ["repo", "path"]).drop("repo", "path")
+    spread = [F.col("repo"), F.col("path")]
+    return lookup_join(places, of_digest, ["digest"], "inner", spread).select(*[F.col(f"`{c}`") for c in columns])
+
+
 def python_sources(corpus: DataFrame) -> DataFrame:
     """Readable Python files as text."""
     ext = paths.extension(F.lower(paths.basename(F.col("path"))))

@@ -130,6 +130,13 @@ def py_calls(spark, sf_dir):
     return calls.select(*_AT, "name", "is_attribute", "attr", keywords.alias("keywords"), "n_args", "dynamic_sql", "arg1_safe")
 
 
+@query("py_facts_by_content", _expected(expected.CONSTS, "name", "name"))
+def py_facts_by_content(spark, sf_dir):
+    """All texts of all files, of which many are copies: each distinct file is parsed once."""
+    sources = pyfacts.python_sources(derive.code_corpus(spark, sf_dir))
+    return pyfacts.facts_by_content(sources, watched=False).where("kind = 'const'").select(*_AT, "name")
+
+
 @query("py_assigns", _expected(expected.ASSIGNS, "name, nonempty_str, has_star, is_true", "name, nonempty_str, has_star, is_true"))
 def py_assigns(spark, sf_dir):
     """All assignments to names."""

@@ -100,3 +100,15 @@ def test_expected_facts_are_those_of_the_templates(kind):
                 more = [attr, shown, n, builds, safe]
             found.append((no, line, column, name, *more))
     assert sorted(found, key=repr) == sorted(listed, key=repr)
+
+
+def test_each_content_is_parsed_once(spark, corpus_of):
+    """Copies in many places have the facts of the one that is parsed."""
+    from rulegrain.operators import pyfacts
+
+    files = FILES | {f"vendor/{i}/{name}": text for i in range(5) for name, text in FILES.items()} | {"broken.py": "while queue\n", "empty.py": ""}
+    sources = pyfacts.python_sources(corpus_of(files))
+    for watched in (True, False):
+        plain_rows, by_content = pyfacts.py_facts(sources, watched), pyfacts.facts_by_content(sources, watched)
+        assert by_content.columns == plain_rows.columns
+        assert sorted(map(repr, by_content.collect())) == sorted(map(repr, plain_rows.collect()))
