@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,40 @@ def prepare_workers(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_BYTES)
 
 
+#: What one operator keeps in a worker from task to task, under a key that names it.
+_HELD: dict[str, object] = {}
+
+
+def held_by_worker(key: str, make: Callable[[], object]) -> object:
+    """A table that tasks of one worker share; a worker holds those of one key at a time."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def from_scratch(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A step over batches that starts without what earlier operators left in the worker, and gives its memory back.
+
+    Workers live on from stage to stage, and what they have freed stays theirs unless it is returned.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _HELD.clear()
+        yield from step(batches)
+        give_back()
+
+    return run
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where its library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..sources.tables import stored
-from .common import Bitmap, prepare_workers, quoted, slices
+from .common import Bitmap, from_scratch, prepare_workers, quoted, slices
 from .components import components
 
 WORDS = 5
@@ -164,6 +164,7 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 SIGNATURE, MARK, SPARE = 0, 1, 2
+_SIGNED = "kind tinyint, sig bigint, node bigint, value int"
 
 
 def _rows(kind: np.ndarray, sig: np.ndarray, node: np.ndarray, value: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -280,10 +281,9 @@ def _result(kind: int, a: np.ndarray, b: np.ndarray, value: np.ndarray) -> pa.Re
     return pa.RecordBatch.from_arrays(arrays, ["kind", "a", "b", "value"])
 
 
-def _signed_pairs(docs: DataFrame, share: float, seed: int) -> DataFrame:
-    """One signing: pairs to test (kind 0: a, b), and what each (node a, band b) has to spare (1: less, 2: at first)."""
-    rows = docs.mapInArrow(_sign(share, seed), "kind tinyint, sig bigint, node bigint, value int")
-    met = rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(_meet, "kind tinyint, a bigint, b bigint, value int")
+def _signed_pairs(rows: DataFrame) -> DataFrame:
+    """Of one signing's rows: pairs to test (kind 0: a, b), and what each (node a, band b) has to spare (1: less, 2: at first)."""
+    met = rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(from_scratch(_meet), "kind tinyint, a bigint, b bigint, value int")
     return stored(met)
 
 
@@ -305,7 +305,7 @@ def _only(docs: DataFrame, ids: DataFrame, then, schema: str) -> DataFrame:
             if some.any():
                 yield batch.select(["text"]).filter(pa.array(some))
 
-    return docs.select(F.xxhash64("doc_id").alias("place"), "text").mapInArrow(lambda batches: then(chosen(batches)), schema)
+    return docs.select(F.xxhash64("doc_id").alias("place"), "text").mapInArrow(from_scratch(lambda batches: then(chosen(batches))), schema)
 
 
 def _restricted(docs: DataFrame, classes: DataFrame, nodes: DataFrame, then, schema: str) -> DataFrame:
@@ -456,7 +456,7 @@ def _apart(dense: DataFrame, labels: DataFrame) -> DataFrame:
     dealt = found.select("sig", "node", "n", "bits", "root", "block", other.alias("other"))
     dealt = dealt.select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     ordered = dealt.select("sig", "i", "j", "node", "n", "bits", "root", "block").repartition("sig", "i", "j")
-    return ordered.sortWithinPartitions("sig", "i", "j").mapInArrow(_blocks, "a bigint, b bigint").distinct()
+    return ordered.sortWithinPartitions("sig", "i", "j").mapInArrow(from_scratch(_blocks), "a bigint, b bigint").distinct()
 
 
 def _roots(classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -475,18 +475,17 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prepare_workers(spark)
     texts = docs.select(quoted(id_col).cast("bigint").alias("doc_id"), quoted(text_col).alias("text"))
     schema = "doc_id bigint, n bigint, node bigint, twin bigint, own binary, following binary"
-    members = stored(texts.mapInArrow(_members, schema))
+    members = stored(texts.mapInArrow(from_scratch(_members), schema))
     grouped = members.where("n > 0").groupBy("node", "twin").agg(
         F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("own").alias("own"), F.max("following").alias("following")
     )
     classes = stored(grouped.select(F.monotonically_increasing_id().alias("number"), "*"))
 
-    first = _signed_pairs(texts.select("text"), FIRST, 0)
+    first = _signed_pairs(texts.select("text").mapInArrow(from_scratch(_sign(FIRST, 0)), _SIGNED))
     pairs, left = first.where(F.col("kind") == SIGNATURE).select("a", "b"), stored(_uncovered(first))
     dense = None
     if not left.isEmpty():
-        again = _restricted(texts, classes, left, lambda b: b, "text string")
-        second = _signed_pairs(again, SECOND, 1)
+        second = _signed_pairs(_restricted(texts, classes, left, _sign(SECOND, 1), _SIGNED))
         pairs = pairs.unionByName(second.where(F.col("kind") == SIGNATURE).select("a", "b"))
         left = stored(left.join(_uncovered(second), ["node", "level"], "left_semi"))
         if not left.isEmpty():
@@ -542,19 +541,26 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     gone = found.where((F.col("n") > 0) & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
     gone = gone.select(F.col("doc_id").alias("gone_id"), "node", "twin").distinct()
     listed = Bitmap(gone.select(F.xxhash64("gone_id")))
-    doubtful = F.arrow_udf(lambda place: pa.array(listed.may_hold(place.to_numpy())), "boolean")
 
-    def keys(text: pa.Array) -> pa.Array:
-        sets = shingle_sets(text.to_pylist())
-        found = [_keys(s) if len(s) else (None, None) for s in sets]
-        fields = [pa.array([k[i] for k in found], pa.int64()) for i in (0, 1)]
-        return pa.StructArray.from_arrays(fields, ["node", "twin"])
+    def keys(place: pa.Array, text: pa.Array) -> pa.Array:
+        """Whether a row's id may be one that goes, and if so what stands for its set: one step, and so one worker a task."""
+        doubtful = listed.may_hold(place.to_numpy())
+        chosen, found = np.flatnonzero(doubtful), [(None, None)] * len(text)
+        part = pa.RecordBatch.from_arrays([text.take(pa.array(chosen))], ["text"])
+        at = 0
+        for _, sets in _sets_of(iter([part])):
+            for s in sets:
+                found[chosen[at]] = _keys(s) if len(s) else (None, None)
+                at += 1
+        fields = [pa.array(doubtful), *[pa.array([k[i] for k in found], pa.int64()) for i in (0, 1)]]
+        return pa.StructArray.from_arrays(fields, ["doubtful", "node", "twin"])
 
     row = F.struct(*[quoted(c) for c in docs.columns]).alias("document")
     bigint = quoted(id_col).cast("bigint")
-    marked = docs.select(row, bigint.alias("id"), quoted(text_col).alias("text"), doubtful(F.xxhash64(bigint)).alias("doubtful"))
-    sure = marked.where("NOT doubtful").select("document.*")
-    named = marked.where("doubtful").select("document", "id", F.arrow_udf(keys, "node bigint, twin bigint")("text").alias("k"))
+    key = F.arrow_udf(keys, "doubtful boolean, node bigint, twin bigint")(F.xxhash64(bigint), quoted(text_col))
+    marked = docs.select(row, bigint.alias("id"), key.alias("k"))
+    sure = marked.where("NOT k.doubtful").select("document.*")
+    named = marked.where("k.doubtful").select("document", "id", "k")
     goes = F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("k.node") == F.col("node")) & (F.col("k.twin") == F.col("twin"))
     return sure.unionByName(named.join(gone, goes, "left_anti").select("document.*"))
 

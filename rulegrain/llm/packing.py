@@ -20,14 +20,13 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import prepare_workers, quoted, slices
+from .common import held_by_worker, prepare_workers, quoted, slices
 
 SIZE = 2048
 END_ID = 1
@@ -117,15 +116,9 @@ class WordTokenizer(dict):
         return np.frombuffer(self.flat, np.uint32)[places], np.add.reduceat(sizes, firsts)
 
 
-@lru_cache(maxsize=1)
-def tokenizer_of(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
-
-
-@lru_cache(maxsize=1)
-def _sentence_ends(path: str) -> np.ndarray:
+def _sentence_ends(words: WordTokenizer) -> np.ndarray:
     """For each id, whether its piece is punctuation that ends a sentence."""
-    vocab = tokenizer_of(path).tokenizer.get_vocab()
+    vocab = words.tokenizer.get_vocab()
     ends = np.zeros(max(vocab.values()) + 1, bool)
     for piece, number in vocab.items():
         body = piece.removesuffix("</w>")
@@ -133,6 +126,11 @@ def _sentence_ends(path: str) -> np.ndarray:
     return ends
 
 
+def _tables(path: str) -> tuple[WordTokenizer, np.ndarray]:
+    words = WordTokenizer(path)
+    return words, _sentence_ends(words)
+
+
 def choose_cuts(places: np.ndarray, penalties: np.ndarray, final: bool, size: int = SIZE) -> list[int]:
     """Ends of the sequences that cost least; ``places`` rise from 0, and no two are more than ``size`` apart."""
     spots, fines = places.tolist(), penalties.tolist()
@@ -241,7 +239,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     prepare_workers(docs.sparkSession)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, ends = tokenizer_of(tokenizer), _sentence_ends(tokenizer)
+        words, ends = held_by_worker(f"packing {tokenizer}", lambda: _tables(tokenizer))
         stream = _Stream(ends, TaskContext.get().partitionId() << 32)
         for batch in slices(batches, "text", 1_000_000):
             ids, sizes = words.encode(batch.column("text").to_pylist())
