@@ -188,6 +188,18 @@ def test_benchmark_passages_agree_with_brute_force(spark, tmp_path, block_bytes)
         assert (rows[i]["n_words"], hits, rows[i]["items"]) == windows_hit(text, items), i
 
 
+def test_items_that_share_a_passage_share_its_windows():
+    """What a search compares does not grow with the number of items that hold a passage; each of them is listed."""
+    rng = random.Random(12)
+    passage = words(rng, 30, 60)
+    few, many = (decontaminate.Patterns([(str(i), f"item{i} {passage}") for i in range(n)]) for n in (5, 400))
+    for n, patterns in ((5, few), (400, many)):
+        (_, _, buckets, _, _), = patterns.groups
+        assert sum(map(len, buckets.values())) == 21 + n
+        hit, names = patterns.search(decontaminate.words_of(f"left {passage} right"))
+        assert names == {str(i) for i in range(n)} and hit.sum() == 30 and not hit[0] and not hit[-1]
+
+
 def test_benchmark_passages_agree_with_sql(spark, tmp_path, nothing, edges):
     same_as_sql(decontaminate.query(spark, SF), decontaminate.ORACLE, SF)
     assert decontaminate.query(spark, nothing).count() == 0
