@@ -28,9 +28,6 @@ MAX_FILE_BYTES = 2_000_000
 ENV_NAMES = [".env", ".env.local", ".env.development", ".env.production", ".env.prod"]
 ENV_TEMPLATES = [".example", ".sample", ".template", ".dist"]
 
-# Lengths of the literal pieces by which wildcard patterns are indexed.
-GRAMS = [1, 2, 4, 8, 16]
-
 _TOKEN = r"(?s)\[!?\]?[^\]]*\]|."
 _WILDCARD = r"(?s)\[!?\]?[^\]]*\]|[*?]"
 
@@ -166,50 +163,6 @@ def gitignore_match(path: Column, pattern: Column) -> Column:
     return F.rlike(path, gitignore_regex(pattern))
 
 
-def path_tails(path: Column) -> Column:
-    """The path and what follows each of its slashes."""
-    parts = F.split(path, "/")
-    n = F.size(parts)
-    return F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, i, n), "/"))
-
-
-def path_prefixes(path: Column) -> Column:
-    """Every leading piece of the path, from the empty one to the whole."""
-    return F.transform(F.sequence(F.lit(0), F.length(path)), lambda n: F.substr(path, F.lit(1), n))
-
-
-def path_dirs(path: Column) -> Column:
-    """The path itself and every run of its directories."""
-    parts = F.split(path, "/")
-    n = F.size(parts) - 1
-    # Without a directory the inner sequences would count down: keep them empty instead.
-    starts = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    runs = F.flatten(
-        F.transform(
-            starts,
-            lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.array_join(F.slice(parts, i, k), "/")),
-        )
-    )
-    return F.array_distinct(F.concat(F.array(path), runs))
-
-
-def path_grams(path: Column, sizes: list[int] = GRAMS) -> Column:
-    """Distinct pieces of the given lengths, and the empty piece."""
-    pieces = [F.regexp_extract_all(path, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)) for size in sizes]
-    return F.array_distinct(F.concat(F.array(F.lit("")), *pieces))
-
-
-def glob_anchor(glob: Column) -> Column:
-    """A literal piece, of an indexed length, that every matching path must hold."""
-    runs = F.split(glob, _WILDCARD)
-    longest = F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))
-    n = F.when(F.lit(False), 0)
-    for size in sorted(GRAMS, reverse=True):
-        n = n.when(longest["n"] >= size, size)
-    size = n.otherwise(0)
-    return F.when(size == 0, "").otherwise(F.substr(longest["r"], longest["n"] - size + 1))
-
-
 def path_lineage(path: Column) -> Column:
     """The path, each of its parent directories and the root ``''``."""
     parts = F.split(path, "/")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rulegrain.operators import dependencies as deps, findings as fs, globs, joins, osv, project, responses
+from rulegrain.operators.tries import PathTrie
 from rulegrain.plans.scan import scan
 from rulegrain.schema import as_findings
 from test_functions import PATHS, PATTERNS, ignored, suppressed
@@ -83,8 +84,29 @@ def test_project(spark, corpus_of, either_join):
     assert ids({"a/.env": "", "x/.gitignore": "/\n"}) == set()
 
 
-def test_glob_tables_against_every_pair(spark, either_join):
-    """One repository holds a third of all paths and patterns."""
+ODD_PATTERNS = ["", "*", "src/", "a/b/.env*", "src/l*/x.py", "*/legacy/*", "src/legacy", "sr", "a/", "b/.env.local", "/a/b", "caf\u00e9/*", "dir.d/", "a//b/", "//"]
+ODD_PATHS = ["", "/", "a//b/c", "/src/app.js", "x/src/legacy/x.py", "a/b", "src/legacy/y/z.py"]
+
+
+def test_tries_against_every_pair():
+    """Each pattern alone, and all patterns that cover nothing of a path together."""
+    for path in [*PATHS, *ODD_PATHS]:
+        for add, covers in ((PathTrie.add_ignore, ignored), (PathTrie.add_suppression, suppressed)):
+            others = PathTrie()
+            for pattern in [*PATTERNS, *ODD_PATTERNS]:
+                trie = PathTrie()
+                add(trie, pattern)
+                assert trie.covers(path) == covers(path, pattern), (path, pattern, add)
+                if not covers(path, pattern):
+                    add(others, pattern)
+            assert not others.covers(path)
+
+
+@pytest.mark.parametrize(["broadcast", "block"], [(4_000_000, 8_000_000), (0, 8_000_000), (0, 60)])
+def test_glob_tables_against_every_pair(spark, monkeypatch, broadcast, block):
+    """One repository holds a third of all paths and patterns; its patterns fit in one trie, or need several."""
+    monkeypatch.setattr(globs, "BROADCAST_BYTES", broadcast)
+    monkeypatch.setattr(globs, "BLOCK_BYTES", block)
     rng = random.Random(5)
     repos = ["hot"] * 10 + [f"r{i}" for i in range(20)]
     files = sorted({(rng.choice(repos), p) for p in PATHS for _ in range(12)})
@@ -93,7 +115,14 @@ def test_glob_tables_against_every_pair(spark, either_join):
     p = spark.createDataFrame(patterns, "repo string, pattern string")
     for operator, covers in ((globs.ignored_files, ignored), (globs.suppressed_files, suppressed)):
         want = sorted({(r, path) for r, path in files if any(r == q and covers(path, g) for q, g in patterns)})
-        assert sorted(map(tuple, operator(f, p).collect())) == want
+        found = operator(f, p)
+        assert sorted(map(tuple, found.collect())) == want
+        # paths are never exploded into pieces; those of broadcast patterns are not shuffled before they are walked
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        assert ("Generate" not in plan and "Exchange" not in plan.split("MapInArrow")[1]) == bool(broadcast)
+    empty = (f.limit(0), p), (f, p.limit(0)), (f.withColumn("path", F.lit(None).cast("string")), p), (f, p.withColumn("pattern", F.lit(None).cast("string")))
+    for few, none in empty:
+        assert globs.ignored_files(few, none).count() == 0
 
 
 def test_responses(spark):
