@@ -9,13 +9,16 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from rulegrain.operators import lines, remediate as fix
 from rulegrain.operators.joins import salted_join
 from rulegrain.plans.scan import fix as fix_plan, scan
 from rulegrain.sinks import reports
+from rulegrain.sinks.documents import DocumentSink, document_name, write_documents
 from rulegrain.sources import trees
+from rulegrain.sources.tables import stored
 from rulegrain.sources.trees import read_tree
 from rulegrain.streaming import streams
 
@@ -102,6 +105,41 @@ def test_written_report_reads_in_order(spark, corpus_of, tmp_path):
     assert [(f["file"], f["line"]) for f in doc["findings"]] == sorted((f"f{i}.js", n) for i in range(30) for n in range(1, 21))
 
 
+def test_whole_documents(spark, corpus_of, tmp_path):
+    """A document a repository, each as its rows in order, whatever the repository is called."""
+    hot = corpus_of({f"f{i:02}.js": "eval(x)\n" * 40 for i in range(40)}, "a/b .c")
+    corpus = hot.unionByName(corpus_of({"x.js": "eval('\\n')"}, "a")).unionByName(corpus_of({"y.txt": "calm"}, "..")).unionByName(corpus_of({"z.js": "eval(1)"}, ""))
+    kept = scan(corpus, no_index(spark)).kept()
+    report = stored(reports.report_json(kept.findings, kept.stats, kept.errors))
+    write_documents(report, str(tmp_path / "out"))
+    ordered = report.orderBy(*[F.col(f"`{c}`").asc_nulls_first() for c in reports.ORDER]).collect()
+    want = {document_name(repo, ".json"): "".join(f"{r.text}\n" for r in ordered if r.repo == repo) for repo in ("a/b .c", "a", "..", "")}
+    assert {p.name: p.read_text() for p in (tmp_path / "out").iterdir()} == want and len(want) == 4
+    found = json.loads((tmp_path / "out" / "a%2Fb %2Ec.json").read_text())["findings"]
+    assert len(found) == 1600 and [f["file"] for f in found] == sorted(f["file"] for f in found)
+    with pytest.raises(FileExistsError):
+        write_documents(report, str(tmp_path / "out"))
+    write_documents(report.limit(0), str(tmp_path / "none"))
+    assert not list((tmp_path / "none").glob("*"))
+    again = "file://" + str(tmp_path / "again")
+    write_documents(reports.report_sarif(kept.findings, kept.stats), again, ".sarif")
+    assert len(json.loads((tmp_path / "again" / "a.sarif").read_text())["runs"][0]["results"]) == 1
+
+
+def test_a_failed_task_leaves_no_document(spark, tmp_path):
+    """One of two documents can't be put together: neither is there, nor any attempt; another write then succeeds."""
+    (tmp_path / "parts").mkdir()
+    (tmp_path / "parts" / "part-0").write_text("{}")
+    rows = [("good", str(tmp_path / "parts")), ("bad", str(tmp_path / "missing"))]
+    spark.dataSource.register(DocumentSink)
+    save = lambda n: spark.createDataFrame(rows[:n], DocumentSink({}).schema()).repartition(2, "repo").write.format(DocumentSink.name()).mode("append").option("uri", str(tmp_path / "out")).option("suffix", ".json").save()
+    with pytest.raises(Exception, match="missing"):
+        save(2)
+    assert not list((tmp_path / "out").glob("*"))
+    save(1)
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["good.json"] and (tmp_path / "out" / "good.json").read_text() == "{}"
+
+
 def test_tree(spark, tmp_path):
     for path, body in {".env": b"A", "src/a.py": b"eval(x)\n", ".git/x": b"", "src/.gitignore": b"x\n", "build/b.js": b"eval(x)"}.items():
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
