@@ -117,9 +117,13 @@ def report_listing(spark, sf_dir):
 
 
 def stream_table(spark, sf_dir, name):
-    """One provided table as a file stream."""
+    """One provided table as a file stream, be it one file or a folder of files.
+
+    A pattern that only the table's own name fits: a plain path is taken for the folder of partitions,
+    which a file cannot be, and a filter of names would leave out the files inside a folder.
+    """
     schema = derive.table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 @query("stream_scan", o.with_(derive.document_lines_sql(), o.secret_findings("f", "document_lines"), f"SELECT {o.FINDING} FROM f"))
