@@ -303,9 +303,13 @@ RANGES = """ranges AS (
     ),
 )
 def advisory_ranges(spark, sf_dir):
-    """Many ranges per package, of every comparator and one that is unknown."""
-    rows = derive.dependency_rows(spark, sf_dir).select(
-        "name", "version", F.lit("pypi").alias("ecosystem"), F.lit("").alias("repo"), F.lit("").alias("path"), F.col("k").alias("position"),
+    """Many ranges per package, of every comparator and one that is unknown.
+
+    Dependencies are counted by version before they meet the ranges: a version's ranges are the same for all of its copies.
+    """
+    rows = derive.dependency_rows(spark, sf_dir).groupBy("name", "version").agg(F.count("*").alias("copies")).select(
+        "name", "version", F.lit("pypi").alias("ecosystem"), F.lit("").alias("repo"), F.lit("").alias("path"),
+        F.xxhash64("name", "version").alias("position"), "copies",
     )
     r = F.col("p_partkey")
     pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i % len(values) + 1).cast("int"))
@@ -314,4 +318,4 @@ def advisory_ranges(spark, sf_dir):
         F.lit("pypi").alias("ecosystem"), pick(["pyyaml", "requests", "flask"], r).alias("package"), pick(["<", "<=", ">", ">=", "==", "~"], r).alias("op"),
         parse_version(bound).alias("bound_key"), F.concat(F.lit("A-"), r.cast("string")).alias("id"),
     )
-    return deps.join_advisory(rows, ranges).groupBy("name", "version", "id").agg(F.count("*").alias("n"))
+    return deps.join_advisory(rows, ranges).groupBy("name", "version", "id").agg(F.sum("copies").alias("n"))

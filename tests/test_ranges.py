@@ -57,3 +57,26 @@ def test_ranks_count_all_rows(spark):
     assert [r["rank"] for r in got] == list(range(1, 5001))
     assert [(r.a, r.b, r.id) for r in got] == [tuple(r) for r in rows.orderBy(F.col("a").desc(), "b", "id").collect()]
     assert ranked(rows.limit(0), [F.col("id")]).count() == 0
+
+
+def test_many_results_by_any_way(spark, monkeypatch):
+    """Facts meet ranges by blocks where the result is large: facts broadcast, ranges repeated, or facts repeated; copies count."""
+    deps, ranges = tables(spark, 120, 60)
+    deps = deps.unionByName(deps.limit(30))
+    ranges = ranges.unionByName(ranges.limit(5))
+    monkeypatch.setattr(rg, "BROADCAST_ROWS", 10)
+    for limit, rows in ((10**6, deps), (0, deps), (0, deps.where("position < 4"))):
+        pairs = rows.withColumn("package", F.lower("name")).join(ranges, ["ecosystem", "package"])
+        held = pairs.where(satisfies(parse_version(F.col("version")), F.col("op"), F.col("bound_key")))
+        monkeypatch.setattr(rg, "INDEX_ROWS", limit)
+        got = join_advisory(rows, ranges).collect()
+        assert sorted((r.path, r.position, r.id) for r in got) == sorted((r.path, r.position, r.id) for r in held.collect()) and len(got) > 10
+
+
+def test_a_large_result_is_not_shuffled_again(spark, monkeypatch):
+    """Results of an advisory lie together, so counting by advisory moves no row of the result."""
+    monkeypatch.setattr(rg, "BROADCAST_ROWS", 10)
+    deps, ranges = tables(spark, 120, 60)
+    counted = join_advisory(deps, ranges).groupBy("version", "id").agg(F.count("*").alias("n"))
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
