@@ -127,3 +127,13 @@ def test_line_fixers(spark):
     assert got == [c for *_, c in cases]
     line = 'dbToken: "hT6wq0Vz9LxB"'
     assert column(spark, [line], F.concat_ws("|", fix.secret_variable(F.col("v")), fix.secret_value(F.col("v")))) == ["DB_TOKEN|hT6wq0Vz9LxB"]
+
+
+def test_entropy_counts_characters_of_long_and_odd_texts(spark):
+    """Characters of several bytes, those with a meaning in patterns, and a long text."""
+    texts = ["", None, "aaaa", "aéé\U0001f600", "ab" * 50_000, "\\$.*" * 3]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", t.shannon_entropy(F.col("t")).alias("bits"))
+    for i, bits in rows.collect():
+        text = texts[i]
+        want = None if text is None else -sum(text.count(c) / len(text) * math.log2(text.count(c) / len(text)) for c in set(text))
+        assert bits == want or abs(bits - want) < 1e-9
