@@ -226,3 +226,21 @@ def test_versions_of_any_length(spark):
     pairs = [("9" * 60, "1", 1), ("1" + "0" * 60, "9" * 60, 1), ("0" * 50 + "7", "7", 0), ("2." + "3" * 45, "2." + "3" * 44 + "4", -1)]
     rows = spark.createDataFrame([(a, b) for a, b, _ in pairs], "a string, b string")
     assert [r[0] for r in rows.select(compare_version(F.col("a"), F.col("b"))).collect()] == [c for _, _, c in pairs]
+
+
+def test_the_corpus_of_a_scan_is_stored_by_kind(spark, tmp_path):
+    """A reader of one kind opens the files of that kind alone; the rows are those of the tables."""
+    from rulegrain.plans import derive
+    from rulegrain.plans.catalog.rules import scan_corpus
+    from rulegrain.sources.corpus import with_kind
+
+    spark.range(1, 60).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(1, 20).selectExpr("id AS p_partkey", "int(id % 5) AS p_size").write.parquet(str(tmp_path / "part.parquet"))
+    spark.range(1, 20).selectExpr("id AS c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    made = [part(spark, str(tmp_path)) for part in (derive.code_corpus, derive.manifest_corpus, derive.tree_files)]
+    want = with_kind(made[0].unionByName(made[1]).unionByName(made[2]))
+    got = scan_corpus(spark, str(tmp_path))
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    python = got.where("kind = 'python'")
+    assert python.count() > 0 and all("/kind=python/" in f.file for f in python.selectExpr("_metadata.file_path AS file").collect())
+    assert len(got.inputFiles()) > len({f.file for f in python.selectExpr("_metadata.file_path AS file").collect()})
