@@ -196,3 +196,34 @@ def test_scan_order_is_stable(corpus_of):
     assert [r.rule_id for r in rows] == ["GO001", "GO003", "GO004"]
     assert [r.fixable for r in rows] == [False, False, True]
     assert lines.scan_code(corpus).where(F.col("severity_rank") == 3).count() == 2
+
+
+def _optimized(df):
+    df.sparkSession.conf.set("spark.sql.debug.maxToStringFields", 10_000)
+    try:
+        return df._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        df.sparkSession.conf.unset("spark.sql.debug.maxToStringFields")
+
+
+def test_a_rule_meets_a_line_twice_at_most(spark, corpus_of):
+    """Once to see whether it matches and once for the place; the file's extension is worked out once."""
+    corpus = corpus_of({"a.js": "document.write(x)"})
+    rows = spark.createDataFrame([("r", "a.js", 1, "document.write(x)")], "repo string, path string, line int, text string")
+    for found in (lines.scan_lines(rows), secrets.scan_text(corpus)):
+        assert _optimized(found).count(r"document\.write") == 2
+        assert _optimized(found).count(r"[^.].*(\.[^.]*)$") == 1
+    for found in (secrets.scan_secret_lines(rows), secrets.scan_text(corpus)):
+        assert _optimized(found).count("AIza[0-9A-Za-z") == 2
+
+
+def test_columns_count_code_points_and_first_counting_assignment(spark):
+    rows = spark.createDataFrame(
+        [
+            ("r", "a.js", 1, "'\U0001f680ü'; eval(a); eval(b)"),
+            ("r", "a.js", 2, "token = 'aaaaaaaa'; \U0001f680 myToken = \"vB7xR2mQ9kLp\"; secret = 'hT6wq0Vz9LxB'"),
+        ],
+        "repo string, path string, line int, text string",
+    )
+    assert [(r.rule_id, r.line, r.column) for r in lines.scan_lines(rows).collect()] == [("JS003", 1, 7)]
+    assert [(r.rule_id, r.line, r.column) for r in secrets.scan_secret_lines(rows).collect()] == [("SEC006", 2, 23)]
