@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ...operators import dependencies as deps, lines, pyfacts, remediate as fix
 from ...operators.findings import union_scanners
 from ...operators.secrets import scan_secret_lines, scan_text
-from ...sources.corpus import scannable
+from ...sources.corpus import scannable, with_kind
 from ...sources.tables import stored
 from .. import derive, oracle as o
 from .algebra import BASE, base_findings
@@ -146,7 +146,8 @@ CODE = [derive.code_texts_sql(), PRUNED, PATCHED]
 
 
 def code_findings(spark, sf_dir):
-    files = scannable(derive.code_corpus(spark, sf_dir))
+    """The files of a scan, stored by kind as each kind is read by its own scanners, and their findings."""
+    files = scannable(stored(with_kind(derive.code_corpus(spark, sf_dir)), "kind"))
     return files, stored(union_scanners(scan_text(files), pyfacts.scan_python(files)))
 
 
