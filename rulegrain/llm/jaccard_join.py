@@ -375,7 +375,8 @@ def _filtered(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     bound = F.floor((F.col("a_n") + F.col("b_n")) / 9)
     compared = both.select("a", "b", bound.alias("bound"), left.alias("left"), right.alias("right"))
     compared = compared.where("left IS NOT NULL AND right IS NOT NULL")
-    apart = F.arrow_udf(_close, "bigint")
+    # not deterministic for Spark, or it would run the step once for the filter and once for the column, in two workers a task
+    apart = F.arrow_udf(_close, "bigint").asNondeterministic()
     return compared.select("a", "b", "bound", apart("left", "right").alias("apart")).where("apart <= bound").select("a", "b", "apart")
 
 
@@ -557,7 +558,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     row = F.struct(*[quoted(c) for c in docs.columns]).alias("document")
     bigint = quoted(id_col).cast("bigint")
-    key = F.arrow_udf(keys, "doubtful boolean, node bigint, twin bigint")(F.xxhash64(bigint), quoted(text_col))
+    key = F.arrow_udf(keys, "doubtful boolean, node bigint, twin bigint").asNondeterministic()(F.xxhash64(bigint), quoted(text_col))
     marked = docs.select(row, bigint.alias("id"), key.alias("k"))
     sure = marked.where("NOT k.doubtful").select("document.*")
     named = marked.where("k.doubtful").select("document", "id", "k")

@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import held_by_worker, prepare_workers, quoted, slices
+from .common import from_scratch, prepare_workers, quoted, slices
 
 SIZE = 2048
 END_ID = 1
 CHUNK = 500_000
+#: Bytes of text whose words are numbered at a time.
+SLICE = 250_000
 GRID = 128
 #: In tokens of padding: what a sequence more costs, a cut after a sentence, a cut anywhere else.
 SEQUENCE_COST, SENTENCE_PENALTY, HARD_PENALTY = 64, 4, 24
@@ -239,9 +241,9 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     prepare_workers(docs.sparkSession)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, ends = held_by_worker(f"packing {tokenizer}", lambda: _tables(tokenizer))
+        words, ends = _tables(tokenizer)
         stream = _Stream(ends, TaskContext.get().partitionId() << 32)
-        for batch in slices(batches, "text", 1_000_000):
+        for batch in slices(batches, "text", SLICE):
             ids, sizes = words.encode(batch.column("text").to_pylist())
             stream.add(ids, sizes, batch.column("doc_id").to_pylist())
             if len(stream.ids) >= CHUNK and (out := stream.take(False)):
@@ -250,7 +252,9 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             yield out
 
     schema = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
-    return docs.select(quoted(id_col).cast("bigint").alias("doc_id"), quoted(text_col).alias("text")).mapInArrow(packed, schema)
+    rows = docs.select(quoted(id_col).cast("bigint").alias("doc_id"), quoted(text_col).alias("text"))
+    # a worker that waits for its turn holds no tables
+    return rows.mapInArrow(from_scratch(packed), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

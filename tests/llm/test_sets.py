@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -295,3 +296,24 @@ def test_pipeline_of_nothing_and_of_clashing_columns(spark, nothing, edges):
         assert out.columns == docs.columns
         assert all(r["node"] == "node" and r["found"] == "found" for r in rows_of(out))
         assert stage(spark, docs.limit(0), edges).count() == 0
+
+
+def test_bitmaps_are_compared_once(spark):
+    facts = "node bigint, n bigint, own binary, following binary"
+    classes = spark.createDataFrame([(1, 20, b"\0" * 8, b"\0" * 8), (2, 20, b"\1" + b"\0" * 7, b"\0" * 8), (3, 20, b"\xff" * 8, b"\0" * 8)], facts)
+    close = jaccard_join._filtered(spark.createDataFrame([(1, 2), (1, 3)], "a bigint, b bigint"), classes)
+    assert rows_of(close) == [{"a": 1, "b": 2, "apart": 1}]
+    assert close._jdf.queryExecution().optimizedPlan().toString().count("_close(") == 1
+
+
+def test_packing_leaves_no_tables_in_workers(spark):
+    docs = spark.createDataFrame([(i, f"some words {i}") for i in range(40)], "doc_id bigint, text string").repartition(8)
+    assert packing.pack(docs, TOKENIZER).count()
+
+    def held(batches):
+        from rulegrain.llm import common
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len([k for k in common._HELD if k.startswith("packing")])] * batch.num_rows, pa.int64())], ["id"])
+
+    assert {r["id"] for r in rows_of(spark.range(0, 64, 1, 8).mapInArrow(held, "id bigint"))} == {0}
