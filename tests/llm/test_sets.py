@@ -11,7 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from rulegrain.llm import decontaminate, exact_dedup, jaccard_join, packing, suffix_dedup
+from rulegrain.llm import components as component_steps, decontaminate, exact_dedup, jaccard_join, packing, suffix_dedup
 from rulegrain.llm.components import components
 
 from .fixtures import DOCUMENTS, document, edge_documents, folder, linked, rows_of, windows_hit, with_clashes, without_repeats, words
@@ -298,6 +298,37 @@ def test_pipeline_of_nothing_and_of_clashing_columns(spark, nothing, edges):
         assert stage(spark, docs.limit(0), edges).count() == 0
 
 
+def _roots_of(links):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {x: find(x) for x in root if find(x) != x}
+
+
+@pytest.mark.parametrize("part", [10**6, 40])
+def test_components_of_parts(spark, monkeypatch, part):
+    monkeypatch.setattr(component_steps, "PART_LINKS", part)
+    rng = random.Random(3)
+    links = [(i, i + 1) for i in rng.sample(range(60), 60)] + [(1000, 1000 + i) for i in range(1, 60)]
+    links += [(rng.randrange(2000, 2150), rng.randrange(2000, 2150)) for _ in range(90)]
+    rng.shuffle(links)
+    rows = rows_of(components(spark.createDataFrame(links, "a bigint, b bigint").repartition(7)))
+    assert {r["node"]: r["root"] for r in rows} == _roots_of(links) and len(rows) == len(_roots_of(links))
+
+
+def test_few_links_take_no_round(spark, monkeypatch):
+    monkeypatch.setattr(component_steps, "_state", None)
+    links = [(i, i + 1) for i in range(200)]
+    assert {r["root"] for r in rows_of(components(spark.createDataFrame(links, "a bigint, b bigint")))} == {0}
+
+
 def test_bitmaps_are_compared_once(spark):
     facts = "node bigint, n bigint, own binary, following binary"
     classes = spark.createDataFrame([(1, 20, b"\0" * 8, b"\0" * 8), (2, 20, b"\1" + b"\0" * 7, b"\0" * 8), (3, 20, b"\xff" * 8, b"\0" * 8)], facts)
