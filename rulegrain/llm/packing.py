@@ -31,7 +31,7 @@ from .common import from_scratch, prepare_workers, quoted, slices
 SIZE = 2048
 END_ID = 1
 CHUNK = 500_000
-#: Bytes of text whose words are numbered at a time.
+#: Bytes of text whose words are numbered at a time; cuts are looked for after four times as many.
 SLICE = 250_000
 GRID = 128
 #: In tokens of padding: what a sequence more costs, a cut after a sentence, a cut anywhere else.
@@ -243,9 +243,10 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, ends = _tables(tokenizer)
         stream = _Stream(ends, TaskContext.get().partitionId() << 32)
-        for batch in slices(batches, "text", SLICE):
-            ids, sizes = words.encode(batch.column("text").to_pylist())
-            stream.add(ids, sizes, batch.column("doc_id").to_pylist())
+        for batch in slices(batches, "text", 4 * SLICE):
+            for part in slices(iter([batch]), "text", SLICE):
+                ids, sizes = words.encode(part.column("text").to_pylist())
+                stream.add(ids, sizes, part.column("doc_id").to_pylist())
             if len(stream.ids) >= CHUNK and (out := stream.take(False)):
                 yield out
         if out := stream.take(True):
