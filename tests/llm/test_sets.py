@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from rulegrain.llm import components as component_steps, decontaminate, exact_dedup, jaccard_join, packing, suffix_dedup
 from rulegrain.llm.components import components
+from rulegrain.sources.tables import stored
 
 from .fixtures import DOCUMENTS, document, edge_documents, folder, linked, rows_of, windows_hit, with_clashes, without_repeats, words
 from .test_texts import SF, same_as_sql
@@ -118,6 +119,29 @@ def test_repeats_agree_with_brute_force(spark, tmp_path, monkeypatch, cold):
         assert tuple(found[i][c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) == expected, i
 
 
+def test_windows_of_a_repeated_part_are_listed_once(spark, tmp_path, monkeypatch):
+    """Two groups of texts share a passage; what the many of one group hold alike is not listed for each of them."""
+    monkeypatch.setattr(suffix_dedup, "COLD", 2)
+    made = []
+    monkeypatch.setattr(suffix_dedup, "stored", lambda df, *by: made.append(stored(df, *by)) or made[-1])
+    rng = random.Random(5)
+    letters = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage, left, right = letters(500), letters(37), letters(41)
+    texts = [letters(300) + left + passage + right + letters(300) for _ in range(60)] + [letters(300) + passage + letters(300) for _ in range(3)]
+    docs = spark.createDataFrame([document(i, t) for i, t in enumerate(texts)], DOCUMENTS).repartition(len(texts))
+    found = {r["doc_id"]: r for r in rows_of(suffix_dedup.remove_repeats(docs))}
+    for i, expected in enumerate(without_repeats(texts, 400)):
+        assert tuple(found[i][c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) == expected, i
+    parts = next(m for m in made if m.columns[:4] == ["c1", "c2", "whole", "k1"] and "first" in m.columns)
+    windows = next(m for m in made if m.columns[:2] == ["w1", "w2"])
+    kinds = {}
+    for r in rows_of(parts):
+        kinds.setdefault((r["c1"], r["c2"]), {}).setdefault(r["whole"], []).append(r["last"] - r["first"] + 1)
+    mixed = [list(k.values()) for k in kinds.values() if len(k) > 1 and min(map(len, k.values())) == 1]
+    assert sum(len(n) > 1 for k in mixed for n in k)
+    assert 0 < windows.count() <= sum(n[0] for k in mixed for n in k) < sum(sum(n) for k in mixed for n in k)
+
+
 def test_deep_shallow_order_sorts():
     rng = random.Random(1)
     for _ in range(200):
