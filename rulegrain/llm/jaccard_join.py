@@ -44,6 +44,8 @@ BLOCK = 2048
 #: Width of the bitmaps of dense buckets, in those of the others, and the last band that has them.
 WIDE, WIDE_BANDS = 8, 10
 _CHUNK = 400_000
+#: Tells the bands of a set apart where one number stands for both.
+_BAND = 0x9E3779B1
 _U = np.uint64
 _PLACES = [_U(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -174,9 +176,16 @@ def _rows(kind: np.ndarray, sig: np.ndarray, node: np.ndarray, value: np.ndarray
         yield pa.RecordBatch.from_arrays(arrays, ["kind", "sig", "node", "value"])
 
 
-def _sign(share: float, seed: int):
+def _in_band(node: Column) -> Column:
+    """What stands for a set and its band ``level``, as ``node ^ level * _BAND`` does in a task."""
+    return node.bitwiseXOR(F.col("level") * F.lit(_BAND))
+
+
+def _sign(share: float, seed: int, wanted: Bitmap | None = None):
     """Signature rows of one partition: each class once, and no signature of more sets than a bucket holds.
 
+    ``wanted`` names the sets and bands to sign (``_in_band``); without it all are.
+
     A signature with more sets in this chunk is sent as a mark only, as it can't be light, and taken
     off what its sets have to spare.
     """
@@ -214,8 +223,12 @@ def _sign(share: float, seed: int):
             sizes, nodes = np.fromiter(map(len, fresh), np.int64, len(fresh)), np.array(nodes, np.int64)
             for level, chosen, k, owner, found in _signatures(fresh, sizes, share, seed):
                 usable = np.bincount(owner, minlength=len(chosen))
-                for i, left in zip(nodes[chosen].tolist(), (usable - k - 1).tolist()):
+                taken = np.full(len(chosen), True) if wanted is None else wanted.may_hold(nodes[chosen] ^ np.int64(level * _BAND))
+                if not taken.any():
+                    continue
+                for i, left in zip(nodes[chosen][taken].tolist(), (usable - k - 1)[taken].tolist()):
                     spare[(i, level)] = left
+                found, owner = found[taken[owner]], owner[taken[owner]]
                 sig.append(found)
                 node.append(nodes[chosen][owner])
                 size.append(sizes[chosen][owner].astype(np.int32))
@@ -309,42 +322,57 @@ def _only(docs: DataFrame, ids: DataFrame, then, schema: str) -> DataFrame:
 
 
 def _restricted(docs: DataFrame, classes: DataFrame, nodes: DataFrame, then, schema: str) -> DataFrame:
-    """``then`` over the batches of the documents that stand for some classes, and of a few others."""
+    """``then`` over the batches of the documents that stand for some classes, and of a few others.
+
+    The others grow with documents times classes while the bitmap is small, so ``then`` has to look at the
+    sets themselves before it makes rows of them.
+    """
     ids = classes.join(nodes.select("node").distinct(), "node", "left_semi").select(F.col("rep").alias("doc_id"))
     return _only(docs, ids, then, schema)
 
 
-def _emit_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, sets in _sets_of(batches, 250_000):
-        sets = [s for s in sets if len(s)]
-        keys = [_keys(s) for s in sets]
-        columns = [
-            pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
-            pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
-        ]
-        yield pa.RecordBatch.from_arrays(columns, ["node", "twin", "shingles"])
+def _emit_sets(wanted: Bitmap):
+    """The sets whose node may be wanted."""
 
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets in _sets_of(batches, 250_000):
+            sets = [s for s in sets if len(s)]
+            keys = np.array([_keys(s) for s in sets], np.int64).reshape(-1, 2)
+            some = np.flatnonzero(wanted.may_hold(keys[:, 0]))
+            columns = [
+                pa.array(keys[some, 0]), pa.array(keys[some, 1]),
+                pa.array([sets[i].view(np.int64) for i in some.tolist()], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "twin", "shingles"])
 
-def _emit_dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first k + 1 signatures of each set in each band; sets with fewer also share one signature of the band."""
-    for _, sets in _sets_of(batches, 250_000):
-        sets = [s for s in sets if len(s)]
-        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-        if not sets:
-            continue
-        maps, nodes = _bitmaps(sets, sizes, WIDE), np.array([_keys(s)[0] for s in sets], np.int64)
-        for level, chosen, k, owner, found in _signatures(sets, sizes, FIRST, 0):
-            usable = np.bincount(owner, minlength=len(chosen))
-            rank = np.arange(len(owner)) - (np.cumsum(usable) - usable)[owner]
-            taken = rank <= k[owner]
-            few = np.flatnonzero(usable <= k)
-            owner = np.concatenate([owner[taken], few])
-            found = np.concatenate([found[taken], np.full(len(few), level)])
-            at = chosen[owner]
-            # a long text has many rows; its bitmap would be repeated in each
-            bits = [maps[i][level + 1 - int(sizes[i]).bit_length()] if level <= WIDE_BANDS else b"" for i in at.tolist()]
-            columns = [pa.array(found), pa.array(nodes[at]), pa.array(np.full(len(at), level)), pa.array(sizes[at]), pa.array(bits, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["sig", "node", "level", "n", "bits"])
+    return emit
+
+
+def _emit_dense(wanted: Bitmap):
+    """The first k + 1 signatures of each wanted set and band; sets with fewer also share one signature of the band."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets in _sets_of(batches, 250_000):
+            sets = [s for s in sets if len(s)]
+            sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+            if not sets:
+                continue
+            maps, nodes = _bitmaps(sets, sizes, WIDE), np.array([_keys(s)[0] for s in sets], np.int64)
+            for level, chosen, k, owner, found in _signatures(sets, sizes, FIRST, 0):
+                named = wanted.may_hold(nodes[chosen] ^ np.int64(level * _BAND))
+                usable = np.bincount(owner, minlength=len(chosen))
+                rank = np.arange(len(owner)) - (np.cumsum(usable) - usable)[owner]
+                taken = (rank <= k[owner]) & named[owner]
+                few = np.flatnonzero((usable <= k) & named)
+                owner = np.concatenate([owner[taken], few])
+                found = np.concatenate([found[taken], np.full(len(few), level)])
+                at = chosen[owner]
+                # a long text has many rows; its bitmap would be repeated in each
+                bits = [maps[i][level + 1 - int(sizes[i]).bit_length()] if level <= WIDE_BANDS else b"" for i in at.tolist()]
+                columns = [pa.array(found), pa.array(nodes[at]), pa.array(np.full(len(at), level)), pa.array(sizes[at]), pa.array(bits, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["sig", "node", "level", "n", "bits"])
+
+    return emit
 
 
 def _differing(own: pa.Array, other: pa.Array) -> np.ndarray:
@@ -396,8 +424,8 @@ def _across(close: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Links (a, b between class numbers) of those pairs whose whole sets are similar enough."""
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
-    sets = _restricted(docs, classes, nodes, _emit_sets, "node bigint, twin bigint, shingles array<bigint>")
+    nodes = stored(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
+    sets = _restricted(docs, classes, nodes, _emit_sets(Bitmap(nodes)), "node bigint, twin bigint, shingles array<bigint>")
     sides = [sets.select(*(F.col(c).alias(f"{side}_{c}") for c in sets.columns)) for side in ("x", "y")]
     both = pairs.join(sides[0], F.col("a") == F.col("x_node")).join(sides[1], F.col("b") == F.col("y_node"))
     shared = F.size(F.array_intersect("x_shingles", "y_shingles"))
@@ -460,6 +488,12 @@ def _apart(dense: DataFrame, labels: DataFrame) -> DataFrame:
     return ordered.sortWithinPartitions("sig", "i", "j").mapInArrow(from_scratch(_blocks), "a bigint, b bigint").distinct()
 
 
+def _signed_again(texts: DataFrame, classes: DataFrame, left: DataFrame) -> DataFrame:
+    """Signature rows of the second signing: of the sets and bands (node, level) that the first one left, and of very few others."""
+    wanted = Bitmap(left.select(_in_band(F.col("node"))))
+    return _restricted(texts, classes, left, _sign(SECOND, 1, wanted), _SIGNED)
+
+
 def _roots(classes: DataFrame, links: DataFrame) -> DataFrame:
     """node, number, root of every class; a class without links is its own root."""
     labels = components(links).toDF("number", "root")
@@ -486,12 +520,12 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs, left = first.where(F.col("kind") == SIGNATURE).select("a", "b"), stored(_uncovered(first))
     dense = None
     if not left.isEmpty():
-        second = _signed_pairs(_restricted(texts, classes, left, _sign(SECOND, 1), _SIGNED))
+        second = _signed_pairs(_signed_again(texts, classes, left))
         pairs = pairs.unionByName(second.where(F.col("kind") == SIGNATURE).select("a", "b"))
         left = stored(left.join(_uncovered(second), ["node", "level"], "left_semi"))
         if not left.isEmpty():
             kind = "sig bigint, node bigint, level bigint, n bigint, bits binary"
-            rows = _restricted(texts, classes, left, _emit_dense, kind)
+            rows = _restricted(texts, classes, left, _emit_dense(Bitmap(left.select(_in_band(F.col("node"))))), kind)
             dense = stored(rows.join(left, ["node", "level"], "left_semi").distinct().select("sig", "node", "n", "bits"))
             # another hub in each bucket: a set meets as many of them as it has signatures
             hubs = dense.groupBy("sig").agg(F.min_by("node", F.xxhash64("node", "sig")).alias("hub"))

@@ -261,6 +261,21 @@ def test_near_copies_agree_with_brute_force(spark, tmp_path, monkeypatch):
     assert [found[i] for i in range(len(texts))] == linked(texts)
 
 
+def test_second_signing_makes_rows_of_what_is_left_only(spark):
+    """Documents that a bitmap lets through beside those that are left make no rows; before, they grew with documents times sets."""
+    rng = random.Random(11)
+    docs = spark.createDataFrame([(i, words(rng, 40)) for i in range(6000)], "doc_id bigint, text string")
+    sets = dict(zip(range(6000), jaccard_join.shingle_sets([r["text"] for r in docs.orderBy("doc_id").collect()])))
+    classes = spark.createDataFrame([(i, *jaccard_join._keys(s)) for i, s in sets.items()], "rep bigint, node bigint, twin bigint")
+    left = classes.where("rep < 400").selectExpr("node", "5L AS level")
+    rows = jaccard_join._signed_again(docs, classes, left)
+    signed = rows.where(f"kind = {jaccard_join.SPARE}").selectExpr("node", "sig & 31 AS level").distinct()
+    assert {tuple(r.values()) for r in rows_of(signed)} == {tuple(r.values()) for r in rows_of(left)}
+    assert rows.select("node").where("node <> 0").distinct().count() == 400
+    sets_of_left = jaccard_join._emit_sets(jaccard_join.Bitmap(left.select("node")))
+    assert jaccard_join._restricted(docs, classes, left, sets_of_left, "node bigint, twin bigint, shingles array<bigint>").count() == 400
+
+
 def test_near_copies_edges(spark, edges, nothing):
     rows = rows_of(jaccard_join.query(spark, edges))
     assert len(rows) == len(edge_documents())
