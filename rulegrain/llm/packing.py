@@ -17,9 +17,11 @@ last sequences carried over, and a task that is run again gives the same sequenc
 from __future__ import annotations
 
 import re
+import string
 import unicodedata
 from array import array
 from collections.abc import Iterator
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +38,10 @@ SLICE = 250_000
 GRID = 128
 #: In tokens of padding: what a sequence more costs, a cut after a sentence, a cut anywhere else.
 SEQUENCE_COST, SENTENCE_PENALTY, HARD_PENALTY = 64, 4, 24
-#: Distinct words a worker remembers before it starts anew.
+#: Distinct words a worker remembers before it drops the newer half.
 MAX_WORDS = 300_000
-_PLAIN = re.compile(r"([^\W\d_]+)([.,!?;:]{0,4})")
+#: After a word of letters, a row of these is a piece of its own; rows of up to four are remembered.
+_MARKS = string.punctuation
 
 
 def _byte_characters() -> dict[int, int]:
@@ -62,54 +65,74 @@ class WordTokenizer(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.characters = _byte_characters()
-        #: Ids of rows of up to four marks, of which there are few.
-        self.marks: dict[str, list[int]] = {}
         self.clear()
 
     def clear(self) -> None:
         super().clear()
+        #: Ids of rows of marks.
+        self.marks: dict[str, list[int]] = {}
         self.flat, self.starts, self.sizes = array("I"), array("q"), array("i")
-        self._add(None, [END_ID])
+        self._add([None], [END_ID], [1])
+
+    def _forget(self) -> None:
+        """Drop all words but the older half of those it may hold: frequent words are met early."""
+        kept = dict(islice(self.items(), MAX_WORDS // 2))
+        super().clear()
+        self.update(kept)
+        self.marks.clear()
+        del self.flat[self.starts[len(kept)] :], self.starts[len(kept) :], self.sizes[len(kept) :]
 
-    def _add(self, word: bytes | None, ids: list[int]) -> int:
-        self[word] = number = len(self.sizes)
-        self.starts.append(len(self.flat))
-        self.sizes.append(len(ids))
-        self.flat.extend(ids)
-        return number
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _piece(self, text: str) -> list[int]:
         shown = text if text.isascii() else text.encode().decode("latin-1").translate(self.characters)
         return [t.id for t in self.model.tokenize(shown)]
 
-    def __missing__(self, word: bytes) -> int:
-        text = word.decode("utf-8", "replace")
-        found = _PLAIN.fullmatch(text)
-        if found:
-            body, marks = found.groups()
-            simple = text.isascii()
-            if simple or body.isalpha() and "Σ" not in body and unicodedata.is_normalized("NFC", body):
-                lower = body.lower()
-                if simple or lower.isalpha():
-                    ids = self._piece(lower)
-                    if marks:
-                        if marks not in self.marks:
-                            self.marks[marks] = self._piece(marks)
-                        ids = ids + self.marks[marks]
-                    return self._add(word, ids)
-        return self._add(word, self.tokenizer.encode(text, add_special_tokens=False).ids)
+    def _learn(self, new: list[bytes]) -> None:
+        """Number words not seen before, all of a slice at once: most of packing's time is spent on them."""
+        tokenize, known, flat, sizes = self.model.tokenize, self.marks, [], []
+        # words hold no white space, so that one decoding serves all
+        for text in b"\n".join(new).decode("utf-8", "replace").split("\n"):
+            before = len(flat)
+            body = text.rstrip(_MARKS)
+            marks = text[len(body) :]
+            if not body.isalpha() or len(marks) > 4:
+                flat += self._ids(text)
+            elif text.isascii():
+                flat += [t.id for t in tokenize(body.lower())]
+                if marks:
+                    flat += known.get(marks) or known.setdefault(marks, self._piece(marks))
+            elif "Σ" not in body and unicodedata.is_normalized("NFC", body) and (lower := body.lower()).isalpha():
+                flat += self._piece(lower)
+                if marks:
+                    flat += known.get(marks) or known.setdefault(marks, self._piece(marks))
+            else:
+                flat += self._ids(text)
+            sizes.append(len(flat) - before)
+        self._add(new, flat, sizes)
+
+    def _add(self, words: list[bytes | None], flat: list[int], sizes: list[int]) -> None:
+        self.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words))))
+        self.starts.frombytes((len(self.flat) + np.cumsum(sizes, dtype=np.int64) - sizes).tobytes())
+        self.sizes.extend(sizes)
+        self.flat.extend(flat)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, each text's closed by END_ID, and the number of each text's ids."""
         if len(self) > MAX_WORDS:
-            self.clear()
+            self._forget()
         words: list[bytes | None] = []
         firsts = []
         for text in texts:
             firsts.append(len(words))
             words += (text or "").encode("utf-8", "replace").split()
             words.append(None)
-        numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        numbers = np.fromiter(map(self.get, words, repeat(-1)), np.int64, len(words))
+        if len(missed := np.flatnonzero(numbers < 0)):
+            new = [words[i] for i in missed.tolist()]
+            self._learn(list(dict.fromkeys(new)))
+            numbers[missed] = np.fromiter(map(self.__getitem__, new), np.int64, len(new))
         # views of the tables, not copies: they are let go before the tables grow again
         sizes = np.frombuffer(self.sizes, np.int32)[numbers].astype(np.int64)
         starts = np.frombuffer(self.starts, np.int64)[numbers]

@@ -44,6 +44,33 @@ def test_word_ids_are_text_ids():
     assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [ids_of(t) for t in [*ODD, None, ""]]
 
 
+def test_new_words_are_numbered_a_slice_at_a_time(monkeypatch):
+    """Same ids as the tokenizer's for words of all kinds; the table is asked once for all new words of a slice."""
+    rng, calls = random.Random(4), []
+    letters = "abZ#*_)ÉéßΣσςİıẖ²Ⅷ١3_.,!?;:'\"$-Åñ日ﬁǅ  "
+    texts = [" ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 9))) for _ in range(20)) for _ in range(60)]
+    words_ = packing.WordTokenizer(TOKENIZER)
+    learn = words_._learn
+    monkeypatch.setattr(words_, "_learn", lambda new: calls.append(len(new)) or learn(new))
+    for _ in range(2):
+        ids, sizes = words_.encode(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [ids_of(t) for t in texts]
+    assert len(calls) == 1 and calls[0] == len(words_) - 1
+
+
+def test_frequent_words_are_learned_once(monkeypatch):
+    """Words met early stay when the table is full; before, all of them had to be looked up again."""
+    monkeypatch.setattr(packing, "MAX_WORDS", 40)
+    words_, learned = packing.WordTokenizer(TOKENIZER), []
+    learn = words_._learn
+    monkeypatch.setattr(words_, "_learn", lambda new: learned.extend(new) or learn(new))
+    for i in range(12):
+        text = f"the same few words, always: {' '.join(f'once{chr(97 + i)}{chr(97 + j)}x.' for j in range(15))}"
+        ids, _ = words_.encode([text])
+        assert ids.tolist() == ids_of(text) and len(words_) <= 40 + 21
+    assert learned.count(b"words,") == 1 and len(learned) == 12 * 15 + 5
+
+
 def test_pieces_hold_each_id_once(spark, tmp_path):
     rng = random.Random(2)
     texts = [*ODD, *(words(rng, rng.randrange(400)) + ". " + words(rng, rng.randrange(3000)) for _ in range(30)), None, "", ". ".join(["a b c"] * 9000)]
